@@ -148,6 +148,14 @@ def duels(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def duel_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw names of all duels, from the two key columns they are made of."""
+    key, customer = F.col("o_orderkey"), F.col("o_custkey")
+    return table(spark, sf_dir, "orders").select(
+        pool_name(key).alias("model_a_name"), pool_name(key * 7 + customer).alias("model_b_name")
+    )
+
+
 def reactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One reaction per order line."""
     line = table(spark, sf_dir, "lineitem")

@@ -1,41 +1,115 @@
-"""Finding many names in long texts in one pass over each text."""
+"""Finding many names or keywords in long texts in one pass over each text.
+
+One `contains` or regular expression per name reads every text once per name.  Here one
+automaton over all of them reads it once, whatever their number.  The lists are short (a top-k
+or a dictionary) and travel with the task; Spark partitions the texts and adds up the results.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 
-def names_in_texts(docs: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Distinct (model, name) such that a text of the model contains the name.
+def names_in_texts(docs: DataFrame, lists: Mapping[str, Sequence[str]]) -> DataFrame:
+    """Distinct (model, kind, name) such that a text of the model contains the name.
 
-    `names` is a short list (a top-k), shipped with the task.  A `contains` per name would read
-    every text once per name; one automaton over all names reads it once.  Each task emits a
-    pair the first time it meets it, so the shuffle carries at most models × names per task.
+    `lists` maps a kind to its names.  Each task emits a triple the first time it meets it, so
+    the shuffle carries at most models × names rows per task.
     """
-    wanted = list(names)
+    wanted = {kind: list(names) for kind, names in lists.items()}
 
     def match(batches):
         import ahocorasick
         import pyarrow as pa
 
+        kinds: dict[str, list[str]] = {}
+        for kind, names in wanted.items():
+            for name in names:
+                kinds.setdefault(name, []).append(kind)
         automaton = ahocorasick.Automaton()
-        for name in wanted:
+        for name in kinds:
             automaton.add_word(name, name)
         automaton.make_automaton()
         seen = set()
         for batch in batches:
             found = []
-            models, texts = batch.column("model").to_pylist(), batch.column("text")
-            for model, text in zip(models, texts):
-                if wanted and text.is_valid:
-                    pairs = {(model, name) for _, name in automaton.iter(text.as_py())} - seen
-                    seen |= pairs
-                    found.extend(pairs)
+            for model, text in zip(batch.column("model").to_pylist(), batch.column("text")):
+                if not kinds or not text.is_valid:
+                    continue
+                new = {(model, name) for _, name in automaton.iter(text.as_py())} - seen
+                seen |= new
+                found += [(model, kind, name) for model, name in new for kind in kinds[name]]
             if found:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(column, pa.string()) for column in zip(*found)], ["model", "name"]
+                    [pa.array(column, pa.string()) for column in zip(*found)],
+                    ["model", "kind", "name"],
                 )
 
-    return docs.select("model", "text").mapInArrow(match, "model string, name string").distinct()
+    schema = "model string, kind string, name string"
+    return docs.select("model", "text").mapInArrow(match, schema).distinct()
+
+
+def keyword_hits(docs: DataFrame, categories: Sequence[Sequence[str]]) -> DataFrame:
+    """(model, category index, hits): whole-word hits of each keyword list, zeros included.
+
+    Within a list hits do not overlap: the leftmost wins, then the longest.  A word character is
+    a letter, a number or an underscore; an edge of a keyword that is one must not touch
+    another.  Each task emits one row per model with all its counts.
+    """
+    lists = [list(keywords) for keywords in categories]
+
+    def count(batches):
+        import ahocorasick
+        import pyarrow as pa
+
+        owners: dict[str, list[int]] = {}
+        for index, keywords in enumerate(lists):
+            for keyword in set(keywords):
+                owners.setdefault(keyword, []).append(index)
+
+        def is_word(char: str) -> bool:
+            return char.isalnum() or char == "_"
+
+        automaton = ahocorasick.Automaton()
+        for keyword, indexes in owners.items():
+            edges = is_word(keyword[0]), is_word(keyword[-1])
+            automaton.add_word(keyword, (len(keyword), edges, indexes))
+        automaton.make_automaton()
+        totals: dict[str, list[int]] = {}
+        for batch in batches:
+            for model, value in zip(batch.column("model").to_pylist(), batch.column("text")):
+                counts = totals.setdefault(model, [0] * len(lists))
+                if not owners or not value.is_valid:
+                    continue
+                text = value.as_py()
+                hits = []
+                for last, (length, (first_edge, last_edge), indexes) in automaton.iter(text):
+                    start, end = last + 1 - length, last + 1
+                    before = start > 0 and is_word(text[start - 1])
+                    after = end < len(text) and is_word(text[end])
+                    if before != first_edge and after != last_edge:
+                        hits.append((start, -end, indexes))
+                hits.sort(key=lambda hit: hit[:2])
+                free = [0] * len(lists)
+                for start, end, indexes in hits:
+                    for index in indexes:
+                        if start >= free[index]:
+                            counts[index] += 1
+                            free[index] = -end
+        if totals:
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(list(totals), pa.string()),
+                    pa.array(list(totals.values()), pa.list_(pa.int64())),
+                ],
+                ["model", "counts"],
+            )
+
+    rows = docs.select("model", "text").mapInArrow(count, "model string, counts array<bigint>")
+    return (
+        rows.select("model", F.posexplode("counts").alias("index", "hits"))
+        .groupBy("model", "index")
+        .agg(F.sum("hits").alias("hits"))
+    )

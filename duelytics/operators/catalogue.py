@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
@@ -12,8 +12,8 @@ from duelytics.constants import (
     MAX_NAMES,
     VENUE_FACTOR,
     VENUE_MIN_LENGTH,
+    WHITESPACE,
 )
-from duelytics.constants import WHITESPACE
 from duelytics.dictionaries import Dictionary
 from duelytics.functions.matching import names_in_texts
 from duelytics.functions.numeric import round_even
@@ -82,24 +82,40 @@ def top_venues(venues: DataFrame, k: int = MAX_NAMES) -> DataFrame:
     return top_names(venues, "Nom", VENUE_MIN_LENGTH, k)
 
 
-def coverage(docs: DataFrame, names: DataFrame, factor: float) -> DataFrame:
-    """(model, matched, coverage): how many of the names occur in the texts of each model.
+def coverages(docs: DataFrame, names: Mapping[str, tuple[DataFrame, float]]) -> DataFrame:
+    """(model, kind, matched, coverage): how many names of each list occur in a model's texts.
 
-    `names` is the result of `top_names`, at most k rows, and is read here to be shipped with
-    the tasks.  Models without a match are kept with 0.
+    `names` maps a kind to a result of `top_names` (at most k rows, read here to travel with the
+    tasks) and its factor.  All lists share one pass over the texts.  Models without a match are
+    kept with 0.
     """
-    listed = [row["name"] for row in names.select("name").collect()]
-    found = names_in_texts(docs, listed).groupBy("model").agg(F.count("*").alias("matched"))
-    models = docs.select("model").distinct()
-    full = float(max(len(listed) * factor, 1))
-    share = round_even(F.least(F.col("matched") / F.lit(full), F.lit(100.0)), 1)
+    listed = {
+        kind: [row["name"] for row in table.select("name").collect()]
+        for kind, (table, _) in names.items()
+    }
+    found = names_in_texts(docs, listed).groupBy("model", "kind").agg(
+        F.count("*").alias("matched")
+    )
+    fulls = [
+        F.struct(
+            F.lit(kind).alias("kind"),
+            F.lit(float(max(len(listed[kind]) * factor, 1))).alias("full"),
+        )
+        for kind, (_, factor) in names.items()
+    ]
+    models = docs.select("model").distinct().select("model", F.inline(F.array(*fulls)))
+    share = round_even(F.least(F.col("matched") / F.col("full"), F.lit(100.0)), 1)
     return (
-        models.join(found, "model", "left")
-        .select("model", F.coalesce("matched", F.lit(0)).alias("matched"))
-        .withColumn("coverage", share)
+        models.join(found, ["model", "kind"], "left")
+        .withColumn("matched", F.coalesce("matched", F.lit(0)))
+        .select("model", "kind", "matched", share.alias("coverage"))
     )
 
 
+def coverage(docs: DataFrame, names: DataFrame, factor: float) -> DataFrame:
+    return coverages(docs, {"names": (names, factor)}).drop("kind")
+
+
 def coverage_artists(docs: DataFrame, names: DataFrame, factor: float = ARTIST_FACTOR) -> DataFrame:
     return coverage(docs, names, factor)
 

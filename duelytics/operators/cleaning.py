@@ -20,6 +20,8 @@ from duelytics.constants import (
 from duelytics.functions.naming import family_of, is_bad, is_junk, version_of
 
 SIDES = ("a", "b")
+RAW_NAMES = ("model_a_name", "model_b_name")
+VOTE_NAMES = (*RAW_NAMES, "chosen_model_name")
 
 
 def select_existing(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -48,6 +50,30 @@ def keep_started(df: DataFrame) -> DataFrame:
     return df.filter(F.col("conv_turns") > 0) if "conv_turns" in df.columns else df
 
 
+def name_table(
+    df: DataFrame,
+    columns: Sequence[str] = RAW_NAMES,
+    max_names: int = 100_000,
+    max_bytes: int = 32 * 1024 * 1024,
+) -> DataFrame | None:
+    """Every raw name once with its family and version, for a broadcast join; None when there
+    are too many names for that.
+
+    A name costs some thirty regular expressions and recurs in millions of duels.  The check
+    runs a count over the name columns only.  Callers fall back to the column expressions,
+    which need no join, when it gives None.
+    """
+    raw = df.select(F.explode(F.array(*columns)).alias("raw")).dropna().distinct()
+    found = raw.limit(max_names + 1).agg(
+        F.count("*").alias("n"), F.sum(F.octet_length("raw")).alias("bytes")
+    )
+    size = found.collect()[0]
+    if size["n"] > max_names or (size["bytes"] or 0) > max_bytes:
+        return None
+    name = F.col("raw")
+    return raw.select("raw", family_of(name).alias("family"), version_of(name).alias("version"))
+
+
 def add_versions(df: DataFrame) -> DataFrame:
     return df.withColumns(
         {f"version_{s}": F.btrim(version_of(F.col(f"model_{s}_name")), F.lit("-")) for s in SIDES}
@@ -69,22 +95,39 @@ def add_families(df: DataFrame) -> DataFrame:
     return df.select("*", F.inline(F.array(families)))
 
 
+def look_up_models(df: DataFrame, names: DataFrame) -> DataFrame:
+    """Family and version of both sides from a `name_table`."""
+    for s in SIDES:
+        side = names.select(
+            F.col("raw").alias(f"model_{s}_name"),
+            F.btrim("family", F.lit("-")).alias(f"base_model_{s}"),
+            F.btrim("version", F.lit("-")).alias(f"version_{s}"),
+        )
+        df = df.join(F.broadcast(side), f"model_{s}_name")
+    return df
+
+
 def require_families(df: DataFrame) -> DataFrame:
     return df.filter((F.col("base_model_a") != "") & (F.col("base_model_b") != ""))
 
 
-def normalize_models(df: DataFrame) -> DataFrame:
+def normalize_models(df: DataFrame, names: DataFrame | None = None) -> DataFrame:
     """Started duels with family and version of both sides, both families known."""
-    return (
-        df.transform(keep_started)
-        .transform(add_families)
-        .transform(require_families)
-        .transform(add_versions)
-    )
+    started = keep_started(df)
+    if names is not None:
+        return started.transform(look_up_models, names).transform(require_families)
+    return started.transform(add_families).transform(require_families).transform(add_versions)
 
 
-def normalize_winner(df: DataFrame) -> DataFrame:
+def normalize_winner(df: DataFrame, names: DataFrame | None = None) -> DataFrame:
     """Family and version of the chosen model: no last trim, and an empty family stays."""
+    if names is not None:
+        winners = names.select(
+            F.col("raw").alias("chosen_model_name"),
+            F.col("family").alias("chosen_base_model"),
+            F.col("version").alias("chosen_version"),
+        )
+        return df.join(F.broadcast(winners), "chosen_model_name", "left")
     name = F.col("chosen_model_name")
     return df.select(
         "*",
@@ -165,37 +208,51 @@ def bias_project(df: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def build_react(reactions: DataFrame) -> DataFrame:
+def build_react(reactions: DataFrame, names: DataFrame | None = None) -> DataFrame:
     return (
-        reactions.transform(normalize_models).transform(reaction_side).transform(prune_reactions)
+        reactions.transform(normalize_models, names)
+        .transform(reaction_side)
+        .transform(prune_reactions)
     )
 
 
-def build_conv(conversations: DataFrame) -> DataFrame:
+def build_conv(conversations: DataFrame, names: DataFrame | None = None) -> DataFrame:
     return (
         conversations.transform(drop_junk_names)
         .transform(drop_bad_names)
         .transform(fill_visitor)
-        .transform(normalize_models)
+        .transform(normalize_models, names)
         .transform(prune_conversations)
     )
 
 
-def build_votes(votes: DataFrame) -> DataFrame:
-    return votes.transform(normalize_models).transform(normalize_winner).transform(prune_votes)
+def build_votes(votes: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """`names` must hold the chosen names as well (`VOTE_NAMES`)."""
+    return (
+        votes.transform(normalize_models, names)
+        .transform(normalize_winner, names)
+        .transform(prune_votes)
+    )
 
 
-def build_arena(votes: DataFrame, key: str) -> DataFrame:
-    cleaned = (
-        votes.transform(drop_junk_names).transform(normalize_models).transform(normalize_winner)
+def arena_duels(votes: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    return (
+        votes.transform(drop_junk_names)
+        .transform(normalize_models, names)
+        .transform(normalize_winner, names)
     )
-    return cleaned.transform(arena_project, [key]).transform(arena_row_id, key)
 
 
-def build_bias_conv(conversations: DataFrame, key: str | None = None) -> DataFrame:
+def build_arena(votes: DataFrame, key: str, names: DataFrame | None = None) -> DataFrame:
+    return arena_duels(votes, names).transform(arena_project, [key]).transform(arena_row_id, key)
+
+
+def build_bias_conv(
+    conversations: DataFrame, key: str | None = None, names: DataFrame | None = None
+) -> DataFrame:
     """French duels for the bias scores; `key` keeps a unique key when there is one."""
     return (
         conversations.transform(drop_junk_names)
-        .transform(normalize_models)
+        .transform(normalize_models, names)
         .transform(bias_project, [key] if key else [])
     )

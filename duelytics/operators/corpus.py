@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from duelytics.constants import CULTURAL_STEMS, MAX_DOCS, SAMPLE_SEED, WHITESPACE
 from duelytics.dictionaries import DictionarySet
+from duelytics.functions.matching import keyword_hits
 from duelytics.functions.ranking import top_per_group
-from duelytics.functions.text import conversation_text, keyword_pattern, mentions, stem_pattern
+from duelytics.functions.text import conversation_text, mentions, stem_pattern
 
 
 def cultural_filter(df: DataFrame, stems: Sequence[str] = CULTURAL_STEMS) -> DataFrame:
@@ -62,27 +63,26 @@ def sample_docs(
 def keyword_counts(docs: DataFrame, dictionaries: DictionarySet) -> DataFrame:
     """Hits per model, dictionary and category over whole texts; categories without hits give 0.
 
-    One scan and one aggregation whatever the number of categories.  Texts are counted one by
-    one, so the largest model is spread over all tasks.
+    One pass over the texts whatever the number of categories.  Texts are counted one by one,
+    so the largest model is spread over all tasks.
     """
     cells = [
-        (name, category, rank, keyword_pattern(keywords))
+        (name, category, rank, keywords)
         for name, categories in dictionaries.items()
         for rank, (category, keywords) in enumerate(categories.items())
     ]
-    sums = docs.groupBy("model").agg(
+    labels = F.array(
         *[
-            F.sum(F.regexp_count("text", F.lit(pattern))).alias(f"_{i}")
-            for i, (*_, pattern) in enumerate(cells)
+            F.struct(
+                F.lit(name).alias("dict"),
+                F.lit(category).alias("category"),
+                F.lit(rank).alias("rank"),
+            )
+            for name, category, rank, _ in cells
         ]
     )
-    rows = [
-        F.struct(
-            F.lit(name).alias("dict"),
-            F.lit(category).alias("category"),
-            F.lit(rank).alias("rank"),
-            F.coalesce(F.col(f"_{i}"), F.lit(0)).alias("hits"),
-        )
-        for i, (name, category, rank, _) in enumerate(cells)
-    ]
-    return sums.select("model", F.inline(F.array(*rows)))
+    hits = keyword_hits(docs, [keywords for *_, keywords in cells])
+    label = F.element_at(labels, F.col("index") + 1)
+    return hits.withColumn("label", label).select(
+        "model", "label.dict", "label.category", "label.rank", "hits"
+    )

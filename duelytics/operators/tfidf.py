@@ -15,12 +15,14 @@ from duelytics.constants import (
 )
 from duelytics.functions.ranking import top_rows
 from duelytics.functions.text import WORD
+from duelytics.session import saved
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
     """(model, term, tf): words of two characters or more and pairs of neighbours.
 
-    Terms are counted on the map side before they are shuffled on (model, term).
+    Terms are counted on the map side before they are shuffled on (model, term).  The filter on
+    null states what the joins on `term` would infer, so that all uses share one shuffle.
     """
     words = F.regexp_extract_all("text", F.lit(WORD + "{2,}"), F.lit(0))
     w = F.col("words")
@@ -35,6 +37,7 @@ def term_counts(docs: DataFrame) -> DataFrame:
     return (
         docs.select("model", words.alias("words"))
         .select("model", F.explode(F.concat(w, pairs)).alias("term"))
+        .filter(F.col("term").isNotNull())
         .groupBy("model", "term")
         .agg(F.count("*").alias("tf"))
     )
@@ -86,7 +89,11 @@ def discriminants(
 def communs(
     docs: DataFrame, weights: DataFrame, keywords: Sequence[str], n: int = TOP_COMMUNS
 ) -> DataFrame:
-    """(model, term, rank): keywords of the vocabulary the model never uses, in name order."""
+    """(model, term, rank): keywords of the vocabulary the model never uses, in name order.
+
+    Every term of the vocabulary has a weight in some model, so the vocabulary's keywords are
+    read from `weights`; the candidates are the literal keywords on each model's row.
+    """
     used = weights.filter(F.col("term").isin(list(keywords))).select("model", "term")
     each = F.explode(F.array(*[F.lit(k) for k in keywords]))
     wanted = docs.select("model").distinct().select("model", each.alias("term"))
@@ -97,11 +104,14 @@ def communs(
     return unused.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
 
 
-def tfidf_top_terms(
-    docs: DataFrame, keywords: Sequence[str], **limits
-) -> DataFrame:
-    """(model, discriminants, communs): two short ordered lists per model."""
+def tfidf_top_terms(docs: DataFrame, keywords: Sequence[str], **limits) -> DataFrame:
+    """(model, discriminants, communs): two short ordered lists per model.
+
+    Only the weights of the keywords matter from here on, at most models × keywords rows; they
+    are saved, so the texts are counted once for both lists.
+    """
     weights = tfidf_weights(docs, **limits)
+    kept = saved(weights.filter(F.col("term").isin(list(keywords))))
 
     def listed(terms: DataFrame, name: str) -> DataFrame:
         ordered = F.array_sort(F.collect_list(F.struct("rank", "term")))["term"]
@@ -111,8 +121,8 @@ def tfidf_top_terms(
     return (
         docs.select("model")
         .distinct()
-        .join(listed(discriminants(weights, keywords), "discriminants"), "model", "left")
-        .join(listed(communs(docs, weights, keywords), "communs"), "model", "left")
+        .join(listed(discriminants(kept, keywords), "discriminants"), "model", "left")
+        .join(listed(communs(docs, kept, keywords), "communs"), "model", "left")
         .select(
             "model",
             F.coalesce("discriminants", empty).alias("discriminants"),

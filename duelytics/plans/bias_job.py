@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from duelytics.constants import MAX_DOCS
+from duelytics.constants import ARTIST_FACTOR, MAX_DOCS, VENUE_FACTOR
 from duelytics.dictionaries import CATALOGUE_SIDE, CONVERSATION_SIDE, DictionarySet, keyword_set
 from duelytics.operators import bias, catalogue, corpus, tfidf
-from duelytics.sources.files import (
-    read_artworks, read_parquet, read_venues, write_parquet,
-)
+from duelytics.session import saved
+from duelytics.sources.files import read_artworks, read_parquet, read_venues, write_parquet
 
 
 def reference(artworks: DataFrame, venues: DataFrame, side: DictionarySet) -> DataFrame:
@@ -52,13 +51,22 @@ def score(
     catalogue_side: DictionarySet = CATALOGUE_SIDE,
     **limits,
 ) -> DataFrame:
-    """Bias row per model, with maps and lists.  All keyword counts come from one scan."""
-    pairs = bias_pairs(docs, artworks, venues, conversation, catalogue_side)
-    artists = catalogue.coverage_artists(docs, catalogue.top_artists(artworks))
-    places = catalogue.coverage_venues(docs, catalogue.top_venues(venues))
+    """Bias row per model, with maps and lists.
+
+    The texts are read by three passes: keyword counts, names, terms.  The percentages feed four
+    small aggregations, so they are saved once.
+    """
+    pairs = saved(bias_pairs(docs, artworks, venues, conversation, catalogue_side))
+    names = {
+        "artworks": (catalogue.top_artists(artworks), ARTIST_FACTOR),
+        "venues": (catalogue.top_venues(venues), VENUE_FACTOR),
+    }
+    covered = saved(catalogue.coverages(docs, names))
     terms = tfidf.tfidf_top_terms(docs, keyword_set(conversation), **limits)
     return bias.bias_scores(
-        bias.artworks_report(pairs, artists), bias.venues_report(pairs, places), terms
+        bias.artworks_report(pairs, covered.filter(F.col("kind") == "artworks")),
+        bias.venues_report(pairs, covered.filter(F.col("kind") == "venues")),
+        terms,
     )
 
 

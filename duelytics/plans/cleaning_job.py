@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 from duelytics.operators import cleaning
 from duelytics.sources.files import path_exists, read_parquet, write_parquet
@@ -19,25 +19,32 @@ def run(
     key stays in the bias table.
     """
 
-    def bias_conv(df: DataFrame) -> DataFrame:
-        return cleaning.build_bias_conv(df, conv_key)
-
-    jobs: dict[str, list[tuple[str, object]]] = {
-        "reactions": [("react", cleaning.build_react)],
-        "conversations": [("conv", cleaning.build_conv), ("bias_conv", bias_conv)],
-        "votes": [
-            ("vot", cleaning.build_votes),
-            ("arena", lambda df: cleaning.build_arena(df, vote_key)),
-        ],
+    jobs = {
+        "reactions": (cleaning.RAW_NAMES, {"react": cleaning.build_react}),
+        "conversations": (
+            cleaning.RAW_NAMES,
+            {
+                "conv": cleaning.build_conv,
+                "bias_conv": lambda df, names: cleaning.build_bias_conv(df, conv_key, names),
+            },
+        ),
+        "votes": (
+            cleaning.VOTE_NAMES,
+            {
+                "vot": cleaning.build_votes,
+                "arena": lambda df, names: cleaning.build_arena(df, vote_key, names),
+            },
+        ),
     }
     written = []
-    for name, builds in jobs.items():
-        path = f"{source}/{name}.parquet"
+    for table, (columns, builds) in jobs.items():
+        path = f"{source}/{table}.parquet"
         if not path_exists(spark, path):
             continue
-        raw: DataFrame = read_parquet(spark, path)
-        for output, build in builds:
-            write_parquet(build(raw), f"{target}/{output}.parquet")
+        raw = read_parquet(spark, path)
+        names = cleaning.name_table(raw, columns)
+        for output, build in builds.items():
+            write_parquet(build(raw, names), f"{target}/{output}.parquet")
             written.append(output)
     return written
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -39,27 +40,31 @@ class Tables:
     def duels(self) -> DataFrame:
         return self.raw("duels")
 
+    @cached_property
+    def names(self) -> DataFrame | None:
+        """Chosen names are always one of the two."""
+        return cleaning.name_table(self.raw("duel_names"))
+
     @property
     def conv(self) -> DataFrame:
-        return cleaning.build_conv(self.duels)
+        return cleaning.build_conv(self.duels, self.names)
 
     @property
     def votes(self) -> DataFrame:
-        return cleaning.build_votes(self.duels)
+        return cleaning.build_votes(self.duels, self.names)
 
     @property
     def react(self) -> DataFrame:
-        return cleaning.build_react(self.raw("reactions"))
+        return cleaning.build_react(self.raw("reactions"), self.names)
 
     @property
     def arena(self) -> DataFrame:
-        return cleaning.build_arena(self.duels, "duel_id")
+        return cleaning.build_arena(self.duels, "duel_id", self.names)
 
     @property
     def arena_rows(self) -> DataFrame:
         """The arena without its row id, for operators that do not use it."""
-        cleaned = self.duels.transform(cleaning.drop_junk_names)
-        return cleaning.normalize_winner(cleaning.normalize_models(cleaned))
+        return cleaning.arena_duels(self.duels, self.names)
 
     @property
     def corpus(self) -> DataFrame:
