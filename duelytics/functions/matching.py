@@ -52,11 +52,12 @@ def names_in_texts(docs: DataFrame, lists: Mapping[str, Sequence[str]]) -> DataF
 
 
 def keyword_hits(docs: DataFrame, categories: Sequence[Sequence[str]]) -> DataFrame:
-    """(model, category index, hits): whole-word hits of each keyword list, zeros included.
+    """(model, index, hits, texts) for each keyword list: whole-word hits and the number of texts
+    with one, zeros included.
 
     Within a list hits do not overlap: the leftmost wins, then the longest.  A word character is
     a letter, a number or an underscore; an edge of a keyword that is one must not touch
-    another.  Each task emits one row per model with all its counts.
+    another.  Each task emits one row per model with its sums.
     """
     lists = [list(keywords) for keywords in categories]
 
@@ -77,26 +78,28 @@ def keyword_hits(docs: DataFrame, categories: Sequence[Sequence[str]]) -> DataFr
             edges = is_word(keyword[0]), is_word(keyword[-1])
             automaton.add_word(keyword, (len(keyword), edges, indexes))
         automaton.make_automaton()
+        size = len(lists)
         totals: dict[str, list[int]] = {}
         for batch in batches:
             for model, value in zip(batch.column("model").to_pylist(), batch.column("text")):
-                counts = totals.setdefault(model, [0] * len(lists))
+                sums = totals.setdefault(model, [0] * (2 * size))
                 if not owners or not value.is_valid:
                     continue
                 text = value.as_py()
-                hits = []
+                found = []
                 for last, (length, (first_edge, last_edge), indexes) in automaton.iter(text):
                     start, end = last + 1 - length, last + 1
                     before = start > 0 and is_word(text[start - 1])
                     after = end < len(text) and is_word(text[end])
                     if before != first_edge and after != last_edge:
-                        hits.append((start, -end, indexes))
-                hits.sort(key=lambda hit: hit[:2])
-                free = [0] * len(lists)
-                for start, end, indexes in hits:
+                        found.append((start, -end, indexes))
+                found.sort(key=lambda hit: hit[:2])
+                free = [0] * size
+                for start, end, indexes in found:
                     for index in indexes:
                         if start >= free[index]:
-                            counts[index] += 1
+                            sums[index] += 1
+                            sums[size + index] += free[index] == 0
                             free[index] = -end
         if totals:
             yield pa.RecordBatch.from_arrays(
@@ -104,12 +107,16 @@ def keyword_hits(docs: DataFrame, categories: Sequence[Sequence[str]]) -> DataFr
                     pa.array(list(totals), pa.string()),
                     pa.array(list(totals.values()), pa.list_(pa.int64())),
                 ],
-                ["model", "counts"],
+                ["model", "sums"],
             )
 
-    rows = docs.select("model", "text").mapInArrow(count, "model string, counts array<bigint>")
+    rows = docs.select("model", "text").mapInArrow(count, "model string, sums array<bigint>")
+    n = len(lists)
+    both = F.arrays_zip(
+        F.slice("sums", 1, n).alias("hits"), F.slice("sums", n + 1, n).alias("texts")
+    )
     return (
-        rows.select("model", F.posexplode("counts").alias("index", "hits"))
+        rows.select("model", F.posexplode(both).alias("index", "sum"))
         .groupBy("model", "index")
-        .agg(F.sum("hits").alias("hits"))
+        .agg(F.sum("sum.hits").alias("hits"), F.sum("sum.texts").alias("texts"))
     )

@@ -15,10 +15,11 @@ from duelytics.constants import (
     WHITESPACE,
 )
 from duelytics.dictionaries import Dictionary
-from duelytics.functions.matching import names_in_texts
+from duelytics.functions.matching import keyword_hits, names_in_texts
 from duelytics.functions.numeric import round_even
 from duelytics.functions.ranking import top_rows
-from duelytics.functions.text import clean_text, keyword_pattern
+from duelytics.functions.text import clean_text
+from duelytics.operators.corpus import labelled
 from duelytics.operators.metrics import ratio
 
 
@@ -27,23 +28,10 @@ def reference_counts(df: DataFrame, column: str, name: str, dictionary: Dictiona
 
     A row may count for several categories; all categories are counted in one pass.
     """
-    text = df.select(clean_text(F.col(column)).alias("v")).filter(F.col("v").isNotNull())
-    hits = text.agg(
-        *[
-            F.count_if(F.rlike("v", F.lit(keyword_pattern(keywords)))).alias(f"_{rank}")
-            for rank, keywords in enumerate(dictionary.values())
-        ]
-    )
-    rows = [
-        F.struct(
-            F.lit(name).alias("dict"),
-            F.lit(category).alias("category"),
-            F.lit(rank).alias("rank"),
-            F.col(f"_{rank}").alias("hits"),
-        )
-        for rank, category in enumerate(dictionary)
-    ]
-    return hits.select(F.inline(F.array(*rows)))
+    value = clean_text(F.col(column))
+    rows = df.select(F.lit("").alias("model"), value.alias("text"))
+    found = labelled(keyword_hits(rows, list(dictionary.values())), {name: dictionary})
+    return found.select("dict", "category", "rank", F.col("texts").alias("hits"))
 
 
 def distribution(counts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

@@ -18,6 +18,7 @@ from duelytics.constants import (
     VOTE_DROPS,
 )
 from duelytics.functions.naming import family_of, is_bad, is_junk, version_of
+from duelytics.session import saved
 
 SIDES = ("a", "b")
 RAW_NAMES = ("model_a_name", "model_b_name")
@@ -59,19 +60,24 @@ def name_table(
     """Every raw name once with its family and version, for a broadcast join; None when there
     are too many names for that.
 
-    A name costs some thirty regular expressions and recurs in millions of duels.  The check
-    runs a count over the name columns only.  Callers fall back to the column expressions,
-    which need no join, when it gives None.
+    A name costs some thirty regular expressions and recurs in millions of duels.  The distinct
+    names are read from the name columns, normalized and saved, so that neither the size check
+    nor a filter inferred from a join runs the expressions on duels again.  Callers fall back to
+    the column expressions, which need no join, when there are too many.
     """
-    raw = df.select(F.explode(F.array(*columns)).alias("raw")).dropna().distinct()
-    found = raw.limit(max_names + 1).agg(
-        F.count("*").alias("n"), F.sum(F.octet_length("raw")).alias("bytes")
+    name = F.col("raw")
+    names = saved(
+        df.select(F.explode(F.array(*columns)).alias("raw"))
+        .dropna()
+        .distinct()
+        .select("raw", family_of(name).alias("family"), version_of(name).alias("version"))
     )
-    size = found.collect()[0]
+    size = names.agg(
+        F.count("*").alias("n"), F.sum(F.octet_length("raw")).alias("bytes")
+    ).collect()[0]
     if size["n"] > max_names or (size["bytes"] or 0) > max_bytes:
         return None
-    name = F.col("raw")
-    return raw.select("raw", family_of(name).alias("family"), version_of(name).alias("version"))
+    return names
 
 
 def add_versions(df: DataFrame) -> DataFrame:

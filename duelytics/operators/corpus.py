@@ -66,23 +66,23 @@ def keyword_counts(docs: DataFrame, dictionaries: DictionarySet) -> DataFrame:
     One pass over the texts whatever the number of categories.  Texts are counted one by one,
     so the largest model is spread over all tasks.
     """
-    cells = [
-        (name, category, rank, keywords)
+    return labelled(keyword_hits(docs, keyword_lists(dictionaries)), dictionaries).drop("texts")
+
+
+def keyword_lists(dictionaries: DictionarySet) -> list[list[str]]:
+    return [keywords for categories in dictionaries.values() for keywords in categories.values()]
+
+
+def labelled(hits: DataFrame, dictionaries: DictionarySet) -> DataFrame:
+    """Dictionary, category and rank of each keyword list instead of its index."""
+    labels = [
+        F.struct(
+            F.lit(name).alias("dict"), F.lit(category).alias("category"), F.lit(rank).alias("rank")
+        )
         for name, categories in dictionaries.items()
-        for rank, (category, keywords) in enumerate(categories.items())
+        for rank, category in enumerate(categories)
     ]
-    labels = F.array(
-        *[
-            F.struct(
-                F.lit(name).alias("dict"),
-                F.lit(category).alias("category"),
-                F.lit(rank).alias("rank"),
-            )
-            for name, category, rank, _ in cells
-        ]
-    )
-    hits = keyword_hits(docs, [keywords for *_, keywords in cells])
-    label = F.element_at(labels, F.col("index") + 1)
+    label = F.element_at(F.array(*labels), F.col("index") + 1)
     return hits.withColumn("label", label).select(
-        "model", "label.dict", "label.category", "label.rank", "hits"
+        "model", "label.dict", "label.category", "label.rank", "hits", "texts"
     )
