@@ -26,12 +26,20 @@ from duelytics.operators.metrics import ratio
 def reference_counts(df: DataFrame, column: str, name: str, dictionary: Dictionary) -> DataFrame:
     """(dict, category, rank, hits): catalogue rows whose text mentions each category.
 
-    A row may count for several categories; all categories are counted in one pass.
+    A row may count for several categories; all categories are counted in one pass.  Without
+    rows every category has 0.
     """
     value = clean_text(F.col(column))
     rows = df.select(F.lit("").alias("model"), value.alias("text"))
     found = labelled(keyword_hits(rows, list(dictionary.values())), {name: dictionary})
-    return found.select("dict", "category", "rank", F.col("texts").alias("hits"))
+    categories = df.sparkSession.createDataFrame(
+        [(name, category, rank) for rank, category in enumerate(dictionary)],
+        "dict string, category string, rank int",
+    )
+    counted = found.select("dict", "category", "texts")
+    return categories.join(counted, ["dict", "category"], "left").select(
+        "dict", "category", "rank", F.coalesce("texts", F.lit(0)).alias("hits")
+    )
 
 
 def distribution(counts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
