@@ -19,7 +19,7 @@ from duelytics.functions.matching import keyword_hits, names_in_texts
 from duelytics.functions.numeric import round_even
 from duelytics.functions.ranking import top_rows
 from duelytics.functions.text import clean_text
-from duelytics.operators.corpus import labelled
+from duelytics.operators.corpus import label_array
 from duelytics.operators.metrics import ratio
 
 
@@ -31,13 +31,10 @@ def reference_counts(df: DataFrame, column: str, name: str, dictionary: Dictiona
     """
     value = clean_text(F.col(column))
     rows = df.select(F.lit("").alias("model"), value.alias("text"))
-    found = labelled(keyword_hits(rows, list(dictionary.values())), {name: dictionary})
-    categories = df.sparkSession.createDataFrame(
-        [(name, category, rank) for rank, category in enumerate(dictionary)],
-        "dict string, category string, rank int",
-    )
-    counted = found.select("dict", "category", "texts")
-    return categories.join(counted, ["dict", "category"], "left").select(
+    found = keyword_hits(rows, list(dictionary.values())).select("index", "texts")
+    labels = F.inline(label_array({name: dictionary}))
+    categories = df.sparkSession.range(1).select(labels)
+    return categories.join(found, "index", "left").select(
         "dict", "category", "rank", F.coalesce("texts", F.lit(0)).alias("hits")
     )
 

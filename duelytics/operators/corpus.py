@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from duelytics.constants import CULTURAL_STEMS, MAX_DOCS, SAMPLE_SEED, WHITESPACE
 from duelytics.dictionaries import DictionarySet
 from duelytics.functions.matching import keyword_hits
 from duelytics.functions.ranking import top_per_group
 from duelytics.functions.text import conversation_text, mentions, stem_pattern
+from duelytics.session import small
 
 
 def cultural_filter(df: DataFrame, stems: Sequence[str] = CULTURAL_STEMS) -> DataFrame:
@@ -52,12 +54,13 @@ def sample_docs(
 ) -> DataFrame:
     """At most `n` documents per model, the same ones whatever the partitioning.
 
-    Only the keys are ranked; the texts of the chosen ones come back by a semi-join.
+    Only the keys are ranked.  The texts of the chosen ones come back by a semi-join, with the
+    n keys per model broadcast while they are few, so that no text is shuffled.
     """
     tag = F.md5(F.concat_ws("", *[F.col(k).cast("string") for k in keys], F.lit(str(seed))))
     ids = docs.select("model", *keys, tag.alias("_tag"))
     chosen = top_per_group(ids, ["model"], ["_tag", *keys], n, salt=["_tag"])
-    return docs.join(chosen.drop("_tag"), ["model", *keys], "left_semi")
+    return docs.join(small(chosen.drop("_tag")), ["model", *keys], "left_semi")
 
 
 def keyword_counts(docs: DataFrame, dictionaries: DictionarySet) -> DataFrame:
@@ -73,16 +76,21 @@ def keyword_lists(dictionaries: DictionarySet) -> list[list[str]]:
     return [keywords for categories in dictionaries.values() for keywords in categories.values()]
 
 
-def labelled(hits: DataFrame, dictionaries: DictionarySet) -> DataFrame:
-    """Dictionary, category and rank of each keyword list instead of its index."""
+def label_array(dictionaries: DictionarySet) -> Column:
+    """(dict, category, rank, index) of each keyword list, as one constant array."""
     labels = [
-        F.struct(
-            F.lit(name).alias("dict"), F.lit(category).alias("category"), F.lit(rank).alias("rank")
-        )
+        {"dict": name, "category": category, "rank": rank}
         for name, categories in dictionaries.items()
         for rank, category in enumerate(categories)
     ]
-    label = F.element_at(F.array(*labels), F.col("index") + 1)
+    numbered = json.dumps([{**label, "index": i} for i, label in enumerate(labels)])
+    kind = "array<struct<dict:string,category:string,rank:int,index:int>>"
+    return F.from_json(F.lit(numbered), kind)
+
+
+def labelled(hits: DataFrame, dictionaries: DictionarySet) -> DataFrame:
+    """Dictionary, category and rank of each keyword list instead of its index."""
+    label = F.element_at(label_array(dictionaries), F.col("index") + 1)
     return hits.withColumn("label", label).select(
         "model", "label.dict", "label.category", "label.rank", "hits", "texts"
     )

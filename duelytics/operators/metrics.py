@@ -19,8 +19,9 @@ from duelytics.constants import (
     CARBON_KG_PER_KWH,
     MEAN_PICK_RATE,
 )
-from duelytics.functions.numeric import EXACT, exact_sum, or_zero, round_even
+from duelytics.functions.numeric import exact_sum, or_zero, round_even
 from duelytics.operators.appearances import appearances, both_levels, count_first
+from duelytics.session import small
 
 MODEL = ["family", "version"]
 TAGS = [
@@ -168,64 +169,94 @@ def audience(conv: DataFrame) -> DataFrame:
     )
 
 
+def energy_columns() -> dict[str, Column]:
+    return {
+        "kwh_total": round_even(or_zero(F.col("kwh")), 2),
+        "kwh_avg": round_even(ratio(F.col("kwh_first"), F.col("kwh_n")), 3),
+    }
+
+
+def tokens_columns() -> dict[str, Column]:
+    return {
+        "tokens_total": or_zero(F.col("tokens")),
+        "tokens_avg": round_even(ratio(F.col("tokens_first"), F.col("tokens_n")), 3),
+    }
+
+
+def carbon_columns(kg_per_kwh: float = CARBON_KG_PER_KWH) -> dict[str, Column]:
+    kg = round_even(round_even(or_zero(F.col("kwh")), 2) * F.lit(kg_per_kwh), 2)
+    grams = round_even(ratio(kg, F.col("conversations")) * 1000.0, 3)
+    return {"carbon_kg": kg, "carbon_g_per_conv": F.coalesce(grams, F.lit(0.0))}
+
+
+def turns_columns() -> dict[str, Column]:
+    mean = ratio(or_zero(F.col("turns_sides")), F.col("sides"))
+    return {"turns_total": or_zero(F.col("turns")), "turns_avg": round_even(mean, 2)}
+
+
+def engagement_columns() -> dict[str, Column]:
+    share = ratio(F.col("deep"), F.col("conversations"))
+    return {"deep_engagement": round_even(share * 100.0, 1)}
+
+
+def pick_columns(conv: DataFrame, mean_rate: float = MEAN_PICK_RATE) -> dict[str, Column]:
+    """Share of all hand-picked duels in which the model plays and was asked for, and its
+    distance from the mean of all models."""
+    custom = conv.filter(F.col("mode") == "custom").agg(F.count("*").alias("n")).scalar()
+    rate = F.coalesce(round_even(ratio(F.col("picks"), custom) * 100.0, 1), F.lit(0.0))
+    return {"pick_rate": rate, "pick_rate_delta": round_even(rate - F.lit(mean_rate), 1)}
+
+
+def with_columns(totals: DataFrame, *groups: dict[str, Column]) -> DataFrame:
+    """The model and the columns of the groups, computed from one `duel_totals` table."""
+    merged = {name: column for group in groups for name, column in group.items()}
+    return totals.select(*MODEL, *[column.alias(name) for name, column in merged.items()])
+
+
 def energy(totals: DataFrame) -> DataFrame:
-    total = round_even(or_zero(F.col("kwh")), 2)
-    mean = round_even(ratio(F.col("kwh_first"), F.col("kwh_n")), 3)
-    return totals.select(*MODEL, total.alias("kwh_total"), mean.alias("kwh_avg"))
+    return with_columns(totals, energy_columns())
 
 
 def tokens(totals: DataFrame) -> DataFrame:
-    mean = round_even(ratio(F.col("tokens_first"), F.col("tokens_n")), 3)
-    return totals.select(
-        *MODEL, or_zero(F.col("tokens")).alias("tokens_total"), mean.alias("tokens_avg")
-    )
+    return with_columns(totals, tokens_columns())
 
 
 def carbon(totals: DataFrame, kg_per_kwh: float = CARBON_KG_PER_KWH) -> DataFrame:
-    kg = round_even(round_even(or_zero(F.col("kwh")), 2) * F.lit(kg_per_kwh), 2)
-    grams = round_even(ratio(F.col("carbon_kg"), F.col("conversations")) * 1000.0, 3)
-    return (
-        totals.select(*MODEL, "conversations", kg.alias("carbon_kg"))
-        .withColumn("carbon_g_per_conv", F.coalesce(grams, F.lit(0.0)))
-        .drop("conversations")
-    )
+    return with_columns(totals, carbon_columns(kg_per_kwh))
 
 
 def turns(totals: DataFrame) -> DataFrame:
-    mean = round_even(ratio(or_zero(F.col("turns_sides")), F.col("sides")), 2)
-    return totals.select(
-        *MODEL, or_zero(F.col("turns")).alias("turns_total"), mean.alias("turns_avg")
-    )
+    return with_columns(totals, turns_columns())
 
 
 def deep_engagement(totals: DataFrame) -> DataFrame:
-    share = round_even(ratio(F.col("deep"), F.col("conversations")) * 100.0, 1)
-    return totals.select(*MODEL, share.alias("deep_engagement"))
+    return with_columns(totals, engagement_columns())
 
 
 def pick_rate(
     totals: DataFrame, conv: DataFrame, mean_rate: float = MEAN_PICK_RATE
 ) -> DataFrame:
-    """Share of all hand-picked duels in which the model plays and was asked for, and its
-    distance from the mean of all models."""
-    custom = conv.filter(F.col("mode") == "custom").agg(F.count("*").alias("n")).scalar()
-    rate = F.coalesce(round_even(ratio(F.col("picks"), custom) * 100.0, 1), F.lit(0.0))
-    return totals.select(*MODEL, rate.alias("pick_rate")).withColumn(
-        "pick_rate_delta", round_even(F.col("pick_rate") - F.lit(mean_rate), 1)
-    )
+    return with_columns(totals, pick_columns(conv, mean_rate))
 
 
 def model_metrics(conv: DataFrame, votes: DataFrame) -> DataFrame:
-    """One row per model with every duel metric; small tables joined on (family, version)."""
-    totals = duel_totals(conv)
-    out = totals.select(*MODEL, "conversations")
-    tables = [
-        energy(totals), tokens(totals), carbon(totals), turns(totals), deep_engagement(totals),
-        pick_rate(totals, conv), audience(conv), winrate(votes),
-    ]
-    for table in tables:
-        out = out.join(table, MODEL, "left")
-    return out.join(param_size(conv), MODEL, "left")
+    """One row per model with every duel metric.  All sums come from one pass; visitors, votes
+    and sizes join it as small tables on (family, version)."""
+    metrics = with_columns(
+        duel_totals(conv),
+        {"conversations": F.col("conversations")},
+        energy_columns(),
+        tokens_columns(),
+        carbon_columns(),
+        turns_columns(),
+        engagement_columns(),
+        pick_columns(conv),
+    )
+    return (
+        metrics.join(audience(conv), MODEL, "left")
+        .join(winrate(votes), MODEL, "left")
+        .join(param_size(conv), MODEL, "left")
+    )
 
 
 # Votes ------------------------------------------------------------------------------------
@@ -338,8 +369,7 @@ def badges(
     """Badges of every model that has reactions; a mean of zero counts as missing, so a
     flawless model does not get the three "fewer than usual" badges."""
     measures = (
-        reactions.join(tokens(totals), MODEL, "left")
-        .join(turns(totals), MODEL, "left")
+        reactions.join(with_columns(totals, tokens_columns(), turns_columns()), MODEL, "left")
         .join(winrates.select(*MODEL, "winrate"), MODEL, "left")
         .withColumn("b", bench.select(F.struct("*")).scalar())
     )
@@ -382,7 +412,8 @@ def price_per_token(models: DataFrame, prices: DataFrame) -> DataFrame:
 
     A price row belongs to a family when its lower-cased id contains it.  The containment is
     an equi-join on the family's first three characters against the pieces of the id, then a
-    check of the whole name: no nested loop, nothing broadcast by force.
+    check of the whole name, not a nested loop.  The models are broadcast when they are few, so
+    that a common name does not gather its price rows in one task.
     All versions: mean of the parseable prices, free when they are all zero.  One version: the
     first row whose id holds the version as well.
     """
@@ -405,7 +436,7 @@ def price_per_token(models: DataFrame, prices: DataFrame) -> DataFrame:
     in_id = F.contains("id", "name") & (all_versions | F.contains("id", "tag"))
     raw = F.coalesce(F.nullif(F.btrim("completion"), F.lit("")), F.lit("0"))
     hits = (
-        wanted.join(by_piece, "piece").filter(in_id).withColumn("value", raw.try_cast("double"))
+        by_piece.join(small(wanted), "piece").filter(in_id).withColumn("value", raw.try_cast("double"))
     )
     sums = hits.groupBy(*MODEL).agg(
         F.sum("value").alias("total"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def local_session(cores: int = 8, shuffle_partitions: int | None = None) -> SparkSession:
@@ -40,3 +40,13 @@ def saved(df: DataFrame) -> DataFrame:
     """Cut the lineage and keep the rows: reliable checkpoint in the shared folder."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def small(df: DataFrame, max_rows: int = 500_000) -> DataFrame:
+    """A saved copy, broadcast in joins when it has at most `max_rows` rows.
+
+    For narrow tables that are expected to be small but are not bound to be; beyond the limit
+    the join is left to Spark.
+    """
+    rows = saved(df)
+    return F.broadcast(rows) if rows.count() <= max_rows else rows
