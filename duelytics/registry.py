@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import cached_property
 
@@ -11,11 +12,14 @@ from duelytics import derived
 from duelytics.derived import CHECK_CATALOGUE, CHECK_DICTIONARIES
 from duelytics.dictionaries import CONVERSATION_SIDE, keyword_set
 from duelytics.functions.naming import family_of, family_stem, version_of
-from duelytics.functions.text import clean_text, parse_transcript
+from duelytics.functions.text import clean_text, keyword_pattern, parse_transcript
 from duelytics.operators import (
     bias, catalogue, cleaning, corpus, explorer, metrics, tfidf, trends,
 )
+from duelytics.plans import cleaning_job
 from duelytics.plans.bias_job import bias_pairs, reference, score
+from duelytics.session import checkpoint_dir
+from duelytics.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -163,6 +167,64 @@ def rounded(df: DataFrame, column: str, digits: int = 9) -> DataFrame:
     return df.withColumn(column, F.round(column, digits))
 
 
+def scratch(t: Tables) -> str:
+    """A new folder beside the checkpoints, for queries that write and read back."""
+    return f"{checkpoint_dir(t.spark)}/registry-{uuid.uuid4().hex}"
+
+
+def source_queries() -> dict[str, Callable[[Tables], DataFrame]]:
+    def written(t: Tables) -> DataFrame:
+        path = f"{scratch(t)}/conv.parquet"
+        files.write_parquet(t.conv, path)
+        return files.read_parquet(t.spark, path)
+
+    def cleaned(t: Tables) -> DataFrame:
+        folder = scratch(t)
+        files.write_parquet(t.duels, f"{folder}/raw/votes.parquet")
+        files.write_parquet(t.duels, f"{folder}/raw/conversations.parquet")
+        files.write_parquet(t.raw("reactions"), f"{folder}/raw/reactions.parquet")
+        cleaning_job.run(t.spark, f"{folder}/raw", f"{folder}/clean", "duel_id", "duel_id")
+        _, votes, _ = files.read_cleaned(t.spark, f"{folder}/clean")
+        return votes
+
+    def artworks(t: Tables) -> DataFrame:
+        path = scratch(t)
+        extra = {name: F.lit("x") for name in ("Region", "Nom_officiel_musee", "unused")}
+        files.write_text_table(t.raw("artworks").withColumns(extra), path, "|")
+        return files.read_artworks(t.spark, path)
+
+    def venues(t: Tables) -> DataFrame:
+        path = scratch(t)
+        columns = {
+            "Type équipement ou lieu": F.col("Type_equipement"), "Domaine": F.lit("d"),
+            "Région": F.col("Region"), "Département": F.lit("75"),
+            "libelle_geographique": F.lit("Paris"), "unused": F.lit("x"),
+        }
+        raw = t.raw("venues").select("Nom", *[c.alias(n) for n, c in columns.items()])
+        files.write_text_table(raw, path, ";")
+        return files.read_venues(t.spark, path)
+
+    def guarded(t: Tables) -> DataFrame:
+        there = derived.table(t.spark, t.folder, "conversations")
+        found, missing = (
+            files.read_or_empty(t.spark, f"{t.folder}/{name}.parquet", there.schema)
+            for name in ("conversations", "no_such_table")
+        )
+        return found.unionByName(missing)
+
+    return {
+        "src_clean": lambda t: cleaned(t).select(
+            "base_model_a", "version_b", "chosen_base_model", "both_equal", "conv_turns"
+        ),
+        "src_artworks": lambda t: artworks(t).select("Auteur", "Region"),
+        "src_venues": lambda t: venues(t).select("Nom", "Type_equipement", "Region", "Commune"),
+        "sink_parquet": lambda t: written(t).select(
+            "duel_id", "visitor_id", "base_model_a", "version_a", "timestamp", "conv_turns"
+        ),
+        "src_guard": guarded,
+    }
+
+
 def cleaning_queries() -> dict[str, Callable[[Tables], DataFrame]]:
     return {
         "clean_junk_names": lambda t: cleaning.drop_junk_names(t.duels).select(
@@ -311,6 +373,12 @@ def corpus_queries() -> dict[str, Callable[[Tables], DataFrame]]:
         "col_normalize": lambda t: t.raw("venues")
         .select("Nom", clean_text(F.col("Nom")).alias("name"))
         .dropna(),
+        "keyword_patterns": lambda t: t.corpus.groupBy("model").agg(
+            *[
+                F.count_if(F.rlike("text", F.lit(keyword_pattern(keywords)))).alias(f"texts_{i}")
+                for i, keywords in enumerate(CHECK_DICTIONARIES["periods"].values())
+            ]
+        ),
         "keyword_counts": lambda t: corpus.keyword_counts(t.corpus, CHECK_DICTIONARIES),
         "keyword_dicts": lambda t: corpus.keyword_counts(t.corpus, CONVERSATION_SIDE),
         "cultural_keyword_set": lambda t: tfidf.term_counts(t.corpus).filter(
@@ -446,7 +514,7 @@ def explorer_queries() -> dict[str, Callable[[Tables], DataFrame]]:
 
 def queries() -> dict[str, Query]:
     plain = {
-        **cleaning_queries(), **metric_queries(), **corpus_queries(), **bias_queries(),
+        **source_queries(), **cleaning_queries(), **metric_queries(), **corpus_queries(), **bias_queries(),
         **explorer_queries(),
     }
 

@@ -47,10 +47,13 @@ def read_cleaned(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame
     return conv, votes, react
 
 
-def read_text_table(spark: SparkSession, path: str, separator: str) -> DataFrame:
-    """A delimited file, every column as string; damaged fields are kept as they are.
+def read_text_table(
+    spark: SparkSession, path: str, separator: str, multi_line: bool = True
+) -> DataFrame:
+    """A delimited file or folder, every column as string; damaged fields are kept as they are.
 
-    Quoted line breaks need whole files per task, so large exports should be split into files.
+    Quoted line breaks need one task per file.  Exports without them can be read in splits with
+    `multi_line=False`.
     """
     return (
         spark.read.option("sep", separator)
@@ -59,18 +62,18 @@ def read_text_table(spark: SparkSession, path: str, separator: str) -> DataFrame
         .option("mode", "PERMISSIVE")
         .option("quote", '"')
         .option("escape", '"')
-        .option("multiLine", True)
+        .option("multiLine", multi_line)
         .option("encoding", "UTF-8")
         .csv(path)
     )
 
 
-def read_artworks(spark: SparkSession, path: str) -> DataFrame:
-    return read_text_table(spark, path, "|").select(*ARTWORK_COLUMNS)
+def read_artworks(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    return read_text_table(spark, path, "|", multi_line).select(*ARTWORK_COLUMNS)
 
 
-def read_venues(spark: SparkSession, path: str) -> DataFrame:
-    table = read_text_table(spark, path, ";")
+def read_venues(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    table = read_text_table(spark, path, ";", multi_line)
     return table.select(*[F.col(f"`{c}`") for c in VENUE_COLUMNS]).withColumnsRenamed(VENUE_RENAMES)
 
 
@@ -86,6 +89,20 @@ def write_parquet(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
+def write_text_table(df: DataFrame, path: str, separator: str) -> None:
+    """A delimited folder that `read_text_table` reads back unchanged."""
+    (
+        df.write.mode("overwrite")
+        .option("sep", separator)
+        .option("header", True)
+        .option("quoteAll", True)
+        .option("escape", '"')
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
+        .csv(path)
+    )
+
+
 def spread_small(df: DataFrame, *keys: str) -> DataFrame:
     """Give every core a part of a table smaller than one split per core.
 

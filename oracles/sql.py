@@ -636,6 +636,18 @@ SELECT duel_id, CASE WHEN json_valid(t) THEN t END AS t FROM (
 
 def statements() -> dict[str, str]:
     out = {
+        "src_clean": (
+            "SELECT base_model_a, version_b, chosen_base_model, both_equal, conv_turns FROM votes"
+        ),
+        "src_artworks": """SELECT v AS "Auteur", 'x' AS "Region" FROM artworks""",
+        "src_venues": (
+            'SELECT nom AS "Nom", kind AS "Type_equipement", region AS "Region",'
+            """ 'Paris' AS "Commune" FROM venues"""
+        ),
+        "sink_parquet": (
+            'SELECT duel_id, visitor_id, base_model_a, version_a, "timestamp", conv_turns FROM conv'
+        ),
+        "src_guard": "SELECT * FROM conversations",
         "clean_junk_names": f"SELECT duel_id, model_a_name, model_b_name FROM duels WHERE {JUNK}",
         "clean_bad_names": (
             f"SELECT duel_id, model_a_name, model_b_name FROM duels WHERE {JUNK} AND {BAD}"
@@ -798,6 +810,15 @@ def statements() -> dict[str, str]:
             f'SELECT nom AS "Nom", {clean("nom")} AS name FROM venues WHERE {clean("nom")}'
             " IS NOT NULL"
         ),
+        "keyword_patterns": (
+            "SELECT model, "
+            + ", ".join(
+                f"count(*) FILTER (WHERE regexp_matches(t, {pattern(k)})) AS texts_{i}"
+                for i, k in enumerate(CHECK_DICTIONARIES["periods"].values())
+            )
+            + f' FROM (SELECT model, {doubled(chr(34) + "text" + chr(34))} AS t FROM corpus)'
+            " GROUP BY 1"
+        ),
         "keyword_counts": "SELECT * FROM hits",
         "keyword_dicts": hits(CONVERSATION_SIDE),
         "cultural_keyword_set": f"SELECT * FROM terms WHERE term IN ({KEYWORDS})",
