@@ -442,7 +442,7 @@ def price_per_token(models: DataFrame, prices: DataFrame) -> DataFrame:
         F.sum("value").alias("total"),
         F.count("value").alias("n"),
         F.count_if(F.col("value") != 0).alias("paid"),
-        F.min_by(F.struct("value"), F.col("position"))["value"].alias("first"),
+        F.min_by("value", "position").alias("first"),
     )
     mean = F.coalesce(round_even(ratio(F.col("total"), F.col("n")), 6), F.lit(0.0))
     all_versions = F.col("version") == ALL_VERSIONS
