@@ -110,7 +110,7 @@ FROM placed
 OP3 = f"""
 WITH lines AS (
     SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
-        unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS at
+        unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos
     FROM documents
 ), keyed AS (
     SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
@@ -123,7 +123,7 @@ WITH lines AS (
     SELECT k.*, s.key IS NOT NULL AND s.top <> k.doc_id AS gone FROM keyed k LEFT JOIN shared s ON k.key = s.key
 )
 SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE gone)::BIGINT AS n_dropped,
-    sha256(coalesce(string_agg(line, chr(10) ORDER BY at) FILTER (WHERE NOT gone), '')) AS kept_sha256
+    sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
 """
 
