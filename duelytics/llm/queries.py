@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from duelytics.llm import bpe, isolation, licenses, line_runs, mixing
+from duelytics.llm import bpe, dart_minhash, isolation, licenses, line_runs, mixing, repeats, voronoi
 from duelytics.llm.store import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,20 +32,35 @@ def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_runs.dedup(table(spark, sf_dir, "documents"))
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dart_minhash.classes(table(spark, sf_dir, "documents"))
+
+
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return voronoi.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return isolation.rule_verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.dedup(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_bpe": op1_bpe,
     "op2_mix": op2_mix,
     "op3_lines": op3_lines,
+    "op4_near_duplicates": op4_near_duplicates,
     "op5_licenses": op5_licenses,
+    "op6_top_k": op6_top_k,
     "op7_rules": op7_rules,
+    "op8_repeats": op8_repeats,
 }
 
 # The same rows by DuckDB. The mix is dealt quotient by quotient instead of by a divisor.
@@ -127,4 +142,17 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE gone)::BIGINT
 FROM marked GROUP BY doc_id
 """
 
-ORACLES: dict[str, str] = {"op2_mix": OP2, "op3_lines": OP3}
+OP6 = f"""
+WITH whole AS (
+    SELECT vec_id, [floor({voronoi.SCALE} * x::DOUBLE) for x in embedding] AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0
+), scored AS (
+    SELECT q.vec_id AS query_id, d.vec_id, list_inner_product(q.v, d.v)::BIGINT AS score
+    FROM whole q JOIN whole d ON q.vec_id % {voronoi.EVERY} = 0 AND q.vec_id <> d.vec_id
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= {voronoi.K}
+"""
+
+ORACLES: dict[str, str] = {"op2_mix": OP2, "op3_lines": OP3, "op6_top_k": OP6}

@@ -21,9 +21,25 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The rows of `df`, written once as Parquet and read back: the lineage is cut and a lost
-    executor costs no recomputation."""
-    path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    executor costs no recomputation. A collection in the driver's JVM then lets Spark's cleaner
+    remove the shuffle files of the steps that are over."""
+    spark = df.sparkSession
+    path = new_folder(spark, name)
+    df.write.option("compression", "zstd").parquet(path)
+    spark.sparkContext._jvm.System.gc()
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more."""
+    for df in tables:
+        _delete(df.sparkSession, df._stored_at)
