@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from duelytics.llm import bpe, isolation, line_runs, mixing
+from duelytics.llm import bpe, dart_minhash, isolation, line_runs, mixing
 from duelytics.llm.queries import vocabulary_path
 from duelytics.llm.store import stored, table
 
@@ -23,6 +23,11 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return line_runs.without_shared_lines(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates stays."""
+    return dart_minhash.one_of_each(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document stands as often as the mix takes it, a part of it where it takes a part."""
     return mixing.mixed(docs)
@@ -36,6 +41,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality_rules", quality_rules),
     ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
     ("mix_sources", mix_sources),
     ("encode", encode),
 ]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from duelytics.llm import bpe, dart_minhash, isolation, licenses, line_runs, mixing, repeats, voronoi
+from duelytics.llm import bpe, dart_minhash, isolation, licenses, line_runs, mixing, repeats, templates, voronoi, weak_labels
 from duelytics.llm.store import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +52,14 @@ def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.dedup(table(spark, sf_dir, "documents"))
 
 
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.extract(table(spark, sf_dir, "pages"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weak_labels.classify(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_bpe": op1_bpe,
     "op2_mix": op2_mix,
@@ -61,6 +69,8 @@ QUERIES: dict[str, Query] = {
     "op6_top_k": op6_top_k,
     "op7_rules": op7_rules,
     "op8_repeats": op8_repeats,
+    "op9_html": op9_html,
+    "op10_quality": op10_quality,
 }
 
 # The same rows by DuckDB. The mix is dealt quotient by quotient instead of by a divisor.

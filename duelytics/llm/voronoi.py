@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from duelytics.llm.store import stored
 
 SCALE, K, EVERY = 64, 20, 20
-PIVOTS, SEED = 48, 11
+PIVOTS, SEED = 16, 11
 QUERY_ROWS, DATA_ROWS, SLICE = 512, 16_384, 4096
 _TYPES = [np.int16, np.int32, np.int64]
 
