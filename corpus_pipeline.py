@@ -6,13 +6,18 @@ one's documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from duelytics.llm import bpe, dart_minhash, isolation, line_runs, mixing
 from duelytics.llm.queries import vocabulary_path
 from duelytics.llm.store import stored, table
 
 
+def _measured(docs: DataFrame) -> DataFrame:
+    """n_chars again after a change of the texts."""
+    return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
     return isolation.good_documents(docs, table(spark, sf_dir, "labels"))
@@ -20,7 +25,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that many of the remaining documents share go, except in one of them."""
-    return line_runs.without_shared_lines(docs)
+    return _measured(line_runs.without_shared_lines(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +35,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document stands as often as the mix takes it, a part of it where it takes a part."""
-    return mixing.mixed(docs)
+    return _measured(mixing.mixed(docs))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

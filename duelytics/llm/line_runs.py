@@ -63,48 +63,49 @@ class LineRuns:
         self.spark, self.fan = spark, fan
         self.levels: dict[int, list[str]] = defaultdict(list)
         self.again: list[str] = []
+        self.folders: dict[str, str] = {}
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def _write(self, rows: DataFrame) -> str:
         """A table bucketed and sorted by hash, one file for each bucket."""
         name = f"line_run_{uuid.uuid4().hex}"
+        self.folders[name] = new_folder(self.spark, "line-run")
         (rows.repartition(self.buckets, *KEY).write.bucketBy(self.buckets, *KEY).sortBy(*KEY)
-         .option("path", new_folder(self.spark, "line-run")).saveAsTable(name))
+         .option("path", self.folders[name]).saveAsTable(name))
         return name
 
+    def _together(self, names: list[str]) -> DataFrame:
+        """The rows of several tables in one plain scan."""
+        schema = self.spark.table(names[0]).schema
+        return self.spark.read.schema(schema).parquet(*[self.folders[name] for name in names])
+
     def runs(self) -> list[DataFrame]:
         return [self.spark.table(name) for level in sorted(self.levels) for name in self.levels[level]]
 
     def add(self, batch: DataFrame) -> None:
         """`batch`: h1, h2, doc_id. Lines unknown so far become a run, known ones are counted."""
         lines = batch.groupBy(*KEY).agg(
-            F.count_distinct(F.coalesce("doc_id", F.lit(-1))).alias("n"), F.max("doc_id").alias("top"))
+            F.count_distinct(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("n"), F.max("doc_id").alias("top"))
         own = self.spark.table(self._write(lines))
-        fresh = known = own
-        for run in self.runs():
+        runs, fresh = self.runs(), own
+        for run in runs:
             fresh = fresh.join(run.select(*KEY), KEY, "left_anti")
-        if self.runs():
-            known = known.join(fresh.select(*KEY), KEY, "left_anti")
-            self.again.append(self._write(known))
-        self.levels[0].append(self._write(fresh))
+        name = self._write(fresh)
+        if runs:
+            self.again.append(self._write(own.join(self.spark.table(name).select(*KEY), KEY, "left_anti")))
+        self.levels[0].append(name)
         self.compact()
 
     def compact(self) -> None:
         level = 0
         while len(self.levels[level]) >= self.fan:
-            runs = [self.spark.table(name) for name in self.levels.pop(level)]
-            merged = runs[0]
-            for run in runs[1:]:
-                merged = merged.unionByName(run)
-            self.levels[level + 1].append(self._write(merged))
+            self.levels[level + 1].append(self._write(self._together(self.levels.pop(level))))
             level += 1
 
     def counts(self) -> DataFrame:
-        """h1, h2, n, top of all lines seen in two batches or in two documents."""
-        rows = None
-        for run in [*self.runs(), *[self.spark.table(name) for name in self.again]]:
-            rows = run if rows is None else rows.unionByName(run)
-        return rows.groupBy(*KEY).agg(F.sum("n").alias("n"), F.max("top").alias("top"))
+        """h1, h2, n, top of all lines: documents that hold them and the largest of these."""
+        names = [name for level in self.levels.values() for name in level]
+        return self._together(names + self.again).groupBy(*KEY).agg(F.sum("n").alias("n"), F.max("top").alias("top"))
 
     def drop(self) -> None:
         """Forget the tables; their files go with the session."""

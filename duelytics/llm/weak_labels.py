@@ -24,7 +24,7 @@ GOOD, BAD, NOTHING = 1, 0, 2
 BUCKETS = 1 << 14
 SAMPLE, SEED = 6_000, 5          # most documents the scorer is trained on, by seeded order
 ROUNDS, STEPS = 200, 120
-KEEP = 0.1                       # least probability of a good document that is kept
+KEEP = 0.2                       # least probability of a good document that is kept
 PULL = 0.01                      # every vote is thought to happen at least this often
 
 
