@@ -19,7 +19,7 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from duelytics.llm.html_tree import BLOCKS, Page, read
+from duelytics.llm.html_tree import BLOCKS, Element, Page, read
 from duelytics.llm.store import stored
 
 LEAST_PAGES = 3            # different pages of a host that make a template
@@ -58,12 +58,18 @@ class Outline(NamedTuple):
     lines: list[Line]
 
 
+def _is_main(element: Element) -> bool:
+    """An article, but for readers' comments, teasers and the like that are written as articles."""
+    named = f"{element.attributes.get('class', '')} {element.attributes.get('id', '')}".lower().split()
+    return element.attributes.get("role") == "main" or element.tag in MAIN and NAMES.isdisjoint(named)
+
+
 def outline(page: Page) -> Outline:
     """Paths of elements, and blocks of text with white space made single."""
     elements = page.elements
     holds_main = [False] * len(elements)
     for k in range(len(elements) - 1, 0, -1):
-        if elements[k].tag in MAIN or holds_main[k]:
+        if _is_main(elements[k]) or holds_main[k]:
             holds_main[elements[k].parent] = True
     paths, main, out = [""] * len(elements), [False] * len(elements), [False] * len(elements)
     block_of = [0] * len(elements)
@@ -73,12 +79,10 @@ def outline(page: Page) -> Outline:
         named = " ".join(attributes.get(a, "") for a in ("class", "id", "role"))
         words = _WORDS.findall(_CAMEL.sub(" ", named).lower()) if named.strip() else []
         paths[k] = f"{paths[parent]}/{tag}" + "".join(f".{w}" for w in words)
-        article = tag in MAIN or attributes.get("role") == "main"
+        article = _is_main(elements[k])
         bad = tag in OUTSIDE or (tag == "header" and not main[parent])
         if not article and tag not in ("html", "body") and not holds_main[k]:
             bad = bad or not NAMES.isdisjoint(words) or "hidden" in attributes
-        elif tag == "article" and main[parent]:
-            bad = bad or not NAMES.isdisjoint(words)         # a reader's comment as an article
         main[k] = main[parent] or article
         out[k] = out[parent] or bad
         block_of[k] = k if tag in BLOCKS else block_of[parent]
@@ -147,8 +151,9 @@ def deduced(pages: DataFrame, least: int = LEAST_PAGES) -> DataFrame:
         F.count("*").alias("size"), F.count_if(F.col("kind") == "element").alias("elements"))
     member = vectors.join(classes, ["group", "vector", "support"]).join(sizes, "group").where(
         (F.col("size") >= SIZE) & (F.col("support") == F.col("pages")))
-    # A class nests when its elements' parents are of a class that every page holds as well.
-    frame = member.where("kind = 'element'").select("group", F.col("token").alias("path"))
+    # A token nests when the element around it is on every page as well.
+    frame = vectors.where("kind = 'element'").join(sizes, "group").where(F.col("support") == F.col("pages")).select(
+        "group", F.col("token").alias("path"))
     parent = F.when(F.col("kind") == "element", F.regexp_replace("token", "/[^/]*$", "")).otherwise(
         F.split("token", "\n")[0])
     nested = member.withColumn("parent", parent).join(
