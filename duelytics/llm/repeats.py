@@ -260,11 +260,12 @@ def removed_spans(texts: DataFrame, crowd: int = CROWD) -> DataFrame:
     """doc, t1, low, high: covered bytes; spans of one text may overlap. `texts`: doc, t1, text, all
     different, bucketed by doc and t1, so that the joins need no shuffle of texts."""
     by_text = stored(anchors(texts), "anchors")
-    again = by_text.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    # Stored, so that the join stands on plain exchanges and a frequent anchor's rows can be split.
+    again = stored(by_text.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "again")
     lists = by_text.join(again, "anchor").groupBy(F.col("doc").alias("d"), F.col("t1").alias("t")).agg(
         F.collect_set("anchor").alias("wanted"))
     found = stored(pieces(texts.join(lists, (F.col("doc") == F.col("d")) & (F.col("t1") == F.col("t")))), "pieces")
-    discard(by_text)
+    discard(by_text, again)
 
     # Equal pieces: all windows of the later ones stand earlier.
     place = F.struct("doc", "t1", "start", "windows", "before", "after")
