@@ -6,6 +6,8 @@ size, so that every operator can be run and checked on whole tables.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from duelytics.sources.files import spread_small
@@ -116,7 +118,7 @@ def duels(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce("lines", F.lit(0)).alias("conv_turns"),
         F.col("tokens_a").alias("total_conv_a_output_tokens"),
         F.col("tokens_b").alias("total_conv_b_output_tokens"),
-        F.col("kwh_a").cast("double").alias("total_conv_a_kwh"),
+        (F.col("kwh_a") + F.col("lines") * F.lit(Decimal("0.0000004"))).cast("double").alias("total_conv_a_kwh"),
         F.col("kwh_b").cast("double").alias("total_conv_b_kwh"),
         F.nullif(key % 7 * 10, F.lit(0)).cast("double").alias("model_a_total_params"),
         F.nullif(customer % 5 * 10, F.lit(0)).cast("double").alias("model_b_total_params"),

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-EXACT = "decimal(18,6)"
+#: Twenty digits before the point and eighteen behind it: every kWh a double holds to its last digit.
+EXACT = "decimal(38,18)"
 
 
 def round_even(x: Column, digits: int) -> Column:

@@ -1,47 +1,50 @@
-"""Exact top-n that never gathers a whole group in one task."""
+"""Exact top-n that sorts only rows which can be among the first n."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
-SLICES = 64
+BUCKETS = 65_536  # of the hexadecimal tags: four digits
 
 
-def top_per_group(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[Column | str],
-    n: int,
-    salt: Sequence[str],
-) -> DataFrame:
-    """The first `n` rows of each group in `order`.
+def first_per_group(df: DataFrame, keys: Sequence[str], tag: str, order: Sequence[str], n: int) -> DataFrame:
+    """The first `n` rows of each group by `tag`, a hexadecimal digest, then `order`.
 
-    Rows are ranked inside hash slices of their group first; only n × SLICES candidates of a
-    group meet in one task, however large the group is.  Every winner is among the first n of
-    its slice, so the result is exact.
+    Rows are counted per group and first four digits of the tag.  Only the buckets needed for n
+    rows are ranked: n rows and one bucket, a 65,536th of the group.
     """
-    slice_of = F.pmod(F.xxhash64(*salt), F.lit(SLICES))
-    local = W.partitionBy(*keys, slice_of).orderBy(*order)
-    final = W.partitionBy(*keys).orderBy(*order)
+    bucket = F.substring(tag, 1, 4)
+    counts = df.groupBy(*keys, bucket.alias("_bucket")).agg(F.count("*").alias("_n"))
+    so_far = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    needed = (
+        counts.withColumn("_before", F.coalesce(F.sum("_n").over(so_far), F.lit(0)))
+        .filter(F.col("_before") < n)
+        .select(*keys, "_bucket")
+    )
+    place = F.row_number().over(W.partitionBy(*keys).orderBy(tag, *order))
     return (
-        df.withColumn("_r", F.row_number().over(local))
-        .filter(F.col("_r") <= n)
-        .withColumn("_r", F.row_number().over(final))
-        .filter(F.col("_r") <= n)
-        .drop("_r")
+        df.withColumn("_bucket", bucket)
+        .join(needed, [*keys, "_bucket"], "left_semi")
+        .withColumn("_place", place)
+        .filter(F.col("_place") <= n)
+        .drop("_bucket", "_place")
     )
 
 
-def top_rows(df: DataFrame, order: Sequence[Column | str], n: int, salt: Sequence[str]) -> DataFrame:
-    """The first `n` rows of the table in `order`, with the same two steps."""
-    slice_of = F.pmod(F.xxhash64(*salt), F.lit(SLICES))
-    local = W.partitionBy(slice_of).orderBy(*order)
-    return (
-        df.withColumn("_r", F.row_number().over(local))
-        .filter(F.col("_r") <= n)
-        .drop("_r")
-        .orderBy(*order)
-        .limit(n)
+def most_frequent(df: DataFrame, count: str, name: str, n: int) -> DataFrame:
+    """The `n` rows with the highest `count`, in order of `name` on ties.
+
+    A histogram of the counts (few values, however many names) gives the count of the n-th row;
+    only rows that reach it are sorted.
+    """
+    histogram = df.groupBy(count).agg(F.count("*").alias("_n"))
+    above = W.orderBy(F.desc(count)).rowsBetween(W.unboundedPreceding, -1)
+    cut = (
+        histogram.withColumn("_above", F.coalesce(F.sum("_n").over(above), F.lit(0)))
+        .filter(F.col("_above") < n)
+        .agg(F.min(count).alias("cut"))
+        .scalar()
     )
+    return df.filter(F.col(count) >= cut).orderBy(F.desc(count), name).limit(n)

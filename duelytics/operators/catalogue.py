@@ -17,7 +17,7 @@ from duelytics.constants import (
 from duelytics.dictionaries import Dictionary
 from duelytics.functions.matching import keyword_hits, names_in_texts
 from duelytics.functions.numeric import round_even
-from duelytics.functions.ranking import top_rows
+from duelytics.functions.ranking import most_frequent
 from duelytics.functions.text import clean_text
 from duelytics.operators.corpus import label_array
 from duelytics.operators.metrics import ratio
@@ -64,7 +64,7 @@ def top_names(
         .groupBy("name")
         .agg(F.count("*").alias("n"))
     )
-    return top_rows(counts, [F.desc("n"), F.col("name")], k, salt=["name"])
+    return most_frequent(counts, "n", "name", k)
 
 
 def top_artists(artworks: DataFrame, k: int = MAX_NAMES) -> DataFrame:

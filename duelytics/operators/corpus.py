@@ -10,9 +10,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from duelytics.constants import CULTURAL_STEMS, MAX_DOCS, SAMPLE_SEED, WHITESPACE
 from duelytics.dictionaries import DictionarySet
 from duelytics.functions.matching import keyword_hits
-from duelytics.functions.ranking import top_per_group
+from duelytics.functions.ranking import first_per_group
 from duelytics.functions.text import conversation_text, mentions, stem_pattern
-from duelytics.session import small
 
 
 def cultural_filter(df: DataFrame, stems: Sequence[str] = CULTURAL_STEMS) -> DataFrame:
@@ -54,13 +53,12 @@ def sample_docs(
 ) -> DataFrame:
     """At most `n` documents per model, the same ones whatever the partitioning.
 
-    Only the keys are ranked.  The texts of the chosen ones come back by a semi-join, with the
-    n keys per model broadcast while they are few, so that no text is shuffled.
+    Only the keys are ranked.  The texts of the chosen ones come back by a semi-join.
     """
     tag = F.md5(F.concat_ws("", *[F.col(k).cast("string") for k in keys], F.lit(str(seed))))
     ids = docs.select("model", *keys, tag.alias("_tag"))
-    chosen = top_per_group(ids, ["model"], ["_tag", *keys], n, salt=["_tag"])
-    return docs.join(small(chosen.drop("_tag")), ["model", *keys], "left_semi")
+    chosen = first_per_group(ids, ["model"], "_tag", keys, n)
+    return docs.join(chosen.drop("_tag"), ["model", *keys], "left_semi")
 
 
 def keyword_counts(docs: DataFrame, dictionaries: DictionarySet) -> DataFrame:

@@ -21,7 +21,6 @@ from duelytics.constants import (
 )
 from duelytics.functions.numeric import exact_sum, or_zero, round_even
 from duelytics.operators.appearances import appearances, both_levels, count_first
-from duelytics.session import small
 
 MODEL = ["family", "version"]
 TAGS = [
@@ -32,6 +31,8 @@ KWH = {"kwh": ("total_conv_a_kwh", "total_conv_b_kwh")}
 TOKENS = {"tokens": ("total_conv_a_output_tokens", "total_conv_b_output_tokens")}
 PARAMS = {"params": ("model_a_total_params", "model_b_total_params")}
 FIRST = {"family": "first_in_family", "version": "first_in_version"}
+#: Columns without which the other metrics can still be computed.
+OPTIONAL = {"conv_turns": "bigint", "mode": "string", "custom_models_selection": "array<string>"}
 
 
 def ratio(numerator: Column, denominator: Column) -> Column:
@@ -105,8 +106,13 @@ def duel_rows(conv: DataFrame, measures: Mapping[str, tuple[str, str]]) -> DataF
         F.contains(F.lower(F.array_join("custom_models_selection", " ")), F.lower("family")),
         F.lit(False),
     )
-    carry = ["conv_turns", "mode", "custom_models_selection"]
-    return appearances(conv, measures, carry).withColumn("picked", picked)
+    return appearances(completed(conv), measures, list(OPTIONAL)).withColumn("picked", picked)
+
+
+def completed(conv: DataFrame) -> DataFrame:
+    """Columns that a table may lack, as nulls: what is counted from them is then 0."""
+    absent = {name: F.lit(None).cast(kind) for name, kind in OPTIONAL.items() if name not in conv.columns}
+    return conv.withColumns(absent) if absent else conv
 
 
 def duel_totals(conv: DataFrame, names: list[str] | None = None) -> DataFrame:
@@ -202,7 +208,7 @@ def engagement_columns() -> dict[str, Column]:
 def pick_columns(conv: DataFrame, mean_rate: float = MEAN_PICK_RATE) -> dict[str, Column]:
     """Share of all hand-picked duels in which the model plays and was asked for, and its
     distance from the mean of all models."""
-    custom = conv.filter(F.col("mode") == "custom").agg(F.count("*").alias("n")).scalar()
+    custom = completed(conv).filter(F.col("mode") == "custom").agg(F.count("*").alias("n")).scalar()
     rate = F.coalesce(round_even(ratio(F.col("picks"), custom) * 100.0, 1), F.lit(0.0))
     return {"pick_rate": rate, "pick_rate_delta": round_even(rate - F.lit(mean_rate), 1)}
 
@@ -404,39 +410,32 @@ def badges(
 
 # Prices -------------------------------------------------------------------------------------
 
-GRAM = 3
-
 
 def price_per_token(models: DataFrame, prices: DataFrame) -> DataFrame:
     """Completion price of each model from a list (position, id, completion).
 
-    A price row belongs to a family when its lower-cased id contains it.  The containment is
-    an equi-join on the family's first three characters against the pieces of the id, then a
-    check of the whole name, not a nested loop.  The models are broadcast when they are few, so
-    that a common name does not gather its price rows in one task.
+    A price row belongs to a family when its lower-cased id contains it.  The containment is an
+    equi-join on the whole name: an id is taken apart into the pieces that are as long as some
+    family name, and no piece that is not a name finds a partner.
     All versions: mean of the parseable prices, free when they are all zero.  One version: the
     first row whose id holds the version as well.
     """
-    ids = prices.withColumn("id", F.lower("id"))
-    starts = F.sequence(F.lit(1), F.greatest(F.length("id"), F.lit(1)))
-
-    def grams(n: int) -> Column:
-        return F.transform(starts, lambda i: F.substring(F.col("id"), i, F.lit(n)))
-
-    pieces = F.flatten(F.array(*[grams(n) for n in range(1, GRAM + 1)]))
-    by_piece = ids.select("*", F.explode(F.array_distinct(pieces)).alias("piece"))
-    wanted = models.withColumns(
-        {
-            "name": F.lower("family"),
-            "tag": F.lower("version"),
-            "piece": F.substring(F.lower("family"), 1, GRAM),
-        }
-    )
+    wanted = models.withColumns({"name": F.lower("family"), "tag": F.lower("version")})
+    lengths = wanted.agg(F.collect_set(F.length("name")).alias("lengths")).scalar()
+    ids = prices.withColumns({"id": F.lower("id"), "lengths": lengths})
+
+    def cut(length: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length("id") - length + 1, F.lit(1)))
+        return F.transform(starts, lambda i: F.substring(F.col("id"), i, length))
+
+    pieces = F.array_distinct(F.flatten(F.transform("lengths", cut)))
+    by_piece = ids.select("*", F.explode(pieces).alias("name")).drop("lengths")
     all_versions = F.col("version") == ALL_VERSIONS
-    in_id = F.contains("id", "name") & (all_versions | F.contains("id", "tag"))
     raw = F.coalesce(F.nullif(F.btrim("completion"), F.lit("")), F.lit("0"))
     hits = (
-        by_piece.join(small(wanted), "piece").filter(in_id).withColumn("value", raw.try_cast("double"))
+        by_piece.join(wanted, "name")
+        .filter(all_versions | F.contains("id", "tag"))
+        .withColumn("value", raw.try_cast("double"))
     )
     sums = hits.groupBy(*MODEL).agg(
         F.sum("value").alias("total"),
@@ -445,7 +444,6 @@ def price_per_token(models: DataFrame, prices: DataFrame) -> DataFrame:
         F.min_by("value", "position").alias("first"),
     )
     mean = F.coalesce(round_even(ratio(F.col("total"), F.col("n")), 6), F.lit(0.0))
-    all_versions = F.col("version") == ALL_VERSIONS
     return sums.select(
         *MODEL,
         F.when(all_versions, mean).otherwise(F.coalesce("first", F.lit(0.0))).alias("price"),

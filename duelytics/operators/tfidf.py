@@ -13,7 +13,7 @@ from duelytics.constants import (
     TOP_COMMUNS,
     TOP_DISCRIMINANTS,
 )
-from duelytics.functions.ranking import top_rows
+from duelytics.functions.ranking import most_frequent
 from duelytics.functions.text import WORD
 from duelytics.session import saved
 
@@ -56,8 +56,7 @@ def tfidf_vocabulary(
     models = docs.agg(F.count_distinct("model").alias("n")).scalar()
     terms = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
     kept = terms.filter((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df) * models))
-    order = [F.desc("total"), F.col("term")]
-    return top_rows(kept, order, max_features, salt=["term"]).withColumn("models", models)
+    return most_frequent(kept, "total", "term", max_features).withColumn("models", models)
 
 
 def tfidf_weights(docs: DataFrame, **limits) -> DataFrame:

@@ -25,7 +25,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 # Parameters of the registered queries; the checks use the same ones.
 SAMPLE = 30
-FEATURES = 1000
 EXPLORED = {"m1": "gpt", "v1": "4.1-mini", "m2": "claude", "v2": "4-5-sonnet"}
 CATEGORIES = ["1-URGENT", "5-LOW"]
 DETAIL_ID = 100
@@ -93,7 +92,7 @@ class Tables:
     def scored(self) -> DataFrame:
         return score(
             self.corpus, self.raw("artworks"), self.raw("venues"),
-            CHECK_DICTIONARIES, CHECK_CATALOGUE, max_features=FEATURES,
+            CHECK_DICTIONARIES, CHECK_CATALOGUE,
         )
 
     @property
@@ -356,7 +355,7 @@ def corpus_queries() -> dict[str, Callable[[Tables], DataFrame]]:
     check_words = keyword_set(CHECK_DICTIONARIES)
 
     def weights(t: Tables) -> DataFrame:
-        return tfidf.tfidf_weights(t.corpus, max_features=FEATURES)
+        return tfidf.tfidf_weights(t.corpus)
 
     return {
         "cultural_filter": lambda t: corpus.cultural_filter(t.raw("text_duels")).select(
@@ -384,14 +383,14 @@ def corpus_queries() -> dict[str, Callable[[Tables], DataFrame]]:
         "cultural_keyword_set": lambda t: tfidf.term_counts(t.corpus).filter(
             F.col("term").isin(check_words)
         ),
-        "tfidf_vocabulary": lambda t: tfidf.tfidf_vocabulary(t.corpus, max_features=FEATURES),
+        "tfidf_vocabulary": lambda t: tfidf.tfidf_vocabulary(t.corpus),
         "tfidf_weights": lambda t: rounded(weights(t), "weight"),
         "tfidf_discriminants": lambda t: rounded(
             tfidf.discriminants(weights(t), check_words), "weight"
         ),
         "tfidf_communs": lambda t: tfidf.communs(t.corpus, weights(t), check_words),
         "tfidf_top_terms": lambda t: tfidf.tfidf_top_terms(
-            t.corpus, check_words, max_features=FEATURES
+            t.corpus, check_words
         ).select(
             "model",
             F.array_join("discriminants", "|").alias("discriminants"),

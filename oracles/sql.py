@@ -13,7 +13,7 @@ from duelytics.derived import CHECK_CATALOGUE, CHECK_DICTIONARIES, NAME_POOL
 from duelytics.dictionaries import CONVERSATION_SIDE, Dictionary, DictionarySet, keyword_set
 from duelytics.functions.text import stem_pattern
 from duelytics.operators import bias, explorer
-from duelytics.registry import CATEGORIES, DETAIL_ID, EXPLORED, FEATURES, SAMPLE
+from duelytics.registry import CATEGORIES, DETAIL_ID, EXPLORED, SAMPLE
 
 W = r"[\p{L}\p{N}_]"
 NOT_W = r"[^\p{L}\p{N}_]"
@@ -59,7 +59,7 @@ SELECT o_orderkey AS duel_id, {pool('o_orderkey')} AS model_a_name,
   's' || o_custkey::varchar AS session_hash, o_orderdate AS "timestamp",
   coalesce(n, 0) AS conv_turns,
   ta AS total_conv_a_output_tokens, tb AS total_conv_b_output_tokens,
-  ka::double AS total_conv_a_kwh, kb::double AS total_conv_b_kwh,
+  (ka + n * 0.0000004)::double AS total_conv_a_kwh, kb::double AS total_conv_b_kwh,
   nullif(o_orderkey % 7 * 10, 0)::double AS model_a_total_params,
   nullif(o_custkey % 5 * 10, 0)::double AS model_b_total_params,
   CASE WHEN o_orderstatus = 'P' THEN true WHEN o_orderpriority = '4-NOT SPECIFIED' THEN NULL
@@ -227,7 +227,7 @@ def first(a: str, b: str) -> str:
     return f"CASE WHEN base_model_a = family THEN {a} ELSE {b} END"
 
 
-KWH = ("total_conv_a_kwh::decimal(18, 6)", "total_conv_b_kwh::decimal(18, 6)")
+KWH = tuple(f"total_conv_{s}_kwh::varchar::decimal(38, 18)" for s in ("a", "b"))
 TOK = ("total_conv_a_output_tokens", "total_conv_b_output_tokens")
 
 
@@ -489,7 +489,7 @@ SELECT term, count(*) AS df, sum(tf)::bigint AS total,
 FROM terms GROUP BY 1
 HAVING df >= {c.TFIDF_MIN_DF}
   AND df <= {c.TFIDF_MAX_DF}::double * (SELECT count(DISTINCT model) FROM corpus)
-ORDER BY total DESC, term LIMIT {FEATURES}"""
+ORDER BY total DESC, term LIMIT {c.TFIDF_MAX_FEATURES}"""
 CTES["weights"] = """
 SELECT model, term, tf, df, raw / sqrt(sum(raw * raw) OVER (PARTITION BY model)) AS weight
 FROM (SELECT *, tf * (ln((models + 1)::double / (df + 1)) + 1.0::double) AS raw
