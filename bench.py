@@ -18,7 +18,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from duelytics import registry  # noqa: E402
 from duelytics.plans import cleaning_job  # noqa: E402
 from duelytics.session import local_session  # noqa: E402
-from duelytics.sources.files import write_parquet  # noqa: E402
+from duelytics.sources import files  # noqa: E402
 
 METRICS = [
     "model_metrics", "winrate", "ranking", "audience", "param_size", "satisfaction",
@@ -46,7 +46,7 @@ class CleanedTables(registry.Tables):
     conv = property(lambda self: self.stored("conv"))
     votes = property(lambda self: self.stored("vot"))
     react = property(lambda self: self.stored("react"))
-    arena = property(lambda self: self.stored("arena"))
+    arena = property(lambda self: files.read_arena(self.spark, f"{self.cleaned}/arena.parquet"))
     arena_rows = arena
 
 
@@ -67,7 +67,7 @@ def main() -> None:
     raw, cleaned = f"{scratch}/raw", f"{scratch}/cleaned"
     tables = CleanedTables(spark, folder, cleaned)
     for name, source in (("conversations", "duels"), ("votes", "duels"), ("reactions",) * 2):
-        write_parquet(tables.raw(source), f"{raw}/{name}.parquet")
+        files.write_parquet(tables.raw(source), f"{raw}/{name}.parquet")
 
     def clean() -> None:
         cleaning_job.run(spark, raw, cleaned, vote_key="duel_id", conv_key="duel_id")

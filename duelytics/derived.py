@@ -10,7 +10,6 @@ from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from duelytics.sources.files import spread_small
 
 #: Raw model names that exercise every normalization rule.
 NAME_POOL = [
@@ -21,7 +20,7 @@ NAME_POOL = [
     "gpt-oss-120b", "gpt_4_1", "abc-12", "magistral-medium", "lfm-40b",
     "hermes-3-llama-3.1-405b", "jamba-1.5-large", "glm-4.5", "grok-3-mini-beta",
     "ministral-8b-instruct-2410", "yi-1.5-34b-chat", "qwen2.5-coder-32b-instruct",
-    "javascript:x",
+    "javascript:x", "none", "'quoted-7b'", "<b>bold-7b", "wnnzokjptdouqnjri3j4q4y2atgm4cs4kscf53u",
 ]
 
 #: Keyword lists that do occur in the given documents, under the usual category names.
@@ -45,7 +44,12 @@ CHECK_DICTIONARIES = {
     "types": {
         "Musées": ["was", "were"],
         "Théâtres & Opéras": ["for", "from", "re"],
-        "Archives": ["von", "mit", "los"],
+        # Words of a few sources only, so that the term lists of the models differ.
+        "Archives": [
+            "von", "mit", "los", "thatin", "ononst", "inoran", "orantion", "hehely", "ier", "éai", "ciónos",
+            "belich", "atble", "threen", "ciónado", "ereden", "wher", "enheit", "èmentelle", "leêch",
+            "lyound", "ñrrja", "achlichau", "ndonly",
+        ],
     },
 }
 CHECK_CATALOGUE = {
@@ -64,6 +68,13 @@ CHECK_CATALOGUE = {
 }
 
 
+def spread_small(df: DataFrame, *keys: str) -> DataFrame:
+    """Give every core a part of a table smaller than one split per core, as the given ones are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores, *keys) if size < cores * 128 * 1024 * 1024 else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -206,6 +217,7 @@ def text_duels(spark: SparkSession, sf_dir: str) -> DataFrame:
     quoted = F.transform(
         lines, lambda x: F.concat(F.lit("{'role': 'user', 'content': '"), x, F.lit("'}"))
     )
+    listed = F.array_join(quoted, ", ")
     return documents(spark, sf_dir).select(
         key.alias("duel_id"),
         pool_name(key).alias("model_a_name"),
@@ -213,7 +225,10 @@ def text_duels(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size(lines).cast("bigint").alias("conv_turns"),
         alternating(lines).alias("conversation_a"),
         alternating(F.split(text, "\\. ")).alias("conversation_b"),
-        F.concat(F.lit("["), F.array_join(quoted, ", "), F.lit("]")).alias("transcript"),
+        F.when(key % 10 == 3, F.concat(F.lit("["), listed, F.lit("] and more")))
+        .when(key % 10 == 4, F.concat(F.lit("['{a}', 7, "), listed, F.lit("]")))
+        .otherwise(F.concat(F.lit("["), listed, F.lit("]")))
+        .alias("transcript"),
         text.alias("opening_msg"),
         F.array("source").alias("categories"),
         F.split(F.lower(text), " ").alias("keywords"),

@@ -6,8 +6,6 @@ The order of the categories is the order of every report.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-
 PERIODS_REF = {
     "Moyen Âge": [
         "5e siècle", "6e siècle", "7e siècle", "8e siècle", "9e siècle", "10e siècle",
@@ -202,13 +200,6 @@ def dictionary_rows(dictionaries: DictionarySet) -> list[tuple[str, str, str, in
     ]
 
 
-def dictionary_table(spark: SparkSession, dictionaries: DictionarySet) -> DataFrame:
-    """The dictionaries as a table; its size is that of the word lists, never of the data."""
-    return spark.createDataFrame(
-        dictionary_rows(dictionaries), "dict string, category string, keyword string, rank int"
-    )
-
-
 def keyword_set(dictionaries: DictionarySet = CONVERSATION_SIDE) -> list[str]:
     """Every keyword of the dictionaries once, sorted."""
     return sorted({row[2] for row in dictionary_rows(dictionaries)})

@@ -63,13 +63,22 @@ MESSAGE = "struct<role:string,content:string>"
 def parse_transcript(raw: Column) -> Column:
     """A transcript kept as text → array of {role, content}.
 
-    Single quotes are read as double quotes.  Anything but a list gives an empty array, items
-    that are not objects are skipped, a missing field is an empty string.
+    Single quotes are read as double quotes.  Anything but one complete list gives an empty array,
+    items that are not objects are skipped, a missing field is an empty string.
     """
-    fixed = F.btrim(F.replace(raw, F.lit("'"), F.lit('"')), F.lit(" \t\n\r"))
-    items = F.from_json(F.when(fixed.startswith("["), fixed), "array<string>")
-    objects = F.filter(items, lambda item: F.btrim(item).startswith("{"))
-    parsed = F.transform(objects, lambda item: F.from_json(item, MESSAGE))
+    fixed = F.replace(raw, F.lit("'"), F.lit('"'))
+    # The parser stops behind the first value; inside an object anything that follows is an error.
+    whole = F.try_parse_json(F.concat(F.lit('{"a":['), fixed, F.lit("]}")))
+    single = F.size(F.try_variant_get(whole, "$.a", "array<variant>")) == 1
+    items = F.when(single, F.try_variant_get(whole, "$.a[0]", "array<variant>"))
+    objects = F.filter(items, lambda item: F.schema_of_variant(item).startswith("OBJECT"))
+    parsed = F.transform(
+        objects,
+        lambda item: F.struct(
+            F.try_variant_get(item, "$.role", "string").alias("role"),
+            F.try_variant_get(item, "$.content", "string").alias("content"),
+        ),
+    )
     return F.coalesce(native_transcript(parsed), F.array().cast(f"array<{MESSAGE}>"))
 
 

@@ -15,28 +15,44 @@ from duelytics.constants import (
     WHITESPACE,
 )
 from duelytics.dictionaries import Dictionary
-from duelytics.functions.matching import keyword_hits, names_in_texts
+from duelytics.functions.matching import names_in_texts
 from duelytics.functions.numeric import round_even
 from duelytics.functions.ranking import most_frequent
-from duelytics.functions.text import clean_text
-from duelytics.operators.corpus import label_array
+from duelytics.functions.text import clean_text, keyword_pattern
 from duelytics.operators.metrics import ratio
 
 
-def reference_counts(df: DataFrame, column: str, name: str, dictionary: Dictionary) -> DataFrame:
+MOST_NAMES = 100_000
+
+
+def reference_counts(df: DataFrame, columns: Mapping[str, tuple[str, Dictionary]]) -> DataFrame:
     """(dict, category, rank, hits): catalogue rows whose text mentions each category.
 
-    A row may count for several categories; all categories are counted in one pass.  Without
-    rows every category has 0.
+    `columns` maps a column to the name of a dictionary and the dictionary.  All categories of all
+    columns are counted in one pass; a row may count for several.  Without rows all have 0.
     """
-    value = clean_text(F.col(column))
-    rows = df.select(F.lit("").alias("model"), value.alias("text"))
-    found = keyword_hits(rows, list(dictionary.values())).select("index", "texts")
-    labels = F.inline(label_array({name: dictionary}))
-    categories = df.sparkSession.range(1).select(labels)
-    return categories.join(found, "index", "left").select(
-        "dict", "category", "rank", F.coalesce("texts", F.lit(0)).alias("hits")
+    texts = df.select(*[clean_text(F.col(column)).alias(column) for column in columns])
+    cells = [
+        (column, name, category, rank, keywords)
+        for column, (name, dictionary) in columns.items()
+        for rank, (category, keywords) in enumerate(dictionary.items())
+    ]
+    counts = texts.agg(
+        *[
+            F.count_if(F.rlike(column, F.lit(keyword_pattern(keywords)))).alias(f"c{i}")
+            for i, (column, *_, keywords) in enumerate(cells)
+        ]
     )
+    rows = [
+        F.struct(
+            F.lit(name).alias("dict"),
+            F.lit(category).alias("category"),
+            F.lit(rank).alias("rank"),
+            F.col(f"c{i}").alias("hits"),
+        )
+        for i, (_, name, category, rank, _) in enumerate(cells)
+    ]
+    return counts.select(F.inline(F.array(*rows)))
 
 
 def distribution(counts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -53,7 +69,10 @@ def top_names(
     df: DataFrame, column: str, min_length: int, k: int = MAX_NAMES, split: str | None = None
 ) -> DataFrame:
     """(name, n): the `k` most frequent names of at least `min_length` characters, in name order
-    on ties.  With `split`, a value holds several names."""
+    on ties.  With `split`, a value holds several names.  The names travel with the tasks that look
+    for them, so `k` is at most `MOST_NAMES`."""
+    if k > MOST_NAMES:
+        raise ValueError(f"at most {MOST_NAMES} names")
     value = clean_text(F.col(column))
     names = df.select(value.alias("v")).filter(F.col("v").isNotNull())
     if split is not None:

@@ -1,7 +1,6 @@
 """Cleaning steps and the five cleaned tables built from them.
 
-Every step is a DataFrame → DataFrame function for `df.transform`; nothing here shuffles
-except `arena_row_id`.
+Every step is a DataFrame → DataFrame function for `df.transform`; nothing here shuffles duels.
 """
 
 from __future__ import annotations
@@ -18,7 +17,7 @@ from duelytics.constants import (
     VOTE_DROPS,
 )
 from duelytics.functions.naming import family_of, is_bad, is_junk, version_of
-from duelytics.session import saved
+from duelytics.session import stored
 
 SIDES = ("a", "b")
 RAW_NAMES = ("model_a_name", "model_b_name")
@@ -51,33 +50,21 @@ def keep_started(df: DataFrame) -> DataFrame:
     return df.filter(F.col("conv_turns") > 0) if "conv_turns" in df.columns else df
 
 
-def name_table(
-    df: DataFrame,
-    columns: Sequence[str] = RAW_NAMES,
-    max_names: int = 100_000,
-    max_bytes: int = 32 * 1024 * 1024,
-) -> DataFrame | None:
-    """Every raw name once with its family and version, for a broadcast join; None when there
-    are too many names for that.
+def name_table(df: DataFrame, columns: Sequence[str] = RAW_NAMES) -> DataFrame:
+    """Every raw name once with its family and version.
 
     A name costs some thirty regular expressions and recurs in millions of duels.  The distinct
-    names are read from the name columns, normalized and saved, so that neither the size check
-    nor a filter inferred from a join runs the expressions on duels again.  Callers fall back to
-    the column expressions, which need no join, when there are too many.
+    names are read from the name columns, normalized and stored; Spark knows the size of the
+    stored table and broadcasts it in the joins as long as it is small.
     """
     name = F.col("raw")
-    names = saved(
+    return stored(
         df.select(F.explode(F.array(*columns)).alias("raw"))
         .dropna()
         .distinct()
-        .select("raw", family_of(name).alias("family"), version_of(name).alias("version"))
+        .select("raw", family_of(name).alias("family"), version_of(name).alias("version")),
+        "names",
     )
-    size = names.agg(
-        F.count("*").alias("n"), F.sum(F.octet_length("raw")).alias("bytes")
-    ).collect()[0]
-    if size["n"] > max_names or (size["bytes"] or 0) > max_bytes:
-        return None
-    return names
 
 
 def add_versions(df: DataFrame) -> DataFrame:
@@ -102,15 +89,16 @@ def add_families(df: DataFrame) -> DataFrame:
 
 
 def look_up_models(df: DataFrame, names: DataFrame) -> DataFrame:
-    """Family and version of both sides from a `name_table`."""
+    """Family and version of both sides from a `name_table`, behind the columns of `df`."""
+    found = df
     for s in SIDES:
         side = names.select(
-            F.col("raw").alias(f"model_{s}_name"),
+            F.col("raw").alias(f"_raw_{s}"),
             F.btrim("family", F.lit("-")).alias(f"base_model_{s}"),
             F.btrim("version", F.lit("-")).alias(f"version_{s}"),
         )
-        df = df.join(F.broadcast(side), f"model_{s}_name")
-    return df
+        found = found.join(side, F.col(f"model_{s}_name") == F.col(f"_raw_{s}"))
+    return found.select(*df.columns, *[f"{c}_{s}" for c in ("base_model", "version") for s in SIDES])
 
 
 def require_families(df: DataFrame) -> DataFrame:
@@ -129,11 +117,11 @@ def normalize_winner(df: DataFrame, names: DataFrame | None = None) -> DataFrame
     """Family and version of the chosen model: no last trim, and an empty family stays."""
     if names is not None:
         winners = names.select(
-            F.col("raw").alias("chosen_model_name"),
-            F.col("family").alias("chosen_base_model"),
+            F.col("raw").alias("_raw"),
             F.col("version").alias("chosen_version"),
+            F.col("family").alias("chosen_base_model"),
         )
-        return df.join(F.broadcast(winners), "chosen_model_name", "left")
+        return df.join(winners, F.col("chosen_model_name") == F.col("_raw"), "left").drop("_raw")
     name = F.col("chosen_model_name")
     return df.select(
         "*",
@@ -175,36 +163,20 @@ def arena_project(df: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
     return select_existing(df, [*extra, *ARENA_COLUMNS])
 
 
-def arena_row_id(df: DataFrame, key: str, time: str = "timestamp") -> DataFrame:
-    """Consecutive `arena_id` from 0 in the order (day, slice, `key`); `key` must be unique.
+def arena_row_id(arena: DataFrame) -> DataFrame:
+    """Consecutive `arena_id` from 0 in file order, for a table as it is read from its files.
 
-    A day may hold any share of the rows, so it is cut into 4096 slices by a hash of the key.
-    Rows are numbered inside their slice and shifted by the number of rows in front of it.
-    The shifts come from counts: one row per day and slice, summed per day, then over days.
+    A row's place is its file and its index in it, which no retry changes; the shifts are the rows
+    of the files in front.  Files are counted without reading a column, and one pair of numbers for
+    each file (13 MB for 100 TB in files of 128 MB) is broadcast, so no row of the table moves.
     """
-    day = F.coalesce(F.to_date(time), F.to_date(F.lit("1970-01-01")))
-    cut = F.substring(F.md5(F.col(key).cast("string")), 1, 3)
-    rows = df.withColumns({"_day": day, "_slice": cut})
-
-    slices = rows.groupBy("_day", "_slice").agg(F.count("*").alias("_n"))
-    days = slices.groupBy("_day").agg(F.sum("_n").alias("_n"))
-    # One row per calendar day: small whatever the number of duels.
-    before_day = days.select(
-        "_day", (F.sum("_n").over(W.orderBy("_day")) - F.col("_n")).alias("_before")
-    )
-    within_day = W.partitionBy("_day").orderBy("_slice")
-    shifts = slices.join(before_day, "_day").select(
-        "_day",
-        "_slice",
-        (F.col("_before") + F.sum("_n").over(within_day) - F.col("_n")).alias("_shift"),
-    )
-    numbered = rows.withColumn(
-        "_rn", F.row_number().over(W.partitionBy("_day", "_slice").orderBy(key))
-    )
-    return (
-        numbered.join(shifts, ["_day", "_slice"])
-        .withColumn("arena_id", F.col("_shift") + F.col("_rn") - 1)
-        .drop("_day", "_slice", "_shift", "_rn")
+    file = F.xxhash64("_metadata.file_path")
+    files = arena.groupBy(F.col("_metadata.file_path").alias("_path")).agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(W.orderBy("_path")) - F.col("_n")
+    shifts = files.select(F.xxhash64("_path").alias("_file"), before.alias("_shift"))
+    placed = arena.select("*", file.alias("_own"), F.col("_metadata.row_index").alias("_row"))
+    return placed.join(F.broadcast(shifts), F.col("_own") == F.col("_file")).select(
+        *arena.columns, (F.col("_shift") + F.col("_row")).alias("arena_id")
     )
 
 
@@ -249,8 +221,11 @@ def arena_duels(votes: DataFrame, names: DataFrame | None = None) -> DataFrame:
     )
 
 
-def build_arena(votes: DataFrame, key: str, names: DataFrame | None = None) -> DataFrame:
-    return arena_duels(votes, names).transform(arena_project, [key]).transform(arena_row_id, key)
+def build_arena(
+    votes: DataFrame, key: str | None = None, names: DataFrame | None = None
+) -> DataFrame:
+    """Votes for the explorer; once written, `arena_row_id` numbers them.  `key` keeps a key."""
+    return arena_duels(votes, names).transform(arena_project, [key] if key else [])
 
 
 def build_bias_conv(

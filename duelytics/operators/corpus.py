@@ -45,6 +45,13 @@ def model_docs(df: DataFrame, doc_id: str) -> DataFrame:
     )
 
 
+def model_corpus(docs: DataFrame) -> DataFrame:
+    """(model, docs, characters): how much text each model's documents hold together."""
+    return docs.groupBy("model").agg(
+        F.count("*").alias("docs"), F.sum(F.length("text")).alias("characters")
+    )
+
+
 def sample_docs(
     docs: DataFrame,
     n: int = MAX_DOCS,

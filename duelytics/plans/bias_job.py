@@ -9,26 +9,25 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from duelytics.constants import ARTIST_FACTOR, MAX_DOCS, VENUE_FACTOR
 from duelytics.dictionaries import CATALOGUE_SIDE, CONVERSATION_SIDE, DictionarySet, keyword_set
 from duelytics.operators import bias, catalogue, corpus, tfidf
-from duelytics.session import saved
+from duelytics.session import saved, stored
 from duelytics.sources.files import read_artworks, read_parquet, read_venues, write_parquet
 
 
 def reference(artworks: DataFrame, venues: DataFrame, side: DictionarySet) -> DataFrame:
     """Percentages of all four dictionaries in the catalogues: a few dozen rows."""
-    parts = [
-        (artworks, "Periode_de_creation", "periods"),
-        (artworks, "Domaine", "domains"),
-        (venues, "Region", "regions"),
-        (venues, "Type_equipement", "types"),
-    ]
-    tables = [
-        catalogue.distribution(catalogue.reference_counts(df, column, name, side[name]))
-        for df, column, name in parts
-    ]
-    first, *rest = tables
-    for table in rest:
-        first = first.unionByName(table)
-    return first
+    counts = catalogue.reference_counts(
+        artworks,
+        {
+            "Periode_de_creation": ("periods", side["periods"]),
+            "Domaine": ("domains", side["domains"]),
+        },
+    ).unionByName(
+        catalogue.reference_counts(
+            venues,
+            {"Region": ("regions", side["regions"]), "Type_equipement": ("types", side["types"])},
+        )
+    )
+    return catalogue.distribution(counts)
 
 
 def bias_pairs(
@@ -70,8 +69,10 @@ def score(
     )
 
 
-def prepare_docs(conversations: DataFrame, doc_id: str, max_docs: int | None) -> DataFrame:
-    """Cultural duels → documents per model; `max_docs=None` uses all of them."""
+def prepare_docs(
+    conversations: DataFrame, doc_id: str, max_docs: int | None = None
+) -> DataFrame:
+    """Cultural duels → documents per model; all of them, or a sample of `max_docs` per model."""
     docs = corpus.model_docs(corpus.cultural_filter(conversations), doc_id)
     if max_docs is None:
         return docs
@@ -85,20 +86,19 @@ def run(
     venues: str,
     output: str,
     doc_id: str = "conversation_pair_id",
-    max_docs: int | None = MAX_DOCS,
-    docs_path: str | None = None,
+    max_docs: int | None = None,
+    multi_line: bool = False,
+    dictionaries: tuple[DictionarySet, DictionarySet] = (CONVERSATION_SIDE, CATALOGUE_SIDE),
 ) -> None:
     """Score every model and write the stored form.  `doc_id` is a unique key of the duels.
 
-    The documents feed four aggregations, so with `docs_path` they are written once and read
-    back instead of being derived from the transcripts each time.
+    The transcripts are read once (twice with a sample) and their documents stored; these are read
+    for keyword counts, for names, for terms and three times for the models alone.  Each catalogue
+    is read twice: for its distributions and for its most frequent names.
     """
-    docs = prepare_docs(read_parquet(spark, bias_conv), doc_id, max_docs)
-    if docs_path is not None:
-        write_parquet(docs, docs_path)
-        docs = read_parquet(spark, docs_path)
-    rows = score(docs, read_artworks(spark, artworks), read_venues(spark, venues))
-    write_parquet(bias.encode_scores(rows), output)
+    docs = stored(prepare_docs(read_parquet(spark, bias_conv), doc_id, max_docs), "docs")
+    tables = read_artworks(spark, artworks, multi_line), read_venues(spark, venues, multi_line)
+    write_parquet(bias.encode_scores(score(docs, *tables, *dictionaries)), output)
 
 
 if __name__ == "__main__":
@@ -106,8 +106,8 @@ if __name__ == "__main__":
     for name in ("bias_conv", "artworks", "venues", "output"):
         parser.add_argument(name)
     parser.add_argument("--doc-id", default="conversation_pair_id")
-    parser.add_argument("--docs-path")
-    parser.add_argument("--all-docs", action="store_true", help="no sample per model")
+    parser.add_argument("--max-docs", type=int, help=f"a sample per model, such as {MAX_DOCS}")
+    parser.add_argument("--multi-line", action="store_true", help="line breaks in quoted fields")
     args = parser.parse_args()
     run(
         SparkSession.builder.getOrCreate(),
@@ -116,6 +116,6 @@ if __name__ == "__main__":
         args.venues,
         args.output,
         args.doc_id,
-        None if args.all_docs else MAX_DOCS,
-        args.docs_path,
+        args.max_docs,
+        args.multi_line,
     )

@@ -15,8 +15,8 @@ def run(
 ) -> list[str]:
     """Clean whichever of reactions, conversations and votes exist under `source`.
 
-    Each output is one lazy plan from scan to write.  The vote key gives `arena_id` its order, the conversation
-    key stays in the bias table.
+    Each output is one lazy plan from scan to write.  The vote key stays in the arena table, the
+    conversation key in the bias table; `sources.read_arena` numbers the arena's rows.
     """
 
     jobs = {

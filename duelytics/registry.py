@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from functools import cached_property
 
@@ -16,9 +15,9 @@ from duelytics.functions.text import clean_text, keyword_pattern, parse_transcri
 from duelytics.operators import (
     bias, catalogue, cleaning, corpus, explorer, metrics, tfidf, trends,
 )
-from duelytics.plans import cleaning_job
+from duelytics.plans import bias_job, cleaning_job
 from duelytics.plans.bias_job import bias_pairs, reference, score
-from duelytics.session import checkpoint_dir
+from duelytics.session import new_folder
 from duelytics.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,7 +43,7 @@ class Tables:
         return self.raw("duels")
 
     @cached_property
-    def names(self) -> DataFrame | None:
+    def names(self) -> DataFrame:
         """Chosen names are always one of the two."""
         return cleaning.name_table(self.raw("duel_names"))
 
@@ -62,7 +61,14 @@ class Tables:
 
     @property
     def arena(self) -> DataFrame:
-        return cleaning.build_arena(self.duels, "duel_id", self.names)
+        """Written in the order of days and numbered as it is read."""
+        day = F.coalesce(F.to_date("timestamp"), F.to_date(F.lit("1970-01-01")))
+        cut = F.substring(F.md5(F.col("duel_id").cast("string")), 1, 3)
+        path = scratch(self)
+        files.write_parquet(
+            cleaning.build_arena(self.duels, "duel_id", self.names).orderBy(day, cut, "duel_id"), path
+        )
+        return files.read_arena(self.spark, path)
 
     @property
     def arena_rows(self) -> DataFrame:
@@ -168,7 +174,7 @@ def rounded(df: DataFrame, column: str, digits: int = 9) -> DataFrame:
 
 def scratch(t: Tables) -> str:
     """A new folder beside the checkpoints, for queries that write and read back."""
-    return f"{checkpoint_dir(t.spark)}/registry-{uuid.uuid4().hex}"
+    return new_folder(t.spark, "registry")
 
 
 def source_queries() -> dict[str, Callable[[Tables], DataFrame]]:
@@ -190,7 +196,7 @@ def source_queries() -> dict[str, Callable[[Tables], DataFrame]]:
         path = scratch(t)
         extra = {name: F.lit("x") for name in ("Region", "Nom_officiel_musee", "unused")}
         files.write_text_table(t.raw("artworks").withColumns(extra), path, "|")
-        return files.read_artworks(t.spark, path)
+        return files.read_artworks(t.spark, path, multi_line=True)
 
     def venues(t: Tables) -> DataFrame:
         path = scratch(t)
@@ -201,7 +207,7 @@ def source_queries() -> dict[str, Callable[[Tables], DataFrame]]:
         }
         raw = t.raw("venues").select("Nom", *[c.alias(n) for n, c in columns.items()])
         files.write_text_table(raw, path, ";")
-        return files.read_venues(t.spark, path)
+        return files.read_venues(t.spark, path, multi_line=True)
 
     def guarded(t: Tables) -> DataFrame:
         there = derived.table(t.spark, t.folder, "conversations")
@@ -211,7 +217,43 @@ def source_queries() -> dict[str, Callable[[Tables], DataFrame]]:
         )
         return found.unionByName(missing)
 
+    def listed_prices(t: Tables) -> DataFrame:
+        path = scratch(t)
+        item = F.struct("position", "id", F.struct("completion").alias("pricing"))
+        items = F.array_sort(F.collect_list(item))
+        listing = t.raw("prices").agg(
+            F.to_json(F.struct(F.transform(items, lambda x: F.struct(x["id"], x["pricing"])).alias("data")))
+        )
+        listing.write.text(path)
+        return files.read_prices(t.spark, path)
+
+    def all_parquet(t: Tables) -> DataFrame:
+        return files.read_parquet(t.spark, f"{t.folder}/events.parquet")
+
+    def whole_bias_job(t: Tables) -> DataFrame:
+        """Transcripts, cultural filter, documents, scores, stored table and back."""
+        folder = scratch(t)
+        duels = cleaning.build_bias_conv(t.raw("text_duels"), "duel_id")
+        files.write_parquet(duels, f"{folder}/bias_conv.parquet")
+        extra = {name: F.lit("x") for name in ("Region", "Nom_officiel_musee")}
+        files.write_text_table(t.raw("artworks").withColumns(extra), f"{folder}/art", "|")
+        raw = t.raw("venues").select(
+            "Nom", F.col("Type_equipement").alias("Type équipement ou lieu"), F.lit("d").alias("Domaine"),
+            F.col("Region").alias("Région"), F.lit("75").alias("Département"),
+            F.lit("Paris").alias("libelle_geographique"),
+        )
+        files.write_text_table(raw, f"{folder}/venues", ";")
+        bias_job.run(
+            t.spark, f"{folder}/bias_conv.parquet", f"{folder}/art", f"{folder}/venues",
+            f"{folder}/scores", "duel_id", multi_line=True,
+            dictionaries=(CHECK_DICTIONARIES, CHECK_CATALOGUE),
+        )
+        return files.read_scores(t.spark, f"{folder}/scores")
+
     return {
+        "src_parquet": all_parquet,
+        "src_prices": listed_prices,
+        "bias_job": whole_bias_job,
         "src_clean": lambda t: cleaned(t).select(
             "base_model_a", "version_b", "chosen_base_model", "both_equal", "conv_turns"
         ),
@@ -225,6 +267,14 @@ def source_queries() -> dict[str, Callable[[Tables], DataFrame]]:
 
 
 def cleaning_queries() -> dict[str, Callable[[Tables], DataFrame]]:
+    def numbered(t: Tables) -> DataFrame:
+        path = scratch(t)
+        key = F.substring(F.md5(F.col("duel_id").cast("string")), 1, 3)
+        files.write_parquet(
+            t.duels.select("duel_id", "timestamp").orderBy(F.to_date("timestamp"), key, "duel_id"), path
+        )
+        return cleaning.arena_row_id(files.read_parquet(t.spark, path))
+
     return {
         "clean_junk_names": lambda t: cleaning.drop_junk_names(t.duels).select(
             "duel_id", "model_a_name", "model_b_name"
@@ -260,9 +310,7 @@ def cleaning_queries() -> dict[str, Callable[[Tables], DataFrame]]:
             "duel_id", "base_model_a", "version_a", "chosen_version", "conv_useful_a",
             "conv_superficial_b", "opening_msg",
         ),
-        "arena_row_id": lambda t: cleaning.arena_row_id(
-            t.duels.select("duel_id", "timestamp"), "duel_id"
-        ),
+        "arena_row_id": numbered,
         "bias_project": lambda t: cleaning.bias_project(t.arena_rows, ["duel_id"]).select(
             "duel_id", "base_model_a", "base_model_b", "visitor_id", "timestamp", "opening_msg"
         ),
@@ -366,16 +414,14 @@ def corpus_queries() -> dict[str, Callable[[Tables], DataFrame]]:
         ),
         "model_docs": lambda t: corpus.model_docs(text_duels(t), "duel_id"),
         "sample_docs": lambda t: corpus.sample_docs(t.corpus, SAMPLE),
-        "model_corpus": lambda t: t.corpus.groupBy("model").agg(
-            F.count("*").alias("docs"), F.sum(F.length("text")).alias("characters")
-        ),
+        "model_corpus": lambda t: corpus.model_corpus(t.corpus),
         "col_normalize": lambda t: t.raw("venues")
         .select("Nom", clean_text(F.col("Nom")).alias("name"))
         .dropna(),
         "keyword_patterns": lambda t: t.corpus.groupBy("model").agg(
             *[
                 F.count_if(F.rlike("text", F.lit(keyword_pattern(keywords)))).alias(f"texts_{i}")
-                for i, keywords in enumerate(CHECK_DICTIONARIES["periods"].values())
+                for i, keywords in enumerate(corpus.keyword_lists(CHECK_DICTIONARIES))
             ]
         ),
         "keyword_counts": lambda t: corpus.keyword_counts(t.corpus, CHECK_DICTIONARIES),
@@ -402,7 +448,7 @@ def corpus_queries() -> dict[str, Callable[[Tables], DataFrame]]:
 def bias_queries() -> dict[str, Callable[[Tables], DataFrame]]:
     def counted(column: str, table: str, name: str) -> Callable[[Tables], DataFrame]:
         return lambda t: catalogue.reference_counts(
-            t.raw(table), column, name, CHECK_CATALOGUE[name]
+            t.raw(table), {column: (name, CHECK_CATALOGUE[name])}
         )
 
     def stored(t: Tables) -> DataFrame:
@@ -486,7 +532,13 @@ def explorer_queries() -> dict[str, Callable[[Tables], DataFrame]]:
         "filter_result": lambda t: arena_keys(
             explorer.filter_result(t.arena_rows, "m1", m1)
         ),
+        "filter_result_m2": lambda t: arena_keys(
+            explorer.filter_result(t.arena_rows, "m2", m1, m2)
+        ),
+        "filter_result_draw": lambda t: arena_keys(explorer.filter_result(t.arena_rows, "draw")),
         "filter_turns": lambda t: arena_keys(explorer.filter_turns(t.arena_rows, "2-3")),
+        "filter_turns_1": lambda t: arena_keys(explorer.filter_turns(t.arena_rows, "1")),
+        "filter_turns_4": lambda t: arena_keys(explorer.filter_turns(t.arena_rows, "4+")),
         "explore_list": lambda t: explorer.explore_list(
             explorer.explore(t.arena, m1=m1, categories=CATEGORIES, turns="4+")
         ),
@@ -500,6 +552,7 @@ def explorer_queries() -> dict[str, Callable[[Tables], DataFrame]]:
             "duel_id", F.posexplode(parse_transcript(F.col("transcript"))).alias("pos", "m")
         ).select("duel_id", "pos", "m.role", "m.content"),
         "pair_turns": lambda t: explorer.pair_turns(transcripts(t), ["duel_id"]),
+        "pair_turns_a": lambda t: explorer.pair_turns(transcripts(t), ["duel_id"], "a"),
         "feedback_tags": lambda t: explorer.feedback_tags(t.arena_rows, ["duel_id"]).select(
             "duel_id", "comment_a", "comment_b",
             *[

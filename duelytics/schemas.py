@@ -15,30 +15,6 @@ def struct(**fields: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
 
 
-CONVERSATIONS = struct(
-    model_a_name=STRING,
-    model_b_name=STRING,
-    conv_turns=LONG,
-    visitor_id=STRING,
-    session_hash=STRING,
-    timestamp=T.TimestampNTZType(),
-    conversation_a=TRANSCRIPT,
-    conversation_b=TRANSCRIPT,
-    opening_msg=STRING,
-    short_summary=STRING,
-    categories=STRINGS,
-    keywords=STRINGS,
-    languages=STRINGS,
-    mode=STRING,
-    custom_models_selection=STRINGS,
-    model_a_total_params=DOUBLE,
-    model_b_total_params=DOUBLE,
-    total_conv_a_kwh=DOUBLE,
-    total_conv_b_kwh=DOUBLE,
-    total_conv_a_output_tokens=LONG,
-    total_conv_b_output_tokens=LONG,
-)
-
 VOTES = struct(
     model_a_name=STRING,
     model_b_name=STRING,
@@ -55,20 +31,6 @@ VOTES = struct(
     **{f"conv_{flag}_{side}": BOOL for flag in FEEDBACK_FLAGS for side in ("a", "b")},
 )
 
-REACTIONS = struct(
-    model_a_name=STRING,
-    model_b_name=STRING,
-    conv_turns=LONG,
-    model_pos=STRING,
-    liked=BOOL,
-    useful=BOOL,
-    creative=BOOL,
-    clear_formatting=BOOL,
-    instructions_not_followed=BOOL,
-    incorrect=BOOL,
-    superficial=BOOL,
-)
-
 PRICE_LIST = struct(
     data=T.ArrayType(struct(id=STRING, pricing=struct(completion=STRING))),
 )

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int = 8, shuffle_partitions: int | None = None) -> SparkSession:
@@ -42,11 +43,17 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def small(df: DataFrame, max_rows: int = 500_000) -> DataFrame:
-    """A saved copy, broadcast in joins when it has at most `max_rows` rows.
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder in the shared checkpoint folder that goes when the session's JVM ends."""
+    path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    location = spark._jvm.org.apache.hadoop.fs.Path(path)
+    location.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(location)
+    return path
 
-    For narrow tables that are expected to be small but are not bound to be; beyond the limit
-    the join is left to Spark.
-    """
-    rows = saved(df)
-    return F.broadcast(rows) if rows.count() <= max_rows else rows
+
+def stored(df: DataFrame, name: str = "stored") -> DataFrame:
+    """The rows written once as Parquet and read back.  Unlike a checkpoint the files tell Spark
+    their size, so that it can choose how to join them."""
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

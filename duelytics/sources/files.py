@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from duelytics import schemas
+from duelytics.operators.cleaning import arena_row_id
 
 # Columns of the two catalogue files.
 ARTWORK_COLUMNS = ["Auteur", "Domaine", "Periode_de_creation", "Region", "Nom_officiel_musee"]
@@ -47,13 +48,23 @@ def read_cleaned(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame
     return conv, votes, react
 
 
+def read_arena(spark: SparkSession, path: str) -> DataFrame | None:
+    """The cleaned arena table with `arena_id`; None when it is missing."""
+    return arena_row_id(read_parquet(spark, path)) if path_exists(spark, path) else None
+
+
+def read_scores(spark: SparkSession, path: str) -> DataFrame:
+    """The stored bias scores; a missing table has no models."""
+    return read_or_empty(spark, path, schemas.BIAS_SCORES)
+
+
 def read_text_table(
-    spark: SparkSession, path: str, separator: str, multi_line: bool = True
+    spark: SparkSession, path: str, separator: str, multi_line: bool = False
 ) -> DataFrame:
     """A delimited file or folder, every column as string; damaged fields are kept as they are.
 
-    Quoted line breaks need one task per file.  Exports without them can be read in splits with
-    `multi_line=False`.
+    Files are read in splits.  With quoted line breaks in the fields `multi_line=True` is needed,
+    which reads each file in one task.
     """
     return (
         spark.read.option("sep", separator)
@@ -68,11 +79,11 @@ def read_text_table(
     )
 
 
-def read_artworks(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+def read_artworks(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     return read_text_table(spark, path, "|", multi_line).select(*ARTWORK_COLUMNS)
 
 
-def read_venues(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+def read_venues(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     table = read_text_table(spark, path, ";", multi_line)
     return table.select(*[F.col(f"`{c}`") for c in VENUE_COLUMNS]).withColumnsRenamed(VENUE_RENAMES)
 
@@ -102,15 +113,3 @@ def write_text_table(df: DataFrame, path: str, separator: str) -> None:
         .csv(path)
     )
 
-
-def spread_small(df: DataFrame, *keys: str) -> DataFrame:
-    """Give every core a part of a table smaller than one split per core.
-
-    Such a table arrives in a few tasks, which starves text work.  Its size is bounded by
-    cores × split size, so the shuffle is small; larger tables pass unchanged.
-    """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    split = 128 * 1024 * 1024
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(cores, *keys) if size < cores * split else df

@@ -626,7 +626,7 @@ def every_second(values: str, start: int) -> str:
 
 
 CTES["string_items"] = """
-SELECT duel_id, CASE WHEN json_valid(t) THEN t END AS t FROM (
+SELECT duel_id, CASE WHEN json_valid(t) AND duel_id % 10 <> 3 THEN t END AS t FROM (
   SELECT duel_id, replace('[' || array_to_string(list_transform(string_split("text", chr(10)),
     lambda x: '{''role'': ''user'', ''content'': ''' || x || '''}'), ', ') || ']', '''', '"') AS t
   FROM text_duels)"""
@@ -648,6 +648,11 @@ def statements() -> dict[str, str]:
             'SELECT duel_id, visitor_id, base_model_a, version_a, "timestamp", conv_turns FROM conv'
         ),
         "src_guard": "SELECT * FROM conversations",
+        "src_parquet": "SELECT * FROM events",
+        "src_prices": (
+            "SELECT (row_number() OVER (ORDER BY p_partkey) - 1)::int AS position, lower(p_brand) || '/' ||"
+            f" {pool('p_partkey')} AS id, completion FROM part JOIN price_rows ON position = p_partkey"
+        ),
         "clean_junk_names": f"SELECT duel_id, model_a_name, model_b_name FROM duels WHERE {JUNK}",
         "clean_bad_names": (
             f"SELECT duel_id, model_a_name, model_b_name FROM duels WHERE {JUNK} AND {BAD}"
@@ -814,7 +819,7 @@ def statements() -> dict[str, str]:
             "SELECT model, "
             + ", ".join(
                 f"count(*) FILTER (WHERE regexp_matches(t, {pattern(k)})) AS texts_{i}"
-                for i, k in enumerate(CHECK_DICTIONARIES["periods"].values())
+                for i, (*_, k) in enumerate(cells(CHECK_DICTIONARIES))
             )
             + f' FROM (SELECT model, {doubled(chr(34) + "text" + chr(34))} AS t FROM corpus)'
             " GROUP BY 1"
@@ -847,6 +852,7 @@ def statements() -> dict[str, str]:
             " FROM map_rows JOIN measures USING (model) WHERE dict IN ('regions', 'types')"
         ),
         "bias_scores": "SELECT * FROM stored",
+        "bias_job": "SELECT * FROM stored",
         "json_encode": (
             "SELECT model, joconde_periodes, joconde_domaines, tfidf_discriminants FROM stored"
         ),
@@ -897,7 +903,13 @@ def statements() -> dict[str, str]:
         "filter_result": (
             f"SELECT {KEYS} FROM arena_rows WHERE chosen_base_model = {M1} AND both_equal = false"
         ),
+        "filter_result_m2": (
+            f"SELECT {KEYS} FROM arena_rows WHERE chosen_base_model = {M2} AND both_equal = false"
+        ),
+        "filter_result_draw": f"SELECT {KEYS} FROM arena_rows WHERE both_equal",
         "filter_turns": f"SELECT {KEYS} FROM arena_rows WHERE conv_turns BETWEEN 2 AND 3",
+        "filter_turns_1": f"SELECT {KEYS} FROM arena_rows WHERE conv_turns = 1",
+        "filter_turns_4": f"SELECT {KEYS} FROM arena_rows WHERE conv_turns >= 4",
         "explore_list": (
             f"SELECT arena_id, CASE WHEN {MESSAGE} = '' THEN '—' WHEN length({MESSAGE}) > 130 THEN"
             f" substr({MESSAGE}, 1, 130) || '…' ELSE {MESSAGE} END AS preview, base_model_a,"
@@ -925,6 +937,12 @@ def statements() -> dict[str, str]:
             " unnest(a[1:least(len(u), len(a))]) AS answer FROM (SELECT duel_id,"
             f" {every_second(USERS, 1)} AS u, {every_second(ASSISTANT, 0)} AS a FROM text_duels))"
         ),
+        "pair_turns_a": (
+            "SELECT * FROM (SELECT duel_id, unnest(range(1, least(len(u), len(a)) + 1))::int AS"
+            " turn, unnest(u[1:least(len(u), len(a))]) AS user,"
+            " unnest(a[1:least(len(u), len(a))]) AS answer FROM (SELECT duel_id,"
+            f" {every_second(USERS, 1)} AS u, {every_second(USERS, 0)} AS a FROM text_duels))"
+        ),
         "feedback_tags": (
             "SELECT duel_id, "
             + ", ".join(
@@ -963,24 +981,46 @@ def badge_statement() -> str:
     )
 
 
-def needed(statement: str) -> list[str]:
+def needed(statement: str, ctes: dict[str, str]) -> list[str]:
     """The derived tables a statement uses, in definition order."""
     used: set[str] = set()
 
     def visit(sql: str) -> None:
-        for name in CTES:
+        for name in ctes:
             if name not in used and re.search(rf"(?:\bFROM|\bJOIN|,)\s*{name}\b", sql):
                 used.add(name)
-                visit(CTES[name])
+                visit(ctes[name])
 
     visit(statement)
-    return [name for name in CTES if name in used]
+    return [name for name in ctes if name in used]
+
+
+def bias_job_tables() -> dict[str, str]:
+    """All tables, with the cultural duels' documents as the corpus."""
+    stems = text(stem_pattern().replace("iu", "i"))
+    cultural = f'(regexp_matches(source, {stems}) OR regexp_matches(lower("text"), {stems}))'
+    corpus = f"""
+SELECT * FROM (
+  SELECT base_model_a AS model, duel_id AS doc_id, lower(replace("text", chr(10), ' ')) AS "text"
+  FROM text_conv WHERE {cultural}
+  UNION ALL SELECT base_model_b, duel_id, lower(replace("text", '. ', ' ')) FROM text_conv
+  WHERE {cultural})
+WHERE trim("text", {text(c.WHITESPACE)}) <> ''"""
+    rest = {name: sql for name, sql in CTES.items() if name not in ("corpus", "text_conv")}
+    first = ["duels", "text_duels"]
+    return {
+        **{name: rest.pop(name) for name in first},
+        "text_conv": CTES["text_conv"],
+        "corpus": corpus,
+        **rest,
+    }
 
 
 def oracles() -> dict[str, str]:
     out = {}
     for key, statement in statements().items():
-        tables = ", ".join(f"{name} AS ({CTES[name]})" for name in needed(statement))
+        ctes = bias_job_tables() if key == "bias_job" else CTES
+        tables = ", ".join(f"{name} AS ({ctes[name]})" for name in needed(statement, ctes))
         if statement.startswith("WITH "):
             out[key] = f"WITH {tables}, {statement[5:]}"
         else:

@@ -1,9 +1,8 @@
-import datetime
-
 from duelytics import schemas
 from duelytics.constants import ARENA_COLUMNS
 from duelytics.operators import cleaning
 from duelytics.plans import cleaning_job
+from duelytics.sources import files
 
 
 def duels(spark, data):
@@ -57,16 +56,28 @@ def test_pruned_columns(spark):
     assert cleaning.arena_project(votes).columns == ["conversation_a"]
 
 
-def test_arena_id_is_consecutive_and_chronological(spark):
-    start = datetime.datetime(2024, 1, 1)
-    data = [(i, start if i % 3 else start + datetime.timedelta(hours=i)) for i in range(500)]
-    data.append((500, None))
-    df = spark.createDataFrame(data, "k long, timestamp timestamp_ntz").repartition(7)
-    out = sorted(cleaning.arena_row_id(df, "k").collect(), key=lambda r: r.arena_id)
-    assert [r.arena_id for r in out] == list(range(501))
-    assert out[0].k == 500
-    days = [r.timestamp.date() for r in out[1:]]
-    assert days == sorted(days)
+def test_arena_id_is_consecutive_in_file_order(spark, tmp_path):
+    path = str(tmp_path / "arena.parquet")
+    spark.range(500).selectExpr("id AS k", "array('a long transcript') AS conversation_a").repartition(7).sortWithinPartitions(
+        "k").write.parquet(path)
+    out = cleaning.arena_row_id(spark.read.parquet(path))
+    got = sorted(out.collect(), key=lambda r: r.arena_id)
+    assert [r.arena_id for r in got] == list(range(500)) and {r.k for r in got} == set(range(500))
+    assert sum(a.k > b.k for a, b in zip(got, got[1:])) <= 6
+    moved = [x for x in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Repartition" in x or "Window" in x]
+    assert not any("conversation_a" in x for x in moved)
+    physical = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in physical and "hashpartitioning(_own" not in physical
+
+
+def test_both_ways_to_names_give_one_schema(spark, rows):
+    df = spark.createDataFrame([(1, "gpt-4", "phi-4", 1, "phi-4"), (2, "o1", "phi-4", 1, None), (3, "Claude-3-opus", "yi-34b", 2, "yi-34b")],
+                               "id long, model_a_name string, model_b_name string, conv_turns int, chosen_model_name string")
+    names = cleaning.name_table(df, cleaning.VOTE_NAMES)
+    for build in (cleaning.normalize_models, cleaning.normalize_winner):
+        looked_up, computed = build(df, names), build(df)
+        assert looked_up.columns == computed.columns
+        assert rows(looked_up) == rows(computed)
 
 
 def test_bias_project_keeps_french(spark, rows):
@@ -89,4 +100,6 @@ def test_job_writes_what_exists(spark, tmp_path):
     arena = spark.read.parquet(f"{target}/arena.parquet")
     assert vot.count() == 2 and arena.count() == 1
     assert {"chosen_base_model", "chosen_version", "base_model_a"} <= set(vot.columns)
-    assert arena.first().arena_id == 0 and set(ARENA_COLUMNS) <= set(arena.columns)
+    assert set(ARENA_COLUMNS) <= set(arena.columns)
+    assert files.read_arena(spark, f"{target}/arena.parquet").first().arena_id == 0
+    assert files.read_arena(spark, f"{target}/none.parquet") is None

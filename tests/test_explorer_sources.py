@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from duelytics import dictionaries, schemas, session
+from duelytics import derived, schemas, session
 from duelytics.operators import explorer
 from duelytics.sources import files
 
@@ -117,20 +117,14 @@ def test_missing_inputs(spark, tmp_path):
     assert [df.count() for df in files.read_cleaned(spark, str(tmp_path))] == [2, 2, 2]
 
 
-def test_dictionary_table(spark):
-    table = dictionaries.dictionary_table(spark, dictionaries.CATALOGUE_SIDE)
-    counts = {r.dict: r.n for r in table.groupBy("dict").agg(F.countDistinct("category").alias("n")).collect()}
-    assert counts == {"periods": 7, "domains": 7, "regions": 13, "types": 7}
-
-
 def test_checkpoints_use_the_session_folder(spark):
     folder = spark.conf.get("spark.checkpoint.dir")
     assert session.checkpoint_dir(spark) == folder
     assert session.saved(spark.range(3)).count() == 3
-    assert spark.sparkContext._jsc.sc().getCheckpointDir().get().startswith("file:") or folder
+    assert folder in spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
 def test_small_tables_are_spread(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    out = files.spread_small(df, "doc_id")
+    out = derived.spread_small(df, "doc_id")
     assert out.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism

@@ -247,3 +247,26 @@ def test_prices(spark):
         ("glm", "Tous"): (0.0, True),
         ("yi", "Tous"): (0.0, False), ("yi", "1.5"): (0.0, False),
         ("q", "Tous"): (1.0, False)}
+
+
+def test_small_energies_are_not_lost(spark):
+    duels = spark.range(100_000).selectExpr(
+        "'x' base_model_a", "'y' base_model_b", "'1' version_a", "'1' version_b", "4e-7D total_conv_a_kwh",
+        "id * 1e-12D total_conv_b_kwh")
+    got = by_model(metrics.energy(metrics.duel_totals(duels, ["kwh", "kwh_first", "kwh_n"])), "kwh_total")
+    assert got["x", "Tous"] == (0.04,) and got["y", "Tous"] == (0.0,)
+    sums = {r.family: r.kwh for r in metrics.duel_totals(duels, ["kwh"]).collect()}
+    assert float(sums["x"]) == 0.04 and float(sums["y"]) == pytest.approx(4.99995e-3, rel=1e-12)
+
+
+@pytest.mark.parametrize("absent", ["conv_turns", "mode", "custom_models_selection"])
+def test_metrics_without_a_column(spark, absent):
+    duels = spark.sql("""SELECT 'x' base_model_a, 'y' base_model_b, '1' version_a, '1' version_b, 1.5D total_conv_a_kwh,
+        2.5D total_conv_b_kwh, 10L total_conv_a_output_tokens, 20L total_conv_b_output_tokens, 3L conv_turns, 'custom' mode,
+        array('x') custom_models_selection""").drop(absent)
+    totals = metrics.duel_totals(duels)
+    assert by_model(metrics.energy(totals), "kwh_total")["x", "Tous"] == (1.5,)
+    picks = by_model(metrics.pick_rate(totals, duels), "pick_rate")
+    deep = by_model(metrics.deep_engagement(totals), "deep_engagement")
+    assert picks["x", "Tous"] == ((100.0,) if absent == "conv_turns" else (0.0,))
+    assert deep["x", "Tous"] == ((0.0,) if absent == "conv_turns" else (100.0,))

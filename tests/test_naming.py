@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from duelytics.constants import BAD_NAMES, JUNK_PREFIXES
 from duelytics.derived import NAME_POOL
 from duelytics.functions.naming import family_of, is_bad, is_junk, version_of
 from duelytics.operators import cleaning
@@ -43,7 +44,9 @@ def named(spark, names):
 
 
 def test_pool_is_covered():
-    assert set(NAME_POOL) - {"javascript:x"} <= set(EXPECTED)
+    junk = {n for n in NAME_POOL if n.startswith(tuple(JUNK_PREFIXES))}
+    assert len(junk) == len(JUNK_PREFIXES) and len(set(NAME_POOL) & set(BAD_NAMES)) == 2
+    assert set(NAME_POOL) - junk - set(BAD_NAMES) <= set(EXPECTED)
 
 
 def test_family_and_version(spark):
@@ -80,11 +83,5 @@ def test_name_table_equals_expressions(spark, rows):
     slow = cleaning.normalize_winner(cleaning.normalize_models(df))
     fast = cleaning.normalize_winner(cleaning.normalize_models(df, names), names)
     assert rows(slow) == rows(fast)
-    assert len(rows(slow)) == 29 * 29 + 1
+    assert len(rows(slow)) == (len(NAME_POOL) - 1) ** 2 + 1  # one name has no family
 
-
-def test_name_table_too_large(spark):
-    df = spark.createDataFrame([("a1", "b1"), ("c1", "d1")], "model_a_name string, model_b_name string")
-    assert cleaning.name_table(df, max_names=3) is None
-    assert cleaning.name_table(df, max_bytes=5) is None
-    assert cleaning.name_table(df, max_names=4) is not None

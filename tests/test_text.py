@@ -93,6 +93,9 @@ TRANSCRIPTS = [
     (None, []),
     ("[]", []),
     ("  [{'content':'seul'}] ", [("", "seul")]),
+    ("[{'role':'user','content':'x'}] junk", []),
+    ('["{a}"]', []),
+    ("['{a}', null, [1], {'content':'x'}]", [("", "x")]),
 ]
 
 
