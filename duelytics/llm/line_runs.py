@@ -130,8 +130,9 @@ def dropped_lines(docs: DataFrame, min_chars=MIN_CHARS, min_docs=MIN_DOCS, batch
         if low is not None:
             part = part.where(F.col("doc_id") > low)
         index.add(part.select(*KEY, "doc_id"))
-    shared = index.counts().where(F.col("n") >= min_docs).select(
-        F.col("h1").alias("a1"), F.col("h2").alias("a2"), "top")
+    # Stored, so that Spark knows its size, and can split the rows of a frequent line if it shuffles them.
+    shared = stored(index.counts().where(F.col("n") >= min_docs).select(
+        F.col("h1").alias("a1"), F.col("h2").alias("a2"), "top"), "shared-lines")
     lost = lines.join(shared, (F.col("h1") == F.col("a1")) & (F.col("h2") == F.col("a2"))).where(
         ~F.col("doc_id").eqNullSafe(F.col("top")))
     gone = stored(lost.groupBy("doc_id", "text_hash").agg(
