@@ -9,11 +9,12 @@ of elements, instead of t hashes for each element.
 
 Texts with equal sets are one class at once, so copies are signed and compared once. Classes meet in
 buckets of `ROWS` coordinates. In a bucket everyone is compared with the smallest id first; what has
-then become one component needs no further comparison within itself, and all pairs of a bucket that
-lie in different components are compared too, after a size bound and a sketch of two bits for each
-coordinate that a similar pair passes with all but 1e-5 probability. A link is a verified similarity
-of the whole sets, classes are connected components. No bucket is cut off and no pair inside a
-component is written out.
+then become one component needs no further comparison within itself; everyone outside the leader's
+component is compared with all of other components, after a size bound and a sketch of two bits for
+each coordinate that a similar pair passes with all but 1e-5 probability. Where a bucket has few such
+outsiders, the pairs that pass are written out; where it has many, the bucket's texts meet in blocks
+of bounded size and only links are written, so rows grow with a bucket and not with its square. A link
+is a verified similarity of the whole sets, classes are connected components. No bucket is cut off.
 """
 
 from __future__ import annotations
@@ -32,7 +33,9 @@ from duelytics.llm.words import Block, alnum_words, blocks, mix, utf8, windows
 WIDTH, SIMILARITY = 5, 0.8
 BANDS, ROWS = 25, 5
 LEAST_AGREEING = 89        # of 125 sketched coordinates; a pair of similarity 0.8 has 106 +- 4
-GROUP = 4000               # texts compared with one copy of a leader
+GROUP = 500                # texts compared with one copy of a leader
+OUTSIDERS = 16             # a bucket with more of them is compared in blocks ...
+BLOCK = 500                # ... of so many outsiders, against parts of so many texts
 
 _CDF = np.cumsum([np.exp(-1.0) / np.prod(np.arange(1, k + 1)) for k in range(18)])
 _U = np.uint64
@@ -237,7 +240,128 @@ def jaccard(a: np.ndarray, a_counts, b: np.ndarray, b_counts) -> float:
     return shared / max(int(a_counts.sum()) + int(b_counts.sum()) - shared, 1)
 
 
-def classes(docs: DataFrame, similarity: float = SIMILARITY, counted: bool = False) -> DataFrame:
+def _pairs_across(placed: DataFrame, own: list[str], similarity: float) -> DataFrame:
+    """a, b: pairs of a bucket in different components, `b` outside the leader's, that may be similar."""
+    outside = placed.where("label <> main").select(
+        "bucket", F.col("label").alias("x_label"), F.col("l_id").alias("x_leader"),
+        *[F.col(c).alias(f"x_{c}") for c in own])
+    others = placed.select("bucket", F.col("label").alias("l_label"), "main", *[F.col(c).alias(f"l_{c}") for c in own])
+    return outside.join(others, "bucket").where(
+        (F.col("x_label") != F.col("l_label")) & (F.col("l_id") != F.col("x_leader"))
+        & ((F.col("l_label") == F.col("main")) | (F.col("x_id") < F.col("l_id")))
+        & _may_be_similar(similarity)
+    ).select(F.col("l_id").alias("a"), F.col("x_id").alias("b"))
+
+
+def _links_in_blocks(docs: DataFrame, placed: DataFrame, sets: DataFrame, similarity: float,
+                     counted: bool) -> DataFrame:
+    """a, b: verified links of the same pairs. The outsiders of a bucket come in blocks, every text of
+    the bucket streams past each block. A pair is compared in the first band that it shares only."""
+    words = -(-BANDS * ROWS // 32)
+    parts = F.ceil(F.col("all") / (8 * BLOCK)).cast("int")
+    blocks_ = F.ceil(F.col("outside") / BLOCK).cast("int")
+
+    def dealt(count: Column, salt: int) -> Column:
+        return F.pmod(F.xxhash64("id", F.lit(salt)), count).cast("int")
+
+    def every(count: Column) -> Column:
+        return F.explode(F.sequence(F.lit(0), count - 1))
+
+    is_out = F.col("label") != F.col("main")
+    members = placed.select("id", "bucket", "label", (~is_out).alias("inside"), dealt(parts, 1).alias("part"),
+                            blocks_.alias("_n"), F.lit(1).alias("turn")).withColumn("block", every(F.col("_n"))).drop("_n")
+    outside = placed.where(is_out).select(
+        "id", "bucket", "label", F.lit(False).alias("inside"), dealt(blocks_, 2).alias("block"), parts.alias("_n"),
+        F.lit(0).alias("turn")).withColumn("part", every(F.col("_n"))).drop("_n")
+    uses = members.unionByName(outside).groupBy("id").agg(
+        F.max("label").alias("label"), F.collect_list(F.struct("bucket", "block", "part", "turn", "inside")).alias("uses"))
+    known = uses.join(sets.select(F.col("id").alias("s_id"), "bands", F.array(*[F.col(f"s{k}") for k in range(words)]).alias(
+        "sketch")), F.col("id") == F.col("s_id")).drop("s_id")
+    texts = docs.selectExpr("cast(doc_id AS bigint) AS doc_id", "text").join(
+        known, F.col("doc_id") == F.col("id")).select("id", "label", "uses", "bands", "sketch", "text")
+    kinds = {"bucket": pa.int64(), "block": pa.int32(), "part": pa.int32(), "turn": pa.int32(), "inside": pa.bool_(),
+             "id": pa.int64(), "label": pa.int64(), "bands": pa.binary(), "sketch": pa.binary(), "elements": pa.binary(),
+             "counts": pa.binary()}
+
+    def arrow(rows):
+        columns = list(zip(*rows)) if rows else [[]] * len(kinds)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds.values())], names=list(kinds))
+
+    def shingled(batches):
+        for batch in batches:
+            rows, at = [], 0
+            for block in _lowered(batch):
+                for elements, counts in text_shingles(block):
+                    id_, label, uses, bands, sketch = (batch.column(c)[at].as_py() for c in batch.schema.names[:5])
+                    held = (id_, label, np.array(bands, np.int64).tobytes(), np.array(sketch, np.int64).tobytes(),
+                            elements.tobytes(), counts.astype(np.int32).tobytes() if counted else b"")
+                    rows += [(u["bucket"], u["block"], u["part"], u["turn"], u["inside"], *held) for u in uses]
+                    at += 1
+                    if len(rows) > 2000:
+                        yield arrow(rows)
+                        rows = []
+            yield arrow(rows)
+
+    def compare(batches):
+        group, held = None, []
+        table = None
+        for batch in batches:
+            a, b = [], []
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                bucket, block, part, turn, inside, id_, label, bands, sketch, elements, counts = row
+                if group != (bucket, block, part):
+                    group, held, table = (bucket, block, part), [], None
+                own = (id_, label, np.frombuffer(bands, np.int64), np.frombuffer(sketch, _U),
+                       np.frombuffer(elements, _U), np.frombuffer(counts, np.int32) if counted else None)
+                if turn == 0:
+                    held.append(own)
+                    continue
+                if table is None:
+                    table = _outsiders(held)
+                for k in _possible(table, own, inside, bucket, similarity):
+                    if jaccard(own[4], own[5], held[k][4], held[k][5]) >= similarity:
+                        a.append(id_)
+                        b.append(held[k][0])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    schema = ("bucket long, block int, part int, turn int, inside boolean, id long, label long, bands binary,"
+              " sketch binary, elements binary, counts binary")
+    return (
+        texts.mapInArrow(shingled, schema).repartition("bucket", "block", "part")
+        .sortWithinPartitions("bucket", "block", "part", "turn").mapInArrow(compare, "a long, b long").distinct()
+    )
+
+
+def _outsiders(held: list[tuple]) -> tuple[np.ndarray, ...]:
+    """Ids, labels, bands, sketches and numbers of elements of a block's outsiders."""
+    if not held:
+        return tuple(np.zeros((0, n), np.int64) for n in (1, 1, 1, 1, 1))
+    return (np.array([h[0] for h in held]), np.array([h[1] for h in held]), np.stack([h[2] for h in held]),
+            np.stack([h[3] for h in held]), np.array([len(h[4]) for h in held]))
+
+
+def _possible(table: tuple[np.ndarray, ...], own: tuple, inside: bool, bucket: int, similarity: float) -> np.ndarray:
+    """Which outsiders a text is compared with in this bucket."""
+    ids, labels, bands, sketches, sizes = table
+    if not len(ids):
+        return np.zeros(0, np.int64)
+    id_, label, own_bands, own_sketch, elements, _ = own
+    n = len(elements)
+    found = (labels != label) & (np.minimum(sizes, n) >= similarity * np.maximum(sizes, n))
+    if not inside:
+        found &= ids < id_
+    at = np.flatnonzero(found)
+    differ = sketches[at] ^ own_sketch
+    either = (differ | differ >> _U(1)) & _U(0x5555555555555555)
+    agreeing = BANDS * ROWS - np.bitwise_count(either).sum(axis=1).astype(np.int64)
+    at = at[agreeing >= LEAST_AGREEING]
+    same = bands[at] == own_bands
+    first = np.where(same.any(axis=1), own_bands[same.argmax(axis=1)], bucket)
+    return at[first == bucket]
+
+
+def classes(docs: DataFrame, similarity: float = SIMILARITY, counted: bool = False,
+            outsiders: int = OUTSIDERS) -> DataFrame:
     """doc_id, class_id for every row of `docs`: class_id is the smallest doc_id of the documents
     that links of at least `similarity` connect, the document itself included.
 
@@ -271,21 +395,17 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, counted: bool = Fal
     placed = met.join(label, F.col("id") == F.col("c_id"), "left").withColumn(
         "label", F.coalesce("label", "id")).select("bucket", "l_id", "label", *own)
     placed = stored(placed.join(
-        label.select(F.col("c_id").alias("d_id"), F.col("label").alias("l_label")),
+        label.select(F.col("c_id").alias("d_id"), F.col("label").alias("main")),
         F.col("l_id") == F.col("d_id"), "left"
-    ).withColumn("l_label", F.coalesce("l_label", "l_id")).drop("d_id"), "placed")
-    outside = placed.where("label <> l_label").select(
-        "bucket", F.col("label").alias("x_label"), F.col("l_id").alias("x_leader"),
-        *[F.col(c).alias(f"x_{c}") for c in own])
-    others = placed.select("bucket", F.col("label").alias("l_label"), F.col("l_label").alias("main"),
-                           *[F.col(c).alias(f"l_{c}") for c in own])
-    left = outside.join(others, "bucket").where(
-        (F.col("x_label") != F.col("l_label")) & (F.col("l_id") != F.col("x_leader"))
-        & ((F.col("l_label") == F.col("main")) | (F.col("x_id") < F.col("l_id")))
-        & _may_be_similar(similarity)
-    ).select(F.col("l_id").alias("a"), F.col("x_id").alias("b"))
-    second = verified(docs, left, similarity, counted)
-    found = components(first.union(second))
+    ).withColumn("main", F.coalesce("main", "l_id")).drop("d_id"), "placed")
+    mixed = stored(placed.groupBy("bucket").agg(
+        F.count("*").alias("all"), F.count_if(F.col("label") != F.col("main")).alias("outside")
+    ).where("outside > 0").withColumnRenamed("bucket", "m_bucket"), "mixed-buckets")
+    placed = placed.join(mixed, F.col("bucket") == F.col("m_bucket")).drop("m_bucket")
+    few, many = placed.where(F.col("outside") <= outsiders), placed.where(F.col("outside") > outsiders)
+    links = first.union(verified(docs, _pairs_across(few, own, similarity), similarity, counted)).union(
+        _links_in_blocks(docs, many, sets, similarity, counted))
+    found = components(stored(links, "all-links"))
 
     named = sets.select("f1", "f2", "id").join(
         found.withColumnRenamed("id", "m_id"), F.col("id") == F.col("m_id"), "left"

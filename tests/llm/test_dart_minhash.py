@@ -41,7 +41,8 @@ def changed(rng, text, n):
     return " ".join(words)
 
 
-def test_classes_against_all_pairs(spark):
+@pytest.mark.parametrize("outsiders", [dm.OUTSIDERS, 0])
+def test_classes_against_all_pairs(spark, outsiders):
     rng = random.Random(11)
     rows, at = [], 0
     for n in (8, 30, 60, 200):
@@ -55,13 +56,15 @@ def test_classes_against_all_pairs(spark):
         rows.append((at, changed(rng, hot, rng.randint(0, 8))))
         at += 1
     shared = prose(rng, 60)
-    for _ in range(40):  # a passage that is common to different texts
-        rows.append((at, prose(rng, 50) + " " + shared + " " + prose(rng, 30)))
+    for k in range(60):  # a passage that is common to different texts, most of the text for some
+        rows.append((at, prose(rng, 2 + k % 25) + " " + shared + " " + prose(rng, 3 + k % 7)))
         at += 1
     rows += [(1000, None), (1001, ""), (1002, " !! "), (1003, "two words"), (1004, "Two, WORDS!"), (1005, "two"),
              (None, hot), (None, None), (3, rows[3][1]), (1006, prose(rng, 20_000)), (-5, rows[0][1])]
-    got = dm.classes(documents(spark, rows, clashing=True)).collect()
+    got = dm.classes(documents(spark, rows, clashing=True), outsiders=outsiders).collect()
     assert sorted(map(tuple, got), key=repr) == expected(rows)
+    if outsiders == 0:
+        return
     kept = dm.one_of_each(documents(spark, rows, clashing=True))
     assert kept.columns == documents(spark, rows, clashing=True).columns
     own = sorted({c for i, c in expected(rows) if c is not None})
