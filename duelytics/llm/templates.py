@@ -13,6 +13,7 @@ any size is dealt with in parallel. Hosts with too few different pages are taken
 
 from __future__ import annotations
 
+import hashlib
 import re
 from typing import NamedTuple
 
@@ -38,6 +39,7 @@ NAMES = frozenset(
     " respond reply replies share sharing social related recommended newsletter subscribe subscription signup login"
     " search pagination pager copyright complementary contentinfo skip alert toolbar widget".split())
 MAIN = frozenset(["article", "main"])
+TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre".split())
 _WORDS = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
@@ -104,6 +106,11 @@ def outline(page: Page) -> Outline:
     return Outline(paths[1:], lines)
 
 
+def line_token(line: Line) -> str:
+    """A line of text and where it stands, without its length."""
+    return f"{line.path}\n{hashlib.blake2b(line.text.encode('utf-8', 'surrogatepass'), digest_size=12).hexdigest()}"
+
+
 def tokens(pages: DataFrame) -> DataFrame:
     """group, page, kind, token, n, words: how often each page holds each token; `words` counts the
     words of main-text candidates directly in an element."""
@@ -119,11 +126,10 @@ def tokens(pages: DataFrame) -> DataFrame:
                     found.setdefault(("element", path), [0, 0])[0] += 1
                 for line in shape.lines:
                     if not line.outside:
-                        found.setdefault(("line", f"{line.path}\n{line.text}"), [0, 0])[0] += 1
+                        found.setdefault(("line", line_token(line)), [0, 0])[0] += 1
                         if not line.inside:
                             holder = line.path
-                            if holder.rpartition("/")[2].split(".")[0] in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li",
-                                                                           "blockquote", "pre"):
+                            if holder.rpartition("/")[2].split(".")[0] in TEXT_BLOCKS:
                                 holder = holder.rpartition("/")[0]
                             found.setdefault(("element", holder), [0, 0])[1] += line.text.count(" ") + 1
                 rows += [(group, page, kind, token, n, words) for (kind, token), (n, words) in found.items()]
@@ -138,42 +144,42 @@ def tokens(pages: DataFrame) -> DataFrame:
 
 
 def deduced(pages: DataFrame, least: int = LEAST_PAGES) -> DataFrame:
-    """group, pages, wording, slot: the fixed lines of each group's template, and the element that
-    holds most words outside its wording where no article stands. `pages`: group, page, html, all
-    different within a group."""
+    """group, different, wording, slot: the fixed lines of each group's template, and the element that
+    holds most words outside its wording where no article stands. `pages`: group, page (a hash of the
+    html), html. Copies of a page count in all vectors alike, so they do not change the classes."""
     counted = tokens(pages)
+    # An occurrence vector as two order-free sums of 32 bits of a hash of (page, occurrences).
+    entry = F.xxhash64("page", "n")
     vectors = counted.groupBy("group", "kind", "token").agg(
-        F.count("*").alias("support"), F.bit_xor(F.xxhash64("page", "n")).alias("vector"),
-        F.max("n").alias("most"), F.sum("words").alias("words"))
+        F.count("*").alias("support"), F.sum(entry.bitwiseAND(F.lit(0xFFFFFFFF))).alias("low"),
+        F.sum(F.shiftrightunsigned(entry, 32)).alias("high"), F.sum("words").alias("words"))
     vectors = stored(vectors.where(F.col("support") >= least), "vectors")
-    sizes = pages.groupBy("group").agg(F.count("*").alias("pages"))
-    classes = vectors.groupBy("group", "vector", "support").agg(
-        F.count("*").alias("size"), F.count_if(F.col("kind") == "element").alias("elements"))
-    member = vectors.join(classes, ["group", "vector", "support"]).join(sizes, "group").where(
-        (F.col("size") >= SIZE) & (F.col("support") == F.col("pages")))
+    sizes = stored(pages.groupBy("group").agg(
+        F.count("*").alias("pages"), F.count_distinct("page").alias("different")), "group-sizes")
+    vector = ["group", "support", "low", "high"]
+    classes = vectors.groupBy(*vector).agg(F.count("*").alias("size"))
+    everywhere = vectors.join(sizes, "group").where(F.col("support") == F.col("pages"))
+    member = everywhere.join(classes, vector).where(F.col("size") >= SIZE)
     # A token nests when the element around it is on every page as well.
-    frame = vectors.where("kind = 'element'").join(sizes, "group").where(F.col("support") == F.col("pages")).select(
-        "group", F.col("token").alias("path"))
-    parent = F.when(F.col("kind") == "element", F.regexp_replace("token", "/[^/]*$", "")).otherwise(
-        F.split("token", "\n")[0])
-    nested = member.withColumn("parent", parent).join(
-        frame.withColumnRenamed("group", "g"), (F.col("group") == F.col("g")) & (F.col("parent") == F.col("path")), "left"
-    ).where((F.col("parent") == "") | F.col("path").isNotNull())
-    wording = nested.where("kind = 'line'").groupBy("group").agg(F.collect_set("token").alias("wording"))
+    frame = everywhere.where("kind = 'element'").select(F.col("group").alias("g"), F.col("token").alias("path"))
+    lines = member.where("kind = 'line'").withColumn("parent", F.split("token", "\n")[0]).join(
+        frame, (F.col("group") == F.col("g")) & (F.col("parent") == F.col("path")), "left_semi")
+    wording = lines.groupBy("group").agg(F.collect_set("token").alias("wording"))
     slots = vectors.where("kind = 'element' AND words > 0").groupBy("group").agg(
         F.max_by("token", F.struct("words", "token")).alias("slot"))
-    return sizes.join(wording, "group", "left").join(slots, "group", "left")
+    return sizes.select("group", "different").join(wording, "group", "left").join(slots, "group", "left")
 
 
-def main_text(html: str | None, pages: int = 0, wording: frozenset[str] = frozenset(), slot: str | None = None) -> str:
+def main_text(html: str | None, different: int = 0, wording: frozenset[str] = frozenset(),
+              slot: str | None = None) -> str:
     """The remaining text of a page: blocks of the article, or of the slot, or of the whole body."""
     lines = [line for line in outline(read(html)).lines if not line.outside]
     inside = [line for line in lines if line.inside]
     if inside:
-        if pages >= SURE_PAGES:
-            inside = [line for line in inside if f"{line.path}\n{line.text}" not in wording]
+        if different >= SURE_PAGES:
+            inside = [line for line in inside if line_token(line) not in wording]
         return "\n".join(line.text for line in inside)
-    varying = [line for line in lines if f"{line.path}\n{line.text}" not in wording]
+    varying = [line for line in lines if line_token(line) not in wording]
     chosen = [line for line in varying if slot and (line.path + "/").startswith(slot + "/")]
     return "\n".join(line.text for line in chosen or varying)
 
@@ -181,30 +187,26 @@ def main_text(html: str | None, pages: int = 0, wording: frozenset[str] = frozen
 def extract(pages: DataFrame, least: int = LEAST_PAGES) -> DataFrame:
     """page_id, url, text, n_chars for every row of `pages`.
 
-    Null and empty html, and pages without main text, give an empty text. Equal pages of a host count
-    once for its template and are all extracted; a url that is null or has no host belongs to a host of
+    Null and empty html, and pages without main text, give an empty text. Equal pages of a host
+    change nothing about its template and are all extracted; a url that is null or has no host belongs to a host of
     its own. Hosts with fewer than `least` different pages are taken together. Other columns are not
     looked at; an empty table gives no rows.
     """
     rows = pages.select(
         F.col("page_id"), F.col("url"), F.coalesce(host_of("url"), F.lit("")).alias("host"), F.col("html"))
-    # The pages of a group by the hash of their html: copies are one page.
-    keyed = rows.select("host", F.xxhash64("html").alias("page"))
-    sizes = keyed.distinct().groupBy("host").agg(F.count("*").alias("different"))
-    groups = sizes.select(F.col("host").alias("h"), F.when(
-        F.col("different") >= least, F.concat(F.lit("host "), "host")).otherwise(F.lit("small hosts")).alias("group"))
+    hosts = rows.groupBy("host").agg(F.count_distinct(F.xxhash64("html")).alias("different"))
+    # Stored: Spark knows how small the tables of hosts are, and moves no page to join them.
+    groups = stored(hosts.select(F.col("host").alias("h"), F.when(
+        F.col("different") >= least, F.concat(F.lit("host "), "host")).otherwise(F.lit("small hosts")).alias("group")),
+        "groups")
     grouped = rows.join(groups, F.col("host") == F.col("h")).select(
         "page_id", "url", "group", "html", F.xxhash64("html").alias("page"))
-    # One page stands for its copies: rows are chosen by the smallest id before any text moves.
-    known = rows.select("page_id", "host", F.xxhash64("html").alias("page")).groupBy("host", "page").agg(
-        F.min("page_id").alias("chosen")).select("chosen").distinct()
-    once = grouped.join(known, F.col("page_id") == F.col("chosen"), "left_semi")
-    templates = stored(deduced(once.select("group", "page", "html"), least), "templates")
+    templates = stored(deduced(grouped.select("group", "page", "html"), least).withColumnRenamed("group", "g"), "templates")
 
     def work(batches):
         for batch in batches:
             texts = []
-            for html, n, wording, slot in zip(batch.column("html"), batch.column("pages").to_pylist(),
+            for html, n, wording, slot in zip(batch.column("html"), batch.column("different").to_pylist(),
                                               batch.column("wording").to_pylist(), batch.column("slot").to_pylist()):
                 texts.append(main_text(html.as_py(), n or 0, frozenset(wording or ()), slot))
             yield pa.RecordBatch.from_arrays(
@@ -212,6 +214,6 @@ def extract(pages: DataFrame, least: int = LEAST_PAGES) -> DataFrame:
                  pa.array(list(map(len, texts)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     kind = dict(pages.dtypes)["page_id"]
-    return grouped.join(templates.withColumnRenamed("group", "g"), F.col("group") == F.col("g"), "left").select(
-        "page_id", "url", "html", "pages", "wording", "slot").mapInArrow(
+    return grouped.join(templates, F.col("group") == F.col("g"), "left").select(
+        "page_id", "url", "html", "different", "wording", "slot").mapInArrow(
         work, f"page_id {kind}, url string, text string, n_chars long")

@@ -82,8 +82,10 @@ def test_template_of_a_host_without_article_elements(spark):
 def test_fixed_lines_and_slot_are_deduced(spark):
     rows = spark.createDataFrame([("g", k, soup(k)) for k in range(6)], "group string, page long, html string")
     found = templates.deduced(rows).head()
-    assert found.pages == 6 and found.slot.endswith("div.stuff")
-    assert {w.split("\n")[1] for w in found.wording} == {"My Site", "Most read", "All rights reserved"}
+    assert found.different == 6 and found.slot.endswith("div.stuff")
+    paths = {"My Site": "top", "All rights reserved": "low", "Most read": "side/p"}
+    assert set(found.wording) == {
+        templates.line_token(templates.Line(f"/html/body/div.{path}", False, False, text)) for text, path in paths.items()}
 
 
 def test_a_line_on_every_page_of_a_large_host_is_no_text(spark):
