@@ -15,7 +15,7 @@ from duelytics.constants import (
 )
 from duelytics.functions.ranking import most_frequent
 from duelytics.functions.text import WORD
-from duelytics.session import saved
+from duelytics.session import stored
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
@@ -107,10 +107,10 @@ def tfidf_top_terms(docs: DataFrame, keywords: Sequence[str], **limits) -> DataF
     """(model, discriminants, communs): two short ordered lists per model.
 
     Only the weights of the keywords matter from here on, at most models × keywords rows; they
-    are saved, so the texts are counted once for both lists.
+    are stored, so the texts are counted once for both lists.
     """
     weights = tfidf_weights(docs, **limits)
-    kept = saved(weights.filter(F.col("term").isin(list(keywords))))
+    kept = stored(weights.filter(F.col("term").isin(list(keywords))))
 
     def listed(terms: DataFrame, name: str) -> DataFrame:
         ordered = F.array_sort(F.collect_list(F.struct("rank", "term")))["term"]

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from duelytics.constants import ARTIST_FACTOR, MAX_DOCS, VENUE_FACTOR
 from duelytics.dictionaries import CATALOGUE_SIDE, CONVERSATION_SIDE, DictionarySet, keyword_set
 from duelytics.operators import bias, catalogue, corpus, tfidf
-from duelytics.session import saved, stored
+from duelytics.session import stored
 from duelytics.sources.files import read_artworks, read_parquet, read_venues, write_parquet
 
 
@@ -53,14 +53,14 @@ def score(
     """Bias row per model, with maps and lists.
 
     The texts are read by three passes: keyword counts, names, terms.  The percentages feed four
-    small aggregations, so they are saved once.
+    small aggregations, so they are stored once.
     """
-    pairs = saved(bias_pairs(docs, artworks, venues, conversation, catalogue_side))
+    pairs = stored(bias_pairs(docs, artworks, venues, conversation, catalogue_side))
     names = {
         "artworks": (catalogue.top_artists(artworks), ARTIST_FACTOR),
         "venues": (catalogue.top_venues(venues), VENUE_FACTOR),
     }
-    covered = saved(catalogue.coverages(docs, names))
+    covered = stored(catalogue.coverages(docs, names))
     terms = tfidf.tfidf_top_terms(docs, keyword_set(conversation), **limits)
     return bias.bias_scores(
         bias.artworks_report(pairs, covered.filter(F.col("kind") == "artworks")),

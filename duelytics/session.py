@@ -37,12 +37,6 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """Cut the lineage and keep the rows: reliable checkpoint in the shared folder."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def new_folder(spark: SparkSession, name: str) -> str:
     """A folder in the shared checkpoint folder that goes when the session's JVM ends."""
     path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"

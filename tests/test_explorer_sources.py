@@ -117,10 +117,11 @@ def test_missing_inputs(spark, tmp_path):
     assert [df.count() for df in files.read_cleaned(spark, str(tmp_path))] == [2, 2, 2]
 
 
-def test_checkpoints_use_the_session_folder(spark):
+def test_stored_tables_use_the_session_folder(spark):
     folder = spark.conf.get("spark.checkpoint.dir")
     assert session.checkpoint_dir(spark) == folder
-    assert session.saved(spark.range(3)).count() == 3
+    kept = session.stored(spark.range(3), "three")
+    assert kept.count() == 3 and all(folder in path and "three-" in path for path in kept.inputFiles())
     assert folder in spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 

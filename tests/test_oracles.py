@@ -8,8 +8,8 @@ import os
 import pytest
 
 import __spark_entry__ as spark_entry
-from tests.conftest import SF
 from duelytics import registry
+from tests.conftest import SF
 from tools.check import compare, oracle_connection
 
 PART = [
@@ -17,9 +17,10 @@ PART = [
     "ranking", "price_per_token", "topic_top_categories", "trend_join", "model_docs",
     "sample_docs", "keyword_counts", "tfidf_weights", "tfidf_communs", "coverage_artists",
     "bias_scores", "bias_deltas", "explore_list", "parse_transcript", "pair_turns",
+    "bias_job", "arena_row_id", "src_prices", "tfidf_discriminants", "filter_result_draw",
 ]
 QUERIES, ORACLES = spark_entry.queries(), spark_entry.oracle_sql()
-KEYS = list(ORACLES) if os.environ.get("DUELYTICS_ALL_CHECKS") else PART
+KEYS = list(registry.queries()) if os.environ.get("DUELYTICS_ALL_CHECKS") else PART
 
 
 def test_every_query_has_sql():
