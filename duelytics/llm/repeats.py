@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -214,13 +215,14 @@ def indexed_spans(found: DataFrame, limit: int = LIMIT // 2) -> DataFrame:
     """doc, t1, low, high of the bytes of pieces that stand in an earlier piece of their anchor."""
 
     def solve(rows: list[tuple]) -> pa.RecordBatch:
-        rows.sort(key=lambda r: r[1:4])                         # by document and place
+        # By document and place; rows that repeat a text give a piece twice.
+        rows = [next(same) for _, same in groupby(sorted(rows, key=lambda r: r[1:4]), key=lambda r: r[1:4])]
         marked = earliest([r[5] for r in rows], LENGTH)
         return _span_batch([
             (r[1], r[2], r[3] + low, r[3] + high) for r, starts in zip(rows, marked) for low, high in _spans(starts)])
 
     def work(batches):
-        held, total, group, begun = [], 0, None, 0
+        held, total, group = [], 0, None
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 if row[0] != group:
