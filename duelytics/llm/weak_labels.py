@@ -202,6 +202,8 @@ def vote_patterns(docs: DataFrame) -> DataFrame:
 
 
 def _sample_features(docs: DataFrame) -> DataFrame:
+    """pattern, and the features of a text as bytes: 32-bit numbers and their 32-bit values."""
+
     def work(batches):
         for batch in batches:
             at = 0
@@ -212,13 +214,13 @@ def _sample_features(docs: DataFrame) -> DataFrame:
                     feature, inverse = np.unique(part.feature[own], return_inverse=True)
                     value = np.bincount(inverse, part.value[own])
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column("pattern")[at : at + 1], pa.array([feature.astype(np.int32)], pa.list_(pa.int32())),
-                         pa.array([value.astype(np.float32)], pa.list_(pa.float32()))],
+                        [batch.column("pattern")[at : at + 1], pa.array([feature.astype(np.int32).tobytes()], pa.binary()),
+                         pa.array([value.astype(np.float32).tobytes()], pa.binary())],
                         names=["pattern", "feature", "value"])
                     at += 1
 
     return docs.select("pattern", "text").mapInArrow(
-        work, "pattern long, feature array<int>, value array<float>")
+        work, "pattern long, feature binary, value binary")
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[LabelModel, Scorer]:
@@ -232,13 +234,14 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[LabelModel, Scorer]:
     chosen = stored(chosen.select(F.col("doc_id").alias("__id"), "pattern"), "sample")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(
         F.broadcast(chosen), F.col("doc_id") == F.col("__id"))
-    rows = _sample_features(texts).limit(2 * sample).toPandas().sort_values("pattern", kind="stable")
+    rows = _sample_features(texts).limit(2 * sample).toPandas().sort_values(["pattern", "feature"], kind="stable")
     if not len(rows):
         return model, Scorer(np.zeros(BUCKETS), 0.0)
-    owner = np.repeat(np.arange(len(rows)), rows["feature"].map(len))
+    feature = [np.frombuffer(x, np.int32) for x in rows["feature"]]
+    value = [np.frombuffer(x, np.float32) for x in rows["value"]]
+    owner = np.repeat(np.arange(len(rows)), [len(x) for x in feature])
     label = model.posterior(cast_of(rows["pattern"].to_numpy(np.int64)))
-    return model, train(np.concatenate(list(rows["feature"])).astype(np.int64), owner,
-                        np.concatenate(list(rows["value"])).astype(float), label)
+    return model, train(np.concatenate(feature).astype(np.int64), owner, np.concatenate(value).astype(float), label)
 
 
 def classify(docs: DataFrame, sample: int = SAMPLE, keep: float = KEEP) -> DataFrame:
