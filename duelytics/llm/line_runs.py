@@ -130,9 +130,10 @@ def dropped_lines(docs: DataFrame, min_chars=MIN_CHARS, min_docs=MIN_DOCS, batch
         if low is not None:
             part = part.where(F.col("doc_id") > low)
         index.add(part.select(*KEY, "doc_id"))
-    # Stored, so that Spark knows its size, and can split the rows of a frequent line if it shuffles them.
+    # Stored, so that the join stands on plain exchanges and a frequent line's rows can be split. The
+    # table grows with the corpus, so it is merged at every size and never broadcast.
     shared = stored(index.counts().where(F.col("n") >= min_docs).select(
-        F.col("h1").alias("a1"), F.col("h2").alias("a2"), "top"), "shared-lines")
+        F.col("h1").alias("a1"), F.col("h2").alias("a2"), "top"), "shared-lines").hint("merge")
     lost = lines.join(shared, (F.col("h1") == F.col("a1")) & (F.col("h2") == F.col("a2"))).where(
         ~F.col("doc_id").eqNullSafe(F.col("top")))
     gone = stored(lost.groupBy("doc_id", "text_hash").agg(
@@ -144,7 +145,7 @@ def dropped_lines(docs: DataFrame, min_chars=MIN_CHARS, min_docs=MIN_DOCS, batch
 def _with_lost(docs: DataFrame, lost: DataFrame) -> DataFrame:
     """The rows of `docs` with the positions they lose in `__places`."""
     lost = lost.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"),
-                       F.col("places").alias("__places"))
+                       F.col("places").alias("__places")).hint("merge")
     return docs.join(lost, F.col("doc_id").cast("long").eqNullSafe(F.col("__id"))
                      & (F.xxhash64("text") == F.col("__hash")), "left").drop("__id", "__hash")
 
