@@ -1,10 +1,11 @@
 """Main text of web pages by template deduction from equivalence classes.
 
-Pages of one host come from one template. A token is an element with its path, or a line of text with
-its path. Its occurrence vector says how often each page of the host holds it; tokens with equal
-vectors form an equivalence class. Classes that many pages hold and whose tokens nest (every element
-stands in an element of a class that occurs at least as often) are the template: elements that occur
-once on every page are its frame, fixed lines on every page its wording, what varies its slots. The
+Pages of one host come from one template with a few layouts (which elements stand directly in the
+body). A token is an element with its path, or a line of text with its path. Its occurrence vector says
+how often each page of a layout holds it; tokens with equal vectors form an equivalence class. Classes
+that nine in ten different pages of a layout hold and whose tokens nest (the element around a line is of
+such a class too) are the template: their elements are its frame, their lines its wording, on every page
+of the host, and what varies its slots. The
 main text is in the slots of the article; where pages have no article element, in the slot that holds
 most words over the host's pages. Elements that are named as menus, adverts and so on are no part of
 it. Vectors are compared by order-free hashes, so counting combines before the shuffle and a host of
@@ -25,7 +26,7 @@ from duelytics.llm.store import stored
 
 LEAST_PAGES = 3            # different pages of a host that make a template
 SURE_PAGES = 8             # ... that make a fixed line inside an article a part of it
-SIZE = 2                   # tokens of a class
+SHARE = 0.9                # ... of a layout that hold a class of its template
 
 # Elements that hold no main text.
 OUTSIDE = frozenset(
@@ -58,6 +59,7 @@ class Line(NamedTuple):
 class Outline(NamedTuple):
     paths: list[str]       # of the elements, with repetitions
     lines: list[Line]
+    layout: int            # a hash of which elements stand directly in the body, but for text
 
 
 def _is_main(element: Element) -> bool:
@@ -103,7 +105,10 @@ def outline(page: Page) -> Outline:
             if text.strip():
                 holder = element
             held.append(text)
-    return Outline(paths[1:], lines)
+    top = sorted({paths[k] for k, e in enumerate(elements) if e.tag in BLOCKS - TEXT_BLOCKS
+                  and paths[e.parent].rpartition("/")[2].split(".")[0] in ("", "html", "body")})
+    layout = hashlib.blake2b("\n".join(top).encode("utf-8", "surrogatepass"), digest_size=8).digest()
+    return Outline(paths[1:], lines, int.from_bytes(layout, "big", signed=True))
 
 
 def line_token(line: Line) -> str:
@@ -112,8 +117,9 @@ def line_token(line: Line) -> str:
 
 
 def tokens(pages: DataFrame) -> DataFrame:
-    """group, page, kind, token, n, words: how often each page holds each token; `words` counts the
-    words of main-text candidates directly in an element."""
+    """group, page, layout, kind, token, n, words: how often each page holds each token; `words` counts
+    the words of main-text candidates directly in an element. A page that has tokens is one itself, of
+    kind 'page'."""
 
     def work(batches):
         for batch in batches:
@@ -132,42 +138,52 @@ def tokens(pages: DataFrame) -> DataFrame:
                             if holder.rpartition("/")[2].split(".")[0] in TEXT_BLOCKS:
                                 holder = holder.rpartition("/")[0]
                             found.setdefault(("element", holder), [0, 0])[1] += line.text.count(" ") + 1
-                rows += [(group, page, kind, token, n, words) for (kind, token), (n, words) in found.items()]
-            columns = zip(*rows) if rows else [[]] * 6
-            types = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()]
+                if found:
+                    found["page", ""] = [1, 0]
+                rows += [(group, page, shape.layout, kind, token, n, words)
+                         for (kind, token), (n, words) in found.items()]
+            columns = zip(*rows) if rows else [[]] * 7
+            types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(columns, types)],
-                names=["group", "page", "kind", "token", "n", "words"])
+                names=["group", "page", "layout", "kind", "token", "n", "words"])
 
     return pages.select("group", "page", "html").mapInArrow(
-        work, "group string, page long, kind string, token string, n long, words long")
+        work, "group string, page long, layout long, kind string, token string, n long, words long")
 
 
 def deduced(pages: DataFrame, least: int = LEAST_PAGES) -> DataFrame:
     """group, different, wording, slot: the fixed lines of each group's template, and the element that
     holds most words outside its wording where no article stands. `pages`: group, page (a hash of the
-    html), html. Copies of a page count in all vectors alike, so they do not change the classes."""
-    counted = tokens(pages)
+    html), html. Pages without tokens and copies of a page do not count. A class belongs to the template
+    of a layout when at least SHARE of the layout's different pages hold it and its tokens nest; layouts
+    of fewer than `least` pages have no classes of their own."""
+    counted = tokens(pages).distinct()
     # An occurrence vector as two order-free sums of 32 bits of a hash of (page, occurrences).
     entry = F.xxhash64("page", "n")
-    vectors = counted.groupBy("group", "kind", "token").agg(
+    vectors = counted.groupBy("group", "layout", "kind", "token").agg(
         F.count("*").alias("support"), F.sum(entry.bitwiseAND(F.lit(0xFFFFFFFF))).alias("low"),
         F.sum(F.shiftrightunsigned(entry, 32)).alias("high"), F.sum("words").alias("words"))
-    vectors = stored(vectors.where(F.col("support") >= least), "vectors")
-    sizes = stored(pages.groupBy("group").agg(
-        F.count("*").alias("pages"), F.count_distinct("page").alias("different")), "group-sizes")
-    vector = ["group", "support", "low", "high"]
-    classes = vectors.groupBy(*vector).agg(F.count("*").alias("size"))
-    everywhere = vectors.join(sizes, "group").where(F.col("support") == F.col("pages"))
-    member = everywhere.join(classes, vector).where(F.col("size") >= SIZE)
-    # A token nests when the element around it is on every page as well.
-    frame = everywhere.where("kind = 'element'").select(F.col("group").alias("g"), F.col("token").alias("path"))
+    vectors = stored(vectors.where((F.col("support") >= least) | (F.col("kind") == "page")), "vectors")
+    sizes = vectors.where("kind = 'page'").select("group", "layout", F.col("support").alias("pages"))
+    classes = vectors.where("kind <> 'page'").groupBy("group", "layout", "support", "low", "high").agg(
+        F.collect_list(F.struct("kind", "token")).alias("tokens"))
+    # Accepted as a whole: its tokens stand on the same pages equally often.
+    member = classes.join(sizes, ["group", "layout"]).where(
+        (F.col("support") >= least) & (F.col("support") >= SHARE * F.col("pages"))).select(
+        "group", "layout", F.explode("tokens").alias("member")).select("group", "layout", "member.*")
+    # A token nests when the element around it is of such a class as well.
+    frame = member.where("kind = 'element'").select(
+        F.col("group").alias("g"), F.col("layout").alias("l"), F.col("token").alias("path"))
     lines = member.where("kind = 'line'").withColumn("parent", F.split("token", "\n")[0]).join(
-        frame, (F.col("group") == F.col("g")) & (F.col("parent") == F.col("path")), "left_semi")
+        frame, (F.col("group") == F.col("g")) & (F.col("layout") == F.col("l")) & (F.col("parent") == F.col("path")),
+        "left_semi")
     wording = lines.groupBy("group").agg(F.collect_set("token").alias("wording"))
-    slots = vectors.where("kind = 'element' AND words > 0").groupBy("group").agg(
+    slots = vectors.where("kind = 'element' AND words > 0").groupBy("group", "token").agg(
+        F.sum("words").alias("words")).groupBy("group").agg(
         F.max_by("token", F.struct("words", "token")).alias("slot"))
-    return sizes.select("group", "different").join(wording, "group", "left").join(slots, "group", "left")
+    return sizes.groupBy("group").agg(F.sum("pages").alias("different")).join(
+        wording, "group", "left").join(slots, "group", "left")
 
 
 def main_text(html: str | None, different: int = 0, wording: frozenset[str] = frozenset(),

@@ -92,3 +92,20 @@ def test_a_line_on_every_page_of_a_large_host_is_no_text(spark):
     rows = [(k, "http://a.example/", f"<article><p>Text {k} of its own</p><p>Share this article</p></article>") for k in range(12)]
     got = templates.extract(pages(spark, rows)).select(F.collect_set("text")).head()[0]
     assert set(got) == {f"Text {k} of its own" for k in range(12)}
+
+
+def test_empty_and_odd_pages_do_not_hide_the_template_of_a_large_host(spark):
+    def page(k):
+        return f"<body><div class=top>My Site</div><div class=stuff><p>Text {k} of its own</p></div><div class=low>Imprint</div></body>"
+
+    rows = [(k, "http://a.example/", page(k)) for k in range(300)]
+    rows += [(300, "http://a.example/", ""), (301, "http://a.example/", None),
+             (302, "http://a.example/", "<body><table><tr><td>odd</table></body>"),
+             (303, "http://a.example/", page(303).replace("<div class=low>Imprint</div>", ""))]
+    # A second layout, and many copies of one page, which make its text no wording.
+    rows += [(400 + k, "http://a.example/", f"<body><section><div>Fixed</div><p>Other {k}</p></section></body>") for k in range(40)]
+    rows += [(7, "http://a.example/", page(7))] * 5000
+    got = {r.page_id: r.text for r in templates.extract(pages(spark, rows)).collect()}
+    assert all(got[k] == f"Text {k} of its own" for k in range(300))
+    assert got[300] == got[301] == "" and got[302] == "odd" and got[303] == "Text 303 of its own"
+    assert all(got[400 + k] == f"Other {k}" for k in range(40))
