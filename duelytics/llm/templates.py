@@ -6,8 +6,8 @@ how often each page of a layout holds it; tokens with equal vectors form an equi
 that nine in ten different pages of a layout hold and whose tokens nest (the element around a line is of
 such a class too) are the template: their elements are its frame, their lines its wording, on every page
 of the host, and what varies its slots. The
-main text is in the slots of the article; where pages have no article element, in the slot that holds
-most words over the host's pages. Elements that are named as menus, adverts and so on are no part of
+main text is in the slots of the article; where pages have no article element, in all slots
+that hold more than links. Elements that are named as menus, adverts and so on are no part of
 it. Vectors are compared by order-free hashes, so counting combines before the shuffle and a host of
 any size is dealt with in parallel. Hosts with too few different pages are taken together.
 """
@@ -27,6 +27,7 @@ from duelytics.llm.store import stored
 LEAST_PAGES = 3            # different pages of a host that make a template
 SURE_PAGES = 8             # ... that make a fixed line inside an article a part of it
 SHARE = 0.9                # ... of a layout that hold a class of its template
+POOLED = "small hosts"     # the group of hosts with fewer pages
 
 # Elements that hold no main text.
 OUTSIDE = frozenset(
@@ -54,6 +55,7 @@ class Line(NamedTuple):
     inside: bool           # an article or main element
     outside: bool          # an element without main text
     text: str
+    linked: bool = False   # all of it stands in links
 
 
 class Outline(NamedTuple):
@@ -76,6 +78,7 @@ def outline(page: Page) -> Outline:
         if _is_main(elements[k]) or holds_main[k]:
             holds_main[elements[k].parent] = True
     paths, main, out = [""] * len(elements), [False] * len(elements), [False] * len(elements)
+    link = [False] * len(elements)
     block_of = [0] * len(elements)
     for k, (tag, parent, attributes) in enumerate(elements):
         if not k:
@@ -89,21 +92,22 @@ def outline(page: Page) -> Outline:
             bad = bad or not NAMES.isdisjoint(words) or "hidden" in attributes
         main[k] = main[parent] or article
         out[k] = out[parent] or bad
+        link[k] = link[parent] or tag == "a"
         block_of[k] = k if tag in BLOCKS else block_of[parent]
-    lines, held, current, holder = [], [], None, 0
+    lines, held, current, holder, linked = [], [], None, 0, True
     for block, element, text in [*page.runs, (-1, 0, "")]:
         if block != current:
             joined = " ".join("".join(held).split())
             if joined:
-                lines.append(Line(paths[block_of[holder]], main[holder], False, joined))
-            held, current = [], block
+                lines.append(Line(paths[block_of[holder]], main[holder], False, joined, linked))
+            held, current, linked = [], block, True
         if out[element]:
             joined = " ".join(text.split())
             if joined:
                 lines.append(Line(paths[element], main[element], True, joined))
         elif text:
             if text.strip():
-                holder = element
+                holder, linked = element, linked and link[element]
             held.append(text)
     top = sorted({paths[k] for k, e in enumerate(elements) if e.tag in BLOCKS - TEXT_BLOCKS
                   and paths[e.parent].rpartition("/")[2].split(".")[0] in ("", "html", "body")})
@@ -116,10 +120,19 @@ def line_token(line: Line) -> str:
     return f"{line.path}\n{hashlib.blake2b(line.text.encode('utf-8', 'surrogatepass'), digest_size=12).hexdigest()}"
 
 
+def holder_of(line: Line) -> str:
+    """The element whose text a line is: a paragraph is text of the element around it."""
+    holder, _, last = line.path.rpartition("/")
+    return holder if last.split(".")[0] in TEXT_BLOCKS else line.path
+
+
+_HOLDER = rf"/(?:{'|'.join(sorted(TEXT_BLOCKS))})(?:\.[^/]*)?$"
+
+
 def tokens(pages: DataFrame) -> DataFrame:
     """group, page, layout, kind, token, n, words: how often each page holds each token; `words` counts
-    the words of main-text candidates directly in an element. A page that has tokens is one itself, of
-    kind 'page'."""
+    the words of a line, or the words directly in an element, but for lines of nothing but links that
+    stand in no article. A page that has tokens is one itself, of kind 'page'."""
 
     def work(batches):
         for batch in batches:
@@ -133,11 +146,10 @@ def tokens(pages: DataFrame) -> DataFrame:
                 for line in shape.lines:
                     if not line.outside:
                         found.setdefault(("line", line_token(line)), [0, 0])[0] += 1
-                        if not line.inside:
-                            holder = line.path
-                            if holder.rpartition("/")[2].split(".")[0] in TEXT_BLOCKS:
-                                holder = holder.rpartition("/")[0]
-                            found.setdefault(("element", holder), [0, 0])[1] += line.text.count(" ") + 1
+                        if line.inside or not line.linked:
+                            n = line.text.count(" ") + 1
+                            found["line", line_token(line)][1] += n
+                            found.setdefault(("element", holder_of(line)), [0, 0])[1] += n
                 if found:
                     found["page", ""] = [1, 0]
                 rows += [(group, page, shape.layout, kind, token, n, words)
@@ -153,8 +165,9 @@ def tokens(pages: DataFrame) -> DataFrame:
 
 
 def deduced(pages: DataFrame, least: int = LEAST_PAGES) -> DataFrame:
-    """group, different, wording, slot: the fixed lines of each group's template, and the element that
-    holds most words outside its wording where no article stands. `pages`: group, page (a hash of the
+    """group, different, wording, slot: the fixed lines of each group's template, and the paths of all
+    elements that hold words outside the wording on `least` different pages, one in a line, those with
+    fewest words first. `pages`: group, page (a hash of the
     html), html. Pages without tokens and copies of a page do not count. A class belongs to the template
     of a layout when at least SHARE of the layout's different pages hold it and its tokens nest; layouts
     of fewer than `least` pages have no classes of their own."""
@@ -167,7 +180,7 @@ def deduced(pages: DataFrame, least: int = LEAST_PAGES) -> DataFrame:
     vectors = stored(vectors.where((F.col("support") >= least) | (F.col("kind") == "page")), "vectors")
     sizes = vectors.where("kind = 'page'").select("group", "layout", F.col("support").alias("pages"))
     classes = vectors.where("kind <> 'page'").groupBy("group", "layout", "support", "low", "high").agg(
-        F.collect_list(F.struct("kind", "token")).alias("tokens"))
+        F.collect_list(F.struct("kind", "token", "words")).alias("tokens"))
     # Accepted as a whole: its tokens stand on the same pages equally often.
     member = classes.join(sizes, ["group", "layout"]).where(
         (F.col("support") >= least) & (F.col("support") >= SHARE * F.col("pages"))).select(
@@ -179,16 +192,22 @@ def deduced(pages: DataFrame, least: int = LEAST_PAGES) -> DataFrame:
         frame, (F.col("group") == F.col("g")) & (F.col("layout") == F.col("l")) & (F.col("parent") == F.col("path")),
         "left_semi")
     wording = lines.groupBy("group").agg(F.collect_set("token").alias("wording"))
-    slots = vectors.where("kind = 'element' AND words > 0").groupBy("group", "token").agg(
-        F.sum("words").alias("words")).groupBy("group").agg(
-        F.max_by("token", F.struct("words", "token")).alias("slot"))
+    worded = lines.select(
+        "group", F.regexp_replace("parent", _HOLDER, "").alias("token"), (-F.col("words")).alias("words"))
+    slots = vectors.where("kind = 'element' AND words > 0").select("group", "token", "words").unionByName(worded).groupBy(
+        "group", "token").agg(F.sum("words").alias("words")).where("words > 0").groupBy("group").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("words", "token"))), lambda x: x["token"]), "\n")
+        .alias("slot"))
     return sizes.groupBy("group").agg(F.sum("pages").alias("different")).join(
         wording, "group", "left").join(slots, "group", "left")
 
 
 def main_text(html: str | None, different: int = 0, wording: frozenset[str] = frozenset(),
               slot: str | None = None) -> str:
-    """The remaining text of a page: blocks of the article, or of the slot, or of the whole body."""
+    """The remaining text of a page: blocks of the article, or what varies of the whole body.
+
+    Lines of nothing but links go, where the host's pages are known and such a line stands in no slot
+    of theirs; if nothing else is left they stay."""
     lines = [line for line in outline(read(html)).lines if not line.outside]
     inside = [line for line in lines if line.inside]
     if inside:
@@ -196,8 +215,12 @@ def main_text(html: str | None, different: int = 0, wording: frozenset[str] = fr
             inside = [line for line in inside if line_token(line) not in wording]
         return "\n".join(line.text for line in inside)
     varying = [line for line in lines if line_token(line) not in wording]
-    chosen = [line for line in varying if slot and (line.path + "/").startswith(slot + "/")]
-    return "\n".join(line.text for line in chosen or varying)
+    if slot:
+        exact = set(slot.split("\n"))
+        around = tuple(path + "/" for path in exact if path.rpartition("/")[2].split(".")[0] not in ("", "html", "body"))
+        chosen = [line for line in varying if not line.linked or holder_of(line) in exact or line.path.startswith(around)]
+        varying = chosen or varying
+    return "\n".join(line.text for line in varying)
 
 
 def extract(pages: DataFrame, least: int = LEAST_PAGES) -> DataFrame:
@@ -213,11 +236,13 @@ def extract(pages: DataFrame, least: int = LEAST_PAGES) -> DataFrame:
     hosts = rows.groupBy("host").agg(F.count_distinct(F.xxhash64("html")).alias("different"))
     # Stored: Spark knows how small the tables of hosts are, and moves no page to join them.
     groups = stored(hosts.select(F.col("host").alias("h"), F.when(
-        F.col("different") >= least, F.concat(F.lit("host "), "host")).otherwise(F.lit("small hosts")).alias("group")),
+        F.col("different") >= least, F.concat(F.lit("host "), "host")).otherwise(F.lit(POOLED)).alias("group")),
         "groups")
     grouped = rows.join(groups, F.col("host") == F.col("h")).select(
         "page_id", "url", "group", "html", F.xxhash64("html").alias("page"))
-    templates = stored(deduced(grouped.select("group", "page", "html"), least).withColumnRenamed("group", "g"), "templates")
+    templates = deduced(grouped.select("group", "page", "html"), least).withColumnRenamed("group", "g")
+    # The slots of one host say nothing about another one that it is taken together with.
+    templates = stored(templates.withColumn("slot", F.when(F.col("g") != POOLED, F.col("slot"))), "templates")
 
     def work(batches):
         for batch in batches:

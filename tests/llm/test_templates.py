@@ -109,3 +109,24 @@ def test_empty_and_odd_pages_do_not_hide_the_template_of_a_large_host(spark):
     assert all(got[k] == f"Text {k} of its own" for k in range(300))
     assert got[300] == got[301] == "" and got[302] == "odd" and got[303] == "Text 303 of its own"
     assert all(got[400 + k] == f"Other {k}" for k in range(40))
+
+
+def test_all_slots_of_all_layouts_are_main_text(spark):
+    def first(k):
+        return (f"<body><div class=top>My Site</div><div class=list><a>story {k}</a></div><div class=caption><h1>Title {k}</h1></div>"
+                f"<div class=content><p>lead {k}</p><section><p>many more words of section {k}</p><p>and more {k}</p></section></div>"
+                f"<div class=content><p>second part {k}</p><ul><li><a>source {k}</a></ul></div></body>")
+
+    def second(k):
+        return f"<body><table><tr><td>My Table<td><a>entry {k}</a><td>cell {k}<p>words of cell {k}</p></table></body>"
+
+    rows = [(k, "http://a.example/", first(k)) for k in range(20)] + [(100 + k, "http://a.example/", second(k)) for k in range(9)]
+    # Small hosts: the words of one host do not cut another one's page.
+    rows += [(200 + k, f"http://s{k}.example/", f"<div class=content><p>far more words than others {k}</p></div>") for k in range(5)]
+    rows += [(300, "http://s9.example/", "<div class=caption>Short</div><div class=content><p>text</p></div><div><a>link</a></div>")]
+    got = {r.page_id: r.text for r in templates.extract(pages(spark, rows)).collect()}
+    for k in range(20):
+        assert got[k] == (f"Title {k}\nlead {k}\nmany more words of section {k}\nand more {k}\nsecond part {k}\nsource {k}")
+    for k in range(9):
+        assert got[100 + k] == f"entry {k}\ncell {k}\nwords of cell {k}"
+    assert got[300] == "Short\ntext\nlink"
