@@ -6,10 +6,11 @@ how often each page of a layout holds it; tokens with equal vectors form an equi
 that nine in ten different pages of a layout hold and whose tokens nest (the element around a line is of
 such a class too) are the template: their elements are its frame, their lines its wording, on every page
 of the host, and what varies its slots. The
-main text is in the slots of the article; where pages have no article element, in all slots
-that hold more than links. Elements that are named as menus, adverts and so on are no part of
-it. Vectors are compared by order-free hashes, so counting combines before the shuffle and a host of
-any size is dealt with in parallel. Hosts with too few different pages are taken together.
+main text is in all slots that hold more than links, by one rule for every page and host; an article
+element only keeps lists of links in it, and the lines of a page that is nothing but wording. Elements
+whose tag or name says menu, advert and so on are no part of it, as their texts often vary like slots.
+Vectors are compared by order-free hashes, so counting combines before the shuffle and a host of any
+size is dealt with in parallel. Hosts with too few different pages are taken together.
 """
 
 from __future__ import annotations
@@ -25,13 +26,12 @@ from duelytics.llm.html_tree import BLOCKS, Element, Page, read
 from duelytics.llm.store import stored
 
 LEAST_PAGES = 3            # different pages of a host that make a template
-SURE_PAGES = 8             # ... that make a fixed line inside an article a part of it
 SHARE = 0.9                # ... of a layout that hold a class of its template
 POOLED = "small hosts"     # the group of hosts with fewer pages
 
 # Elements that hold no main text.
 OUTSIDE = frozenset(
-    "head nav aside footer form script style noscript template iframe object embed svg canvas audio video map select"
+    "head title nav aside footer form script style noscript template iframe object embed svg canvas audio video map select"
     " option button input textarea label fieldset legend dialog menu search".split())
 # Words in class, id or role that name such an element.
 NAMES = frozenset(
@@ -202,25 +202,21 @@ def deduced(pages: DataFrame, least: int = LEAST_PAGES) -> DataFrame:
         wording, "group", "left").join(slots, "group", "left")
 
 
-def main_text(html: str | None, different: int = 0, wording: frozenset[str] = frozenset(),
-              slot: str | None = None) -> str:
-    """The remaining text of a page: blocks of the article, or what varies of the whole body.
+def main_text(html: str | None, wording: frozenset[str] = frozenset(), slot: str | None = None) -> str:
+    """The remaining text of a page: what varies of the whole body, in an article or not.
 
-    Lines of nothing but links go, where the host's pages are known and such a line stands in no slot
-    of theirs; if nothing else is left they stay."""
+    Lines of nothing but links go, where the host's pages are known and such a line stands neither in a
+    slot of theirs nor in an article; if nothing else is left they stay. Where all lines of a page are
+    wording, those of its article stay: pages that are near copies look like a template."""
     lines = [line for line in outline(read(html)).lines if not line.outside]
-    inside = [line for line in lines if line.inside]
-    if inside:
-        if different >= SURE_PAGES:
-            inside = [line for line in inside if line_token(line) not in wording]
-        return "\n".join(line.text for line in inside)
     varying = [line for line in lines if line_token(line) not in wording]
     if slot:
         exact = set(slot.split("\n"))
         around = tuple(path + "/" for path in exact if path.rpartition("/")[2].split(".")[0] not in ("", "html", "body"))
-        chosen = [line for line in varying if not line.linked or holder_of(line) in exact or line.path.startswith(around)]
+        chosen = [line for line in varying if not line.linked or line.inside or holder_of(line) in exact
+                  or line.path.startswith(around)]
         varying = chosen or varying
-    return "\n".join(line.text for line in varying)
+    return "\n".join(line.text for line in varying or lines if varying or line.inside)
 
 
 def extract(pages: DataFrame, least: int = LEAST_PAGES) -> DataFrame:
@@ -247,14 +243,14 @@ def extract(pages: DataFrame, least: int = LEAST_PAGES) -> DataFrame:
     def work(batches):
         for batch in batches:
             texts = []
-            for html, n, wording, slot in zip(batch.column("html"), batch.column("different").to_pylist(),
-                                              batch.column("wording").to_pylist(), batch.column("slot").to_pylist()):
-                texts.append(main_text(html.as_py(), n or 0, frozenset(wording or ()), slot))
+            for html, wording, slot in zip(batch.column("html"), batch.column("wording").to_pylist(),
+                                           batch.column("slot").to_pylist()):
+                texts.append(main_text(html.as_py(), frozenset(wording or ()), slot))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()),
                  pa.array(list(map(len, texts)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     kind = dict(pages.dtypes)["page_id"]
     return grouped.join(templates, F.col("group") == F.col("g"), "left").select(
-        "page_id", "url", "html", "different", "wording", "slot").mapInArrow(
+        "page_id", "url", "html", "wording", "slot").mapInArrow(
         work, f"page_id {kind}, url string, text string, n_chars long")

@@ -130,3 +130,18 @@ def test_all_slots_of_all_layouts_are_main_text(spark):
     for k in range(9):
         assert got[100 + k] == f"entry {k}\ncell {k}\nwords of cell {k}"
     assert got[300] == "Short\ntext\nlink"
+
+
+def test_articles_do_not_stand_for_the_template(spark):
+    def page(k):
+        return (f"<body><div class=top>My Site</div><div class=caption><h1>Title {k}</h1></div><article><p>Text {k} of its own</p>"
+                f"<ul><li><a>source {k}</a></ul><p>Share this article</p></article><div class=list><a>story {k}</a></div></body>")
+
+    # A fixed line in an article goes on hosts of every size.
+    rows = [(100 * n + k, f"http://host{n}.example/", page(k)) for n in (3, 7, 8, 20) for k in range(n)]
+    rows += [(k, "http://copies.example/", f"<article><p>one text</p></article><footer>{k}</footer>") for k in range(4)]
+    got = {r.page_id: r.text for r in templates.extract(pages(spark, rows)).collect()}
+    for n in (3, 7, 8, 20):
+        for k in range(n):
+            assert got[100 * n + k] == f"Title {k}\nText {k} of its own\nsource {k}"
+    assert all(got[k] == "one text" for k in range(4))
