@@ -221,6 +221,13 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = LABELLED) -> Forest |
     return fit(counts, counted["quality"].to_numpy(int))
 
 
+def _judged(counts: dict[str, np.ndarray], forest: Forest | None) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """base_failed, kept and the mean path length of each text."""
+    failed = base_failed(counts)
+    length = None if forest is None else forest.path_lengths(features(counts))
+    return failed, ~failed if forest is None else ~failed & (length >= forest.threshold), length
+
+
 def rule_verdicts(docs: DataFrame, labels: DataFrame, rows: int = LABELLED) -> DataFrame:
     """doc_id, the counts, base_failed, kept and the mean path length for every row of `docs`.
 
@@ -235,12 +242,10 @@ def rule_verdicts(docs: DataFrame, labels: DataFrame, rows: int = LABELLED) -> D
         forest = shared.value
         for batch in batches:
             counts = {c: batch.column(c).to_numpy() for c in COUNTS + _SHAPES}
-            failed = base_failed(counts)
-            length = None if forest is None else forest.path_lengths(features(counts))
-            passed = np.ones(len(failed), bool) if forest is None else length >= forest.threshold
+            failed, kept, length = _judged(counts, forest)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), *(batch.column(c) for c in COUNTS), pa.array(failed),
-                 pa.array(passed & ~failed),
+                 pa.array(kept),
                  pa.nulls(len(failed), pa.float64()) if length is None else pa.array(length)],
                 names=["doc_id", *COUNTS, "base_failed", "kept", "path_length"])
 
@@ -250,6 +255,15 @@ def rule_verdicts(docs: DataFrame, labels: DataFrame, rows: int = LABELLED) -> D
 
 
 def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of `docs` whose verdict is to keep them, with all their columns."""
-    kept = rule_verdicts(docs, labels).where("kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, F.col("doc_id").cast("long") == F.col("__id"), "left_semi")
+    """The rows of `docs` whose own verdict is to keep them, with all their columns. The verdict hangs on
+    the text alone, so a row without an id and rows that share an id are judged each by itself; no row moves."""
+    forest = train(docs, labels)
+    shared = docs.sparkSession.sparkContext.broadcast(forest)  # TREES x 4 SUBSAMPLE nodes
+
+    def work(batches):
+        forest = shared.value
+        for batch in batches:
+            kept = [_judged(block_counts(b), forest)[1] for b in blocks(utf8(t.as_py() for t in batch.column("text")))]
+            yield batch.filter(pa.array(np.concatenate(kept) if kept else np.zeros(0, bool)))
+
+    return docs.mapInArrow(work, docs.schema)

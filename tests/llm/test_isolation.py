@@ -81,3 +81,14 @@ def test_the_sample_is_bounded_and_the_same_each_time(spark, rows):
     once = sorted(r.doc_id for r in isolation.labelled_sample(docs, known, 50).collect())
     assert len(once) == 50
     assert once == sorted(r.doc_id for r in isolation.labelled_sample(docs.repartition(5), known, 50).collect())
+
+
+def test_every_row_is_judged_by_its_own_text(spark, rows):
+    known = labels(spark, [(i, int(i < 1000), 0) for i, _ in rows if i % 2 == 0])
+    junk = "### $$$ " * 80
+    odd = [(None, rows[1][1]), (None, junk), (3, junk), (2001, rows[5][1])]
+    got = isolation.good_documents(documents(spark, rows + odd, clashing=True), known).collect()
+    found = [(r.doc_id, r.text) for r in got]
+    assert odd[0] in found and odd[3] in found and rows[3] in found
+    assert odd[1] not in found and odd[2] not in found
+    assert (2001, dict(rows)[2001]) not in found
