@@ -219,12 +219,7 @@ def source_queries() -> dict[str, Callable[[Tables], DataFrame]]:
 
     def listed_prices(t: Tables) -> DataFrame:
         path = scratch(t)
-        item = F.struct("position", "id", F.struct("completion").alias("pricing"))
-        items = F.array_sort(F.collect_list(item))
-        listing = t.raw("prices").agg(
-            F.to_json(F.struct(F.transform(items, lambda x: F.struct(x["id"], x["pricing"])).alias("data")))
-        )
-        listing.write.text(path)
+        files.write_prices(t.raw("prices"), path)
         return files.read_prices(t.spark, path)
 
     def all_parquet(t: Tables) -> DataFrame:

@@ -32,6 +32,7 @@ VOTES = struct(
 )
 
 PRICE_LIST = struct(
+    offset=LONG,
     data=T.ArrayType(struct(id=STRING, pricing=struct(completion=STRING))),
 )
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from duelytics import schemas
 from duelytics.operators.cleaning import arena_row_id
@@ -18,6 +18,7 @@ VENUE_RENAMES = {
     "Région": "Region",
     "libelle_geographique": "Commune",
 }
+PRICES_PER_FILE = 10_000  # positions of one document of a stored price list
 # End of the fixed values.
 
 
@@ -89,11 +90,34 @@ def read_venues(spark: SparkSession, path: str, multi_line: bool = False) -> Dat
 
 
 def read_prices(spark: SparkSession, path: str) -> DataFrame:
-    """(position, id, completion) of a stored price list `{"data": [{id, pricing}, …]}`."""
+    """(position, id, completion) of a stored price list `{"data": [{id, pricing}, …]}`.
+
+    The list is a file, or a folder of files that each hold a part of it and say in `offset` how many
+    entries stand before theirs.  Files are read in parallel.
+    """
     listing = spark.read.schema(schemas.PRICE_LIST).json(path, multiLine=True)
-    return listing.select(F.posexplode("data").alias("position", "item")).select(
-        "position", F.coalesce("item.id", F.lit("")).alias("id"), "item.pricing.completion"
+    return listing.select("offset", F.posexplode("data").alias("position", "item")).select(
+        (F.coalesce("offset", F.lit(0)) + F.col("position")).cast("int").alias("position"),
+        F.coalesce("item.id", F.lit("")).alias("id"), "item.pricing.completion"
+    )
+
+
+def write_prices(prices: DataFrame, path: str, rows: int = PRICES_PER_FILE) -> None:
+    """Store (position, id, completion) in the order of the positions, which are whole and differ, as a
+    folder for `read_prices`: one document for each range of `rows` positions."""
+    parted = prices.withColumn("part", F.floor(F.col("position") / rows))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    # One row for each document, so the window is small.
+    offsets = parted.groupBy("part").count().select(
+        "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset")
+    )
+    items = F.array_sort(F.collect_list(F.struct("position", "id", F.struct("completion").alias("pricing"))))
+    documents = parted.groupBy("part").agg(
+        F.transform(items, lambda x: F.struct(x["id"], x["pricing"])).alias("data")
     )
+    documents.join(offsets, "part").select(
+        "part", F.to_json(F.struct("offset", "data")).alias("value")
+    ).write.partitionBy("part").text(path)
 
 
 def write_parquet(df: DataFrame, path: str) -> None:

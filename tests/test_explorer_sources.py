@@ -129,3 +129,15 @@ def test_small_tables_are_spread(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     out = derived.spread_small(df, "doc_id")
     assert out.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_prices_in_parts_of_bounded_size(spark, tmp_path):
+    rows = [(3 * k + 1, f"m/{k}", None if k % 5 == 0 else str(k)) for k in range(100)]
+    prices = spark.createDataFrame(rows[::-1], "position long, id string, completion string")
+    files.write_prices(prices, f"{tmp_path}/prices", rows=20)
+    stored = [p.read_text() for p in tmp_path.glob("prices/*/part-*")]
+    assert len(stored) == 15 and max(text.count('"id"') for text in stored) <= 7
+    got = sorted(map(tuple, files.read_prices(spark, f"{tmp_path}/prices").collect()))
+    assert got == [(k, i, c) for k, (_, i, c) in enumerate(rows)]
+    files.write_prices(prices.limit(0), f"{tmp_path}/none")
+    assert files.read_prices(spark, f"{tmp_path}/none").count() == 0
