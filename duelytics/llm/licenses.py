@@ -29,14 +29,19 @@ TEMPLATES = {
         " limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the"
         " {{4}} and to permit persons to whom the {{4}} is furnished to do so subject to the following conditions"
         " the above copyright notice and this permission notice [[including the next paragraph]] shall be"
-        " included in all copies or substantial portions of the {{4}}"
+        " included in all copies or substantial portions of the {{4}} the {{4}} is provided as is without warranty of"
+        " any kind express or implied including but not limited to the warranties of merchantability fitness for a"
+        " particular purpose and noninfringement in no event shall the {{8}} be liable for any claim damages or"
+        " other liability whether in an action of contract tort or otherwise arising from out of or in connection"
+        " with the {{4}} or the use or other dealings in the {{1}}"
     ),
     "apache-2-notice": "[[licensed]] under the apache license [[version]] 2 [[0]]",
-    "apache-2-text": (
+    "apache-2-header-notice": (
         "licensed under the apache license version 2 0 the license you may not use this [[work or]] file except"
         " in compliance with the license you may obtain a copy of the license at {{12}} unless required by"
         " applicable law or agreed to in writing software distributed under the license is distributed on an as"
-        " is basis without warranties or conditions of any kind either express or implied"
+        " is basis without warranties or conditions of any kind either express or implied see"
+        " the license for the specific language governing permissions and limitations under the license"
     ),
     "cc-by": "[[licensed]] [[under]] [[a]] [[the]] creative commons attribution [[{{2}}]] [[international]] license",
     "cc-by-nc-notice": "cc by nc [[nd]] [[sa]] [[{{2}} international]]",
@@ -45,7 +50,16 @@ TEMPLATES = {
         " that the following conditions are met [[1]] redistributions of source code must retain the above"
         " copyright notice this list of conditions and the following disclaimer [[2]] redistributions in binary"
         " form must reproduce the above copyright notice this list of conditions and the following disclaimer in"
-        " the documentation and or other materials provided with the distribution"
+        " the documentation and or other materials provided with the distribution [[ [[3]] neither the name of"
+        " {{10}} nor the names of [[its]] [[their]] contributors may be used to endorse or promote products derived"
+        " from this software without specific prior written permission ]] this software is provided by {{8}} as is"
+        " and any express or implied warranties including but not limited to the implied warranties of"
+        " merchantability and fitness for a particular purpose are disclaimed in no event shall {{8}} be liable for"
+        " any direct indirect incidental special exemplary or consequential damages including but not limited to"
+        " procurement of substitute goods or services loss of use data or profits or business interruption however"
+        " caused and on any theory of liability whether in contract strict liability or tort including negligence"
+        " or otherwise arising in any way out of the use of this software even if advised of the possibility of"
+        " such damage"
     ),
     "gpl-notice": (
         "under the terms of the gnu [[lesser]] [[affero]] general public license [[as published by the free"

@@ -61,3 +61,38 @@ def test_templates_must_not_be_empty():
     for template in ("[[a]]", "{{3}} a"):
         with pytest.raises(ValueError):
             licenses.compile_template(template)
+
+
+MIT_END = """The above copyright notice and this permission notice shall be included in all copies or substantial portions
+of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED
+TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR
+COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE,
+ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+BSD_END = """Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products
+derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND
+CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE
+LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO,
+PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY
+THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT
+OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+
+
+def test_the_end_of_a_license_is_mandatory_too():
+    scanner = licenses.Scanner(licenses.PHRASES, licenses.TEMPLATES)
+    mit = MIT[:MIT.index("the above copyright")] + MIT_END
+    assert scanner.scan(mit)[5:] == ("mit-text", 1.0)
+    assert "mit-text" not in scanner.scan(mit.replace("WITHOUT WARRANTY", "WITH WARRANTY"))[5]
+    assert "mit-text" not in scanner.scan(mit[:mit.index("THE SOFTWARE IS")])[5]
+    bsd = ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the"
+           " following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list"
+           " of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright"
+           " notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided"
+           " with the distribution. ")
+    assert scanner.scan(bsd + "3. " + BSD_END)[5:] == ("bsd-text", 1.0)
+    assert scanner.scan(bsd + BSD_END[BSD_END.index("THIS SOFTWARE"):])[5:] == ("bsd-text", 1.0)
+    assert scanner.scan(bsd + "3. " + BSD_END.replace("endorse or", ""))[5] == ""
+    assert scanner.scan(bsd + BSD_END.replace("EVEN IF", "UNLESS"))[5] == ""
+    apache = licenses.TEMPLATES["apache-2-header-notice"].replace("{{12}}", "http www apache org")
+    assert "apache-2-header-notice" in scanner.scan(apache)[5] and scanner.scan(apache)[6] == 1.0
+    assert "apache-2-header-notice" not in scanner.scan(apache[:apache.index(" see the")])[5]
