@@ -108,6 +108,7 @@ class Transducer:
         self.window = max(4096, 4 * self.lookahead)
         self.pieces = regex.compile(PIECES)
         self.cut = regex.compile(r"\S(?=\s)")
+        self.last_cut = regex.compile(r"(?r)\S(?=\s)")
         self.special_ids = vocabulary.specials
         self.specials = (
             regex.compile("|".join(regex.escape(s) for s in sorted(vocabulary.specials, key=len, reverse=True)))
@@ -180,14 +181,13 @@ class Transducer:
         """Slices that end where a cut of the pre-tokenizer is."""
         start, n = 0, len(text)
         while n - start > SLICE:
-            end = start + SLICE
-            while end > start and not (text[end].isspace() and not text[end - 1].isspace()):
-                end -= 1
-            if end == start:  # none in this slice: on to the next one behind it
+            # White space is what the pre-tokenizer takes for it; str.isspace takes U+001C to U+001F too.
+            found = self.last_cut.search(text, start, start + SLICE + 1)
+            if not found:  # none in this slice: on to the next one behind it
                 found = self.cut.search(text, start + SLICE)
                 if not found:
                     break
-                end = found.end()
+            end = found.end()
             yield text[start:end]
             start = end
         if start < n:

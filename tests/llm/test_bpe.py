@@ -85,3 +85,10 @@ def test_encode_and_decode_tables(spark):
     docs = documents(spark, [(1, "one two"), (2, None), (3, "café")])
     back = bpe.decode(bpe.encode(docs, vocabulary_path()), vocabulary_path())
     assert {r.doc_id: r.text for r in back.collect()} == {1: "one two", 2: "", 3: "café"}
+
+
+@pytest.mark.parametrize("text", ["!\x1c!" * 50_000, "a \x1f?b " * 30_000, ("!" * 65_535 + "\x1c!") * 3, "!\x1c" * 70_000 + " x\x85y" * 9_000,
+                                  "x" * 65_535 + " y" * 70_000, "x" * 65_536 + " y", " " * 140_000 + "x"])
+def test_slices_end_at_cuts_of_the_pre_tokenizer(coder, library, text):
+    assert ids_of(coder, text) == library.encode(text, add_special_tokens=False).ids
+    assert [p for part in coder.slices(text) for p in coder.pieces.findall(part)] == coder.pieces.findall(text)
