@@ -186,7 +186,7 @@ def train(feature: np.ndarray, owner: np.ndarray, value: np.ndarray, label: np.n
 
 
 def vote_patterns(docs: DataFrame) -> DataFrame:
-    """doc_id and the pattern of votes on every text."""
+    """doc_id, a hash of the text and the pattern of votes on every text."""
 
     def work(batches):
         for batch in batches:
@@ -195,10 +195,12 @@ def vote_patterns(docs: DataFrame) -> DataFrame:
                 counts = block_counts(block)
                 found.append(pattern_of(votes(rates(counts, block.sums(block.data == 10)), counts["n_words"])))
             pattern = np.concatenate(found) if found else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(pattern, pa.int64())],
-                                             names=["doc_id", "pattern"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("text_hash"), pa.array(pattern, pa.int64())],
+                names=["doc_id", "text_hash", "pattern"])
 
-    return docs.selectExpr("cast(doc_id AS bigint) AS doc_id", "text").mapInArrow(work, "doc_id long, pattern long")
+    return docs.selectExpr("cast(doc_id AS bigint) AS doc_id", "text", "xxhash64(text) AS text_hash").mapInArrow(
+        work, "doc_id long, text_hash long, pattern long")
 
 
 def _sample_features(docs: DataFrame) -> DataFrame:
@@ -224,17 +226,21 @@ def _sample_features(docs: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[LabelModel, Scorer]:
-    """The label model from the votes on all of `docs`, the scorer from at most `sample` of them."""
+    """The label model from the votes on all of `docs`, the scorer from at most `sample` of them: of the
+    rows that share a doc_id, one with the least text hash."""
     known = stored(vote_patterns(docs), "votes")
     counted = known.groupBy("pattern").agg(F.count("*").alias("n")).orderBy("pattern").toPandas()
     cast = cast_of(counted["pattern"].to_numpy(np.int64))
     model = expectation_maximisation(cast, counted["n"].to_numpy(float))
-    chosen = known.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("pattern").alias("pattern")).orderBy(
+    chosen = known.where("doc_id IS NOT NULL").groupBy("doc_id").agg(
+        F.min(F.struct("text_hash", "pattern")).alias("least")).orderBy(
         F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(sample)
-    chosen = stored(chosen.select(F.col("doc_id").alias("__id"), "pattern"), "sample")
+    chosen = stored(chosen.select(F.col("doc_id").alias("__id"), "least.text_hash", "least.pattern"), "sample")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(
-        F.broadcast(chosen), F.col("doc_id") == F.col("__id"))
-    rows = _sample_features(texts).limit(2 * sample).toPandas().sort_values(["pattern", "feature"], kind="stable")
+        F.broadcast(chosen), (F.col("doc_id") == F.col("__id")) & (F.xxhash64("text") == F.col("text_hash")))
+    # Copies of a row are one.
+    texts = texts.groupBy("doc_id", "pattern").agg(F.min("text").alias("text"))
+    rows = _sample_features(texts).toPandas().sort_values(["pattern", "feature", "value"], kind="stable")
     if not len(rows):
         return model, Scorer(np.zeros(BUCKETS), 0.0)
     feature = [np.frombuffer(x, np.int32) for x in rows["feature"]]

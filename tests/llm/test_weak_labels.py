@@ -61,3 +61,16 @@ def test_scorer_learns_and_shares_the_reading_of_blocks():
     assert ((scorer.probability(part, 40) > 0.5) == (label > 0.5)).all()
     alone = wl.read(Block(texts[1:2]))
     assert np.isclose(scorer.probability(alone, 1)[0], scorer.probability(part, 40)[1])
+
+
+def test_repeated_ids_train_one_row_each_whatever_the_order(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    words = ["plain", "words", "of", "a", "text", "$$$", "AND", "more!", "1234"]
+    rows = [(k % 30, " ".join(rng.choice(words, 60 + k % 50))) for k in range(300)]
+    rows += rows[:40]
+    trained = []
+    train = wl.train
+    monkeypatch.setattr(wl, "train", lambda *x: trained.append(len(x[3])) or train(*x))
+    found = [wl.fit(documents(spark, r).repartition(n), sample=20)[1] for r, n in ((rows, 1), (rows[::-1], 7))]
+    assert trained == [20, 20]
+    assert (found[0].weight == found[1].weight).all() and found[0].bias == found[1].bias
