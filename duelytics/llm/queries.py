@@ -7,7 +7,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from duelytics.llm import bpe, dart_minhash, isolation, licenses, line_runs, mixing, repeats, templates, voronoi, weak_labels
+from duelytics.llm import (
+    anchors, bpe, dart_minhash, divergence, isolation, licenses, line_runs, mixing, repeats, templates, turn_repair,
+    voronoi, weak_labels,
+)
 from duelytics.llm.store import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,6 +63,18 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weak_labels.classify(table(spark, sf_dir, "documents"))
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.audit(table(spark, sf_dir, "conversations"))
+
+
+def op12_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return anchors.near_copies(table(spark, sf_dir, "documents"))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_bpe": op1_bpe,
     "op2_mix": op2_mix,
@@ -71,6 +86,9 @@ QUERIES: dict[str, Query] = {
     "op8_repeats": op8_repeats,
     "op9_html": op9_html,
     "op10_quality": op10_quality,
+    "op11_repair": op11_repair,
+    "op12_anchors": op12_anchors,
+    "op13_divergence": op13_divergence,
 }
 
 # The same rows by DuckDB. The mix is dealt quotient by quotient instead of by a divisor.
@@ -165,4 +183,113 @@ WITH whole AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= {voronoi.K}
 """
 
-ORACLES: dict[str, str] = {"op2_mix": OP2, "op3_lines": OP3, "op6_top_k": OP6}
+# The checksum is computed bit by bit; the path keeps the letters themselves instead of numbers.
+OP11 = """
+WITH RECURSIVE damaged AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, list_reduce(
+        [4294967295::BIGINT] || flatten(list_transform(
+            range(1, length(key) + 1), lambda i: list_transform(range(0, 8), lambda b: (ascii(key[i]) >> b) & 1))),
+        lambda crc, bit: xor(crc >> 1, 3988292384 * ((xor(crc, bit)) & 1))) AS crc
+    FROM (SELECT *, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations)
+), fates AS (SELECT *, xor(crc, 4294967295) % 20 AS fate FROM damaged),
+rows_left AS (
+    SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role,
+        CASE WHEN fate = 1 THEN '' WHEN fate = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+        unnest(CASE WHEN fate = 3 THEN [1, 2] ELSE [1] END) AS copy
+    FROM fates WHERE fate <> 0
+), placed AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, encode(role), encode(text), copy) AS place,
+        rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS trimmed
+    FROM rows_left
+), faulty AS (
+    SELECT conv_id, turn, role, text, place, substr(role, 1, 1) AS initial, CASE
+        WHEN trimmed = '' THEN 'blank'
+        WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY place) > 1 THEN 'duplicate'
+        WHEN right(trimmed, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+        lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY place) AS previous
+    FROM placed
+), reports AS (
+    SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps,
+        count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+        count(*) FILTER (fault = 'truncated') AS truncated,
+        count(*) FILTER (previous || initial NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n
+    FROM faulty GROUP BY conv_id
+), steps(state, written, behind) AS (
+    VALUES ('', 's', 's'), ('', 'u', 'u'), ('s', 'u', 'u'), ('u', 'a', 'a'), ('a', 'u', 'u')
+), insertions AS (
+    SELECT DISTINCT state AS here, state AS there, '' AS letters, 0 AS cost, []::VARCHAR[] AS added FROM (
+        SELECT state FROM steps UNION SELECT behind FROM steps)
+    UNION ALL
+    SELECT state, behind, 'I', 3, [CASE written WHEN 'u' THEN 'user:' ELSE 'assistant:' END] FROM steps WHERE written <> 's'
+), moves AS (
+    SELECT f.conv_id, f.place, i.here, i.there AS behind, i.letters || 'D' AS letters, i.cost + 4 AS cost, i.added
+    FROM faulty f, insertions i
+    UNION ALL
+    SELECT f.conv_id, f.place, i.here, s.behind, i.letters || 'K', i.cost + CASE fault WHEN 'truncated' THEN 3 ELSE 0 END,
+        list_append(i.added, f.role || ':' || f.text)
+    FROM faulty f, insertions i JOIN steps s ON s.state = i.there
+    WHERE f.fault NOT IN ('blank', 'duplicate') AND s.written = f.initial
+    UNION ALL
+    SELECT f.conv_id, f.place, i.here, s.behind, i.letters || 'R', i.cost + 3 + CASE fault WHEN 'truncated' THEN 3 ELSE 0 END,
+        list_append(i.added, CASE s.written WHEN 'u' THEN 'user:' ELSE 'assistant:' END || f.text)
+    FROM faulty f, insertions i JOIN steps s ON s.state = i.there
+    WHERE f.fault NOT IN ('blank', 'duplicate') AND s.written <> 's'
+), walk AS (
+    SELECT conv_id, 0::BIGINT AS place, '' AS state, 0 AS cost, '' AS letters, []::VARCHAR[] AS lines FROM reports
+    UNION ALL
+    SELECT conv_id, place, state, cost, letters, lines FROM (
+        SELECT w.conv_id, m.place, m.behind AS state, w.cost + m.cost AS cost, w.letters || m.letters AS letters,
+            w.lines || m.added AS lines, row_number() OVER (
+                PARTITION BY w.conv_id, m.behind ORDER BY w.cost + m.cost, w.letters || m.letters) AS best
+        FROM walk w JOIN moves m ON w.conv_id IS NOT DISTINCT FROM m.conv_id AND m.place = w.place + 1 AND m.here = w.state
+    ) WHERE best = 1
+), ended AS (
+    SELECT w.conv_id, r.gaps, r.blank, r.duplicate, r.truncated, r.illegal, w.cost + i.cost AS cost,
+        w.letters || i.letters AS audit, w.lines || i.added AS lines, row_number() OVER (
+            PARTITION BY w.conv_id ORDER BY w.cost + i.cost, w.letters || i.letters) AS best
+    FROM walk w JOIN reports r ON w.conv_id IS NOT DISTINCT FROM r.conv_id AND w.place = r.n
+    JOIN insertions i ON i.here = w.state WHERE i.there IN ('', 'a')
+)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+    coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0)::BIGINT AS cost,
+    coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c
+LEFT JOIN ended e ON c.conv_id IS NOT DISTINCT FROM e.conv_id AND best = 1
+"""
+
+OP13 = f"""
+WITH docs AS (
+    SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS terms
+    FROM documents
+), words AS (SELECT r, lang, source, unnest(terms) AS term FROM docs),
+kept AS (
+    SELECT lang, term, count(*)::HUGEINT AS n FROM words GROUP BY lang, term HAVING count(DISTINCT r) >= {divergence.MIN_DOCS}
+), langs AS (SELECT lang, count(*)::HUGEINT AS v, sum(n)::HUGEINT AS total FROM kept GROUP BY lang),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+counts AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM words GROUP BY ALL),
+cells AS (
+    SELECT g.lang, g.source, k.term, coalesce(c.n, 0)::HUGEINT AS n, k.n AS lang_n
+    FROM groups g JOIN kept k ON g.lang = k.lang
+    LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), totals AS (SELECT lang, source, sum(n)::HUGEINT AS total FROM cells GROUP BY lang, source),
+priced AS (
+    SELECT c.lang, c.source, c.term, c.n, 1 + ({divergence.SCALE}::HUGEINT * (c.n + 5)) // (t.total + 5 * l.v) AS p,
+        1 + ({divergence.SCALE}::HUGEINT * (c.lang_n + 5)) // (l.total + 5 * l.v) AS q
+    FROM cells c JOIN totals t ON c.lang = t.lang AND c.source = t.source JOIN langs l ON c.lang = l.lang
+), pair AS (
+    SELECT a.lang, a.source, 'pair' AS part, b.source AS item, (
+        SELECT coalesce(sum(abs(x.p - y.p)), 0)::BIGINT FROM priced x JOIN priced y
+            ON x.lang = y.lang AND x.term = y.term WHERE x.lang = a.lang AND x.source = a.source AND y.source = b.source) AS value
+    FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+), term AS (
+    SELECT lang, source, 'term' AS part, term AS item, (p - q)::BIGINT AS value FROM priced WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, value, rank FROM (
+    SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item))::INTEGER AS rank
+    FROM (SELECT * FROM pair UNION ALL SELECT * FROM term)
+) WHERE part = 'pair' OR rank <= {divergence.SHOWN}
+"""
+
+ORACLES: dict[str, str] = {"op2_mix": OP2, "op3_lines": OP3, "op6_top_k": OP6, "op11_repair": OP11, "op13_divergence": OP13}
