@@ -239,7 +239,7 @@ def links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
             yield compared(rest)
 
     return at_home.unionByName(others).repartition("anchor", "block", "part").sortWithinPartitions(
-        "anchor", "block", "part", "visits").mapInArrow(work, "a long, b long").distinct()
+        "anchor", "block", "part", "visits").mapInArrow(work, "a long, b long").where("a <> b").distinct()
 
 
 def near_copies(docs: DataFrame, distance: int = DISTANCE, width: int = WIDTH) -> DataFrame:

@@ -115,10 +115,11 @@ def test_a_long_conversation_is_cut_into_pieces(spark):
 
 
 def test_equal_rows_are_duplicates_of_the_first(spark):
-    rows = [(3, 1, "user", "a.")] * 50 + [(3, 2, "assistant", "b.")]
-    report = found(spark.createDataFrame(rows, SCHEMA))
-    assert report == list(expected(rows))
-    assert report[0][COLUMNS.index("duplicate")] >= 49
+    rows = [(3, 1, "user", "a.")] * 4 + [(3, 2, "assistant", "b.")]
+    assert found(spark.createDataFrame(rows, SCHEMA)) == list(expected(rows))
+    many = found(spark.createDataFrame(rows * 500, SCHEMA))[0]
+    n = len(list(damage(rows * 500)))
+    assert many[COLUMNS.index("duplicate")] >= n - 2 and many[COLUMNS.index("audit")].count("D") >= n - 2
 
 
 def test_joined_tables_are_the_tables_of_the_whole(spark):
