@@ -1,18 +1,19 @@
 """Near-duplicate texts by SimHash fingerprints that are compared at the anchors of a covering code.
 
-A covering code has a codeword within its radius R of every word. If two words differ in at most t
-bits and c is the codeword next to the first (its home), the second lies within R + t of c. So every
-word is sent to all codewords within R + t, marked where it is at home, and compared there with the
-words at home: no close pair is lost.
+A covering code has a codeword within its radius R of every word. Between two words that differ in at most
+t bits lies a word that differs from each in at most t / 2 (rounded up), and the codeword next to
+that one is within R + t / 2 of both. So every word is sent to all codewords within R + t / 2 and compared
+there with all others: no close pair is lost.
 
 The 64 bits are cut into three blocks, each covered by the perfect binary Golay code of length 23 and
 radius 3 (shorter blocks are filled up with zeros). Of two fingerprints that differ in at most d bits
-two blocks differ together in at most 2 d / 3. An anchor is a codeword in each of two blocks; for d = 4 a
-fingerprint is at home at one anchor of each of the three pairs of blocks and visits some 60 around it.
+two blocks differ together in at most t = 2 d / 3. An anchor is a codeword in each of two blocks; for d = 4 a
+fingerprint goes to about 10 anchors of each of the three pairs of blocks, whatever the corpus.
 
-Visits to anchors where nobody is at home are left out by a map of one bit for each anchor, whose size
-depends on the code only. An anchor with many fingerprints is cut into blocks of homes by parts of
-visitors; a task hands on a spanning forest of what it links, never all pairs.
+Fingerprints that share the nearest anchor of the first pair are compared first. After that only links
+between different components count, and an anchor hands on a spanning forest of them, never all pairs.
+An anchor with many fingerprints is cut into blocks, and pairs of blocks are compared in tasks of
+bounded size.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ LENGTH, CHECKS, RADIUS, GENERATOR = 23, 11, 3, 0b110001110101  # of the Golay co
 SHIFTS, BITS = (0, 22, 43), (22, 21, 21)
 PAIRS = ((0, 1), (0, 2), (1, 2))
 ANCHORS = 1 << 2 * (LENGTH - CHECKS)  # of one pair of blocks
-HOMES, VISITORS, CHUNK = 4096, 16384, 256
+CROWD, CHUNK = 4096, 256
 SHINGLES = 1 << 16
 
 _U = np.uint64
@@ -103,13 +104,13 @@ def _patterns(further: int) -> tuple[np.ndarray, np.ndarray]:
     return words[order], np.searchsorted(of[order], np.arange((1 << CHECKS) + 1))
 
 
-def anchors(prints: np.ndarray, further: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Place of a fingerprint, an anchor it is sent to, and whether it is at home there, for all
-    anchors at most `further` beyond the radius."""
+def anchors(prints: np.ndarray, further: int, pairs=PAIRS) -> tuple[np.ndarray, np.ndarray]:
+    """Place of a fingerprint and an anchor it is sent to, for all anchors at most `further` beyond the
+    radius."""
     blocks = [(prints >> _U(s) & _U((1 << b) - 1)).astype(np.int64) for s, b in zip(SHIFTS, BITS)]
     of = [syndrome(block) for block in blocks]
-    owners, keys, homes = [], [], []
-    for pair, (x, y) in enumerate(PAIRS):
+    owners, keys = [], []
+    for pair, (x, y) in enumerate(pairs):
         for t in range(further + 1):
             for u in range(further + 1 - t):
                 (px, ox), (py, oy) = _patterns(t), _patterns(u)
@@ -121,8 +122,7 @@ def anchors(prints: np.ndarray, further: int) -> tuple[np.ndarray, np.ndarray, n
                 b = (blocks[y][owner] ^ py[oy[of[y][owner]] + k % ny[owner]]) >> CHECKS
                 owners.append(owner)
                 keys.append(pair * ANCHORS + (a << (LENGTH - CHECKS)) + b)
-                homes.append(np.full(len(owner), t == u == 0))
-    return np.concatenate(owners), np.concatenate(keys), np.concatenate(homes)
+    return np.concatenate(owners), np.concatenate(keys)
 
 
 def fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -137,109 +137,100 @@ def fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return docs.selectExpr("cast(doc_id AS bigint) AS doc_id", "text").mapInArrow(work, "doc_id long, print long")
 
 
-def _at_anchors(prints: DataFrame, further: int, occupied=None) -> DataFrame:
-    """anchor, print, home; with `occupied`, a bit for each anchor, only anchors with a home."""
+def _at_anchors(prints: DataFrame, further: int, pairs=PAIRS) -> DataFrame:
+    """anchor, print, label."""
 
     def work(batches):
         for batch in batches:
-            all_own = batch.column("print").to_numpy(zero_copy_only=False)
-            for low in range(0, len(all_own), 1024):
-                own = all_own[low:low + 1024]
-                owner, key, home = anchors(own.view(_U), further)
-                if occupied is not None:
-                    met = occupied.value[key >> 3] >> (key & 7).astype(np.uint8) & 1 == 1
-                    owner, key, home = owner[met], key[met], home[met]
+            whole, names = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("print", "label"))
+            for low in range(0, len(whole), 4096):
+                own, label = whole[low:low + 4096], names[low:low + 4096]
+                owner, key = anchors(own.view(_U), further, pairs)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.astype(np.int32)), pa.array(own[owner]), pa.array(home)],
-                    names=["anchor", "print", "home"])
+                    [pa.array(key.astype(np.int32)), pa.array(own[owner]), pa.array(label[owner])],
+                    names=["anchor", "print", "label"])
 
-    return prints.select("print").mapInArrow(work, "anchor int, print long, home boolean")
+    return prints.select("print", "label").mapInArrow(work, "anchor int, print long, label long")
 
 
-def _occupied(prints: DataFrame) -> np.ndarray:
-    """One bit for each anchor: somebody is at home. Six megabytes, whatever the number of texts."""
-    at = F.col("anchor") + 1
-    rows = _at_anchors(prints, 0).groupBy(F.expr("bitmap_bucket_number(anchor + 1)").alias("bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
-    out = np.zeros(len(PAIRS) * ANCHORS // 8, np.uint8)
-    for bucket, bits in rows.toLocalIterator():
-        out[(bucket - 1) * 4096:bucket * 4096] = np.frombuffer(bytes(bits), np.uint8)
-    return out
-
-
-def _forest(homes: np.ndarray, visitors: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that connect what links of at most `distance` bits between homes and visitors connect."""
-    label = np.arange(len(homes))
+def forest(x: np.ndarray, x_label: np.ndarray, y: np.ndarray, y_label: np.ndarray, distance: int):
+    """Edges between labels that connect what links of at most `distance` bits between `x` and `y` connect."""
+    names, place = np.unique(np.concatenate([x_label, y_label]), return_inverse=True)
+    roots = np.arange(len(names))
     a, b = [], []
-    for low in range(0, len(visitors), CHUNK):
-        own = visitors[low:low + CHUNK]
-        linked = np.bitwise_count(homes[:, None] ^ own[None, :]) <= distance
-        linked &= homes[:, None] != own[None, :]
-        met = linked.any(axis=0)
-        if not met.any():
-            continue
-        linked, own = linked[:, met], own[met]
-        while True:  # the smallest label goes to and fro until nothing changes
-            near = np.where(linked, label[:, None], len(homes)).min(axis=0)
-            back = np.minimum(label, np.where(linked, near[None, :], len(homes)).min(axis=1))
-            back = back[back]
-            if (back == label).all():
+    for low in range(0, len(y), CHUNK):
+        linked = np.bitwise_count(x[:, None] ^ y[None, low:low + CHUNK]) <= distance
+        own = place[len(x):][low:low + CHUNK]
+        while True:  # each root goes to the smallest one it is linked with
+            left, right = roots[place[:len(x)]], roots[own]
+            i, j = np.nonzero(linked & (left[:, None] != right[None, :]))
+            if not len(i):
                 break
-            label = back
-        a.append(own)
-        b.append(homes[near])
-    moved = label != np.arange(len(homes))
-    return np.concatenate([*a, homes[moved]]), np.concatenate([*b, homes[label[moved]]])
-
-
-def links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """a, b: edges between distinct fingerprints (column `print`) that connect just those that chains of
-    links of at most `distance` differing bits connect. `prints` is read several times."""
-    further = 2 * distance // 3
-    occupied = prints.sparkSession.sparkContext.broadcast(_occupied(prints))
-    visits = stored(_at_anchors(prints, further, occupied), "visits")
-    held = visits.groupBy("anchor").agg(F.count_if("home").alias("homes"), F.count("*").alias("all")).where("all > 1")
-    pieces = held.select(F.col("anchor").alias("at"), F.ceil(F.col("homes") / HOMES).alias("blocks"),
-                         F.ceil(F.col("all") / VISITORS).alias("parts"))
-    met = visits.join(pieces, F.col("anchor") == F.col("at"))
-    hashed = F.xxhash64("print")
-
-    def every(n: str):
-        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-
-    at_home = met.where("home").select("anchor", F.pmod(hashed, "blocks").alias("block"), every("parts").alias("part"),
-                                       F.lit(False).alias("visits"), "print")
-    others = met.select("anchor", every("blocks").alias("block"), F.pmod(hashed, "parts").alias("part"),
-                        F.lit(True).alias("visits"), "print")
+            high, least = np.maximum(left[i], right[j]), np.minimum(left[i], right[j])
+            np.minimum.at(roots, high, least)
+            high = np.unique(high)
+            a.append(names[high])
+            b.append(names[roots[high]])
+            while (roots[roots] != roots).any():
+                roots = roots[roots]
+    none = [np.zeros(0, np.int64)]
+    return np.concatenate(a or none), np.concatenate(b or none)
+
+
+def _compared(visits: DataFrame, distance: int, crowd: int) -> DataFrame:
+    """a, b: edges between the labels of fingerprints that meet at an anchor."""
+    visits = stored(visits, "visits")
+    held = visits.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
+    met = visits.join(held.select(F.col("anchor").alias("at"), F.ceil(F.col("n") / crowd).alias("blocks")),
+                      F.col("anchor") == F.col("at")).withColumn("block", F.pmod(F.xxhash64("print"), "blocks"))
+    # A block meets itself and every other one; the first of a pair of blocks has the smaller number.
+    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda other: F.struct(
+        F.least(F.col("block"), other).alias("low"), F.greatest(F.col("block"), other).alias("high")))
+    dealt = met.select("anchor", "print", "label", "block", F.explode(pairs).alias("q")).select(
+        "anchor", "q.low", "q.high", (F.col("block") != F.col("q.low")).alias("second"), "print", "label")
 
     def work(batches):
-        rest = [np.zeros(0, np.int64) for _ in range(5)]
-
-        def compared(rows):
-            anchor, block, part, visits, own = rows
-            cuts = np.flatnonzero((np.diff(anchor) != 0) | (np.diff(block) != 0) | (np.diff(part) != 0)) + 1
-            found = [(np.zeros(0, _U), np.zeros(0, _U))]
-            for low, high in zip([0, *cuts], [*cuts, len(own)]):
-                first = low + np.searchsorted(visits[low:high], 1)
-                if first > low and high - low > 2:
-                    found.append(_forest(own[low:first].view(_U), own[first:high].view(_U), distance))
-            ends = [np.concatenate(side).view(np.int64) for side in zip(*found)]
+        rest = [np.zeros(0, np.int64) for _ in range(6)]
+
+        def linked(rows):
+            anchor, low, high, second, own, label = rows
+            cuts = np.flatnonzero((np.diff(anchor) != 0) | (np.diff(low) != 0) | (np.diff(high) != 0)) + 1
+            found = []
+            for i, j in zip([0, *cuts], [*cuts, len(own)]):
+                if j - i > 1 and (label[i:j] != label[i]).any():
+                    k = i + np.searchsorted(second[i:j], 1)
+                    one = slice(i, k)
+                    other = one if low[i] == high[i] else slice(k, j)
+                    found.append(forest(own[one].view(_U), label[one], own[other].view(_U), label[other], distance))
+            ends = [np.concatenate(side) for side in zip(*found)] if found else [np.zeros(0, np.int64)] * 2
             return pa.RecordBatch.from_arrays([pa.array(e) for e in ends], names=["a", "b"])
 
         for batch in batches:
             columns = [c.cast(pa.int8()) if c.type == pa.bool_() else c for c in batch.columns]
             rest = [np.concatenate([r, c.to_numpy(zero_copy_only=False).astype(np.int64)]) for r, c in zip(rest, columns)]
-            # The last piece may go on in the next batch.
+            # The last group may go on in the next batch.
             changes = np.flatnonzero(np.any([np.diff(r) != 0 for r in rest[:3]], axis=0))
             if len(changes):
                 cut = changes[-1] + 1
-                yield compared([r[:cut] for r in rest])
+                yield linked([r[:cut] for r in rest])
                 rest = [r[cut:] for r in rest]
         if len(rest[0]):
-            yield compared(rest)
+            yield linked(rest)
+
+    return dealt.repartition("anchor", "low", "high").sortWithinPartitions(
+        "anchor", "low", "high", "second").mapInArrow(work, "a long, b long").distinct()
 
-    return at_home.unionByName(others).repartition("anchor", "block", "part").sortWithinPartitions(
-        "anchor", "block", "part", "visits").mapInArrow(work, "a long, b long").where("a <> b").distinct()
+
+def links(prints: DataFrame, distance: int = DISTANCE, crowd: int = CROWD) -> DataFrame:
+    """a, b: edges between distinct fingerprints (column `print`) that connect just those that chains of
+    links of at most `distance` differing bits connect."""
+    own = prints.select("print", F.col("print").alias("label"))
+    first = stored(_compared(_at_anchors(own, 0, PAIRS[:1]), distance, crowd), "first-links")
+    near = components(first)
+    named = prints.select("print").join(near, F.col("print") == F.col("id"), "left").select(
+        "print", F.coalesce("label", "print").alias("label"))
+    further = -(-(2 * distance // 3) // 2)
+    return first.union(_compared(_at_anchors(named, further), distance, crowd))
 
 
 def near_copies(docs: DataFrame, distance: int = DISTANCE, width: int = WIDTH) -> DataFrame:
