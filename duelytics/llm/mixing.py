@@ -7,7 +7,7 @@ target / (2 * blocks so far + 1), which gives integer quotas. A shard is a seede
 source's documents, laid end to end in seeded order; a quota beyond a whole pass takes whole
 passes first, the rest is a run of blocks from a seeded place, around the end of the shard.
 
-Shards hold about `SHARD` tokens each, so no task grows with a source. What meets in one place is
+Shards hold about `SHARD` tokens and at most about `SHARD_ROWS` rows each, so no task grows with a source. What meets in one place is
 one row for each source (targets) and, for each source, one row for each of its shards.
 """
 
@@ -22,7 +22,7 @@ from pyspark.sql.types import StringType
 
 WEIGHTS = (5, 2, 1)
 SHARE, CEILING = 1.5, 2
-BLOCK, SHARD, SEED = 16, 2_000_000, "mix"
+BLOCK, SHARD, SHARD_ROWS, SEED = 16, 2_000_000, 1_000_000, "mix"
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -100,33 +100,32 @@ def _source_quotas(share: float, block: int):
     return work
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "source", F.coalesce(
-        F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+def sized(docs: DataFrame, *carried: Column) -> DataFrame:
+    """Source and words of each row, and two numbers from a digest of id and text: equal for equal rows only."""
+    tag = F.md5(F.concat_ws("|", F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.lit("\\N")),
+                            F.coalesce("text", F.lit("\\N"))))
+    return docs.select(
+        *carried, F.col("doc_id").cast("string").alias("id"), F.col("source").alias("name"),
+        F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        F.conv(F.substring(tag, 1, 8), 16, 10).cast("long").alias("deal"),
+        F.conv(F.substring(tag, 9, 15), 16, 10).cast("long").alias("place"))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, ceiling=CEILING, block=BLOCK, shard=SHARD) -> DataFrame:
-    """doc_id, size, source_size, target, taken for every row of `docs`.
-
-    Null texts have no words, so nothing of them is taken; a null source is a source of its own,
-    the last one. Rows that repeat a doc_id stand side by side; which of two equal rows is taken
-    first does not matter, as they are equal. Other columns are not looked at. An empty table, or
-    one without a word, gives targets of 0. The result holds the key columns only.
-    """
-    sizes = sized(docs)
-    per_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
+def _mix(sizes: DataFrame, weights, share, ceiling, block, shard, rows) -> DataFrame:
+    """The rows of `sized` with source_size, target and taken."""
+    per_source = sizes.groupBy(F.col("name").alias("source")).agg(
+        F.sum("size").alias("source_size"), F.count("*").alias("rows"))
+    shards = per_source.select(F.col("source").alias("s"), F.greatest(
+        F.lit(1), F.ceil(F.col("source_size") / shard), F.ceil(F.col("rows") / rows)).alias("shards"))
     quotas = (
-        targets(per_source, weights, share, ceiling)
+        targets(per_source.drop("rows"), weights, share, ceiling)
         .groupBy(F.lit(0).alias("all"))
         .applyInPandas(_source_quotas(share, block), "source string, source_size long, target double, quota long")
-        .withColumn("shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard)))
+        .join(shards, F.col("source").eqNullSafe(F.col("s"))).drop("s")
     )
     # Sources are few; Spark broadcasts the quotas when their size is small.
-    dealt = sizes.withColumnRenamed("source", "name").join(
-        quotas, F.col("name").eqNullSafe(F.col("source"))
-    ).withColumn("id", F.col("doc_id").cast("string")).withColumn(
-        "shard", F.pmod(seeded(F.lit("shard"), "id"), F.col("shards"))
-    ).select("doc_id", "id", "size", "source", "source_size", "target", "quota", "shard")
+    dealt = sizes.join(quotas, F.col("name").eqNullSafe(F.col("source"))).withColumn(
+        "shard", F.pmod("deal", "shards")).drop("name", "deal", "shards")
     shards = (
         dealt.groupBy("source", "shard")
         .agg(F.sum("size").alias("shard_size"), F.max("quota").alias("quota"))
@@ -135,51 +134,60 @@ def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, ceiling=CEILING, block=BL
         .select(F.col("source").alias("s"), F.col("shard").alias("n"), "shard_size",
                 F.col("quota").alias("shard_quota"))
     )
-    lying = Window.partitionBy("source", "shard").orderBy(seeded(F.lit("order"), "id"), "id", "size")
+    lying = Window.partitionBy("source", "shard").orderBy("place", "id", "size")
     laid = dealt.withColumn("end", F.sum("size").over(lying.rowsBetween(Window.unboundedPreceding, 0)))
-    joined = laid.join(shards, F.col("source").eqNullSafe(F.col("s")) & (F.col("shard") == F.col("n")))
-    return taken(joined, block).select("doc_id", "size", "source_size", "target", "taken")
+    return taken(laid.join(shards, F.col("source").eqNullSafe(F.col("s")) & (F.col("shard") == F.col("n"))), block)
+
+
+def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, ceiling=CEILING, block=BLOCK, shard=SHARD,
+        rows=SHARD_ROWS) -> DataFrame:
+    """doc_id, size, source_size, target, taken for every row of `docs`.
+
+    Null texts have no words, so nothing of them is taken; a null source is a source of its own,
+    the last one. Rows that repeat a doc_id stand side by side; which of two equal rows is taken
+    first does not matter, as they are equal. Other columns are not looked at. An empty table, or
+    one without a word, gives targets of 0. The result holds the key columns only.
+    """
+    sizes = sized(docs, F.col("doc_id"))
+    return _mix(sizes, weights, share, ceiling, block, shard, rows).select(
+        "doc_id", "size", "source_size", "target", "taken")
 
 
 def taken(laid: DataFrame, block: int) -> DataFrame:
-    """Words taken of a document that ends at `end` in a shard: whole passes, and its part of a run
-    of `rest` blocks that begins at a seeded block and goes on at the shard's beginning."""
+    """Words taken of a document that ends at `end` in a shard: whole passes, and its part of a run of
+    words that begins at a seeded block and goes on at the shard's beginning. Blocks are counted by
+    their words, so the last one of a shard, which may be short, is not taken for a full one."""
+    quota = F.least(F.col("shard_quota") * block, 2 * F.col("shard_size"))
     blocks = F.greatest(F.lit(1), F.ceil(F.col("shard_size") / block))
-    quota = F.least(F.col("shard_quota"), 2 * blocks)
-    first = F.pmod(seeded(F.lit("first"), "source", F.col("shard").cast("string")), F.col("blocks"))
     start = F.col("end") - F.col("size")
 
     def overlap(low: Column, high: Column) -> Column:
         return F.greatest(F.lit(0), F.least(F.col("end"), high) - F.greatest(start, low))
 
     return (
-        laid.withColumn("blocks", blocks)
-        .withColumn("passes", F.floor(quota / F.col("blocks")))
-        .withColumn("rest", quota - F.col("passes") * F.col("blocks"))
-        .withColumn("first", first)
+        laid.withColumn("passes", F.floor(quota / F.greatest(F.lit(1), F.col("shard_size"))))
+        .withColumn("rest", quota - F.col("passes") * F.col("shard_size"))
+        .withColumn("first", block * F.pmod(seeded(F.lit("first"), "source", F.col("shard").cast("string")), blocks))
         .withColumn("taken", (
-            F.col("passes") * F.col("size")
-            + overlap(F.col("first") * block, (F.col("first") + F.col("rest")) * block)
-            + overlap(F.lit(0), (F.col("first") + F.col("rest") - F.col("blocks")) * block)).cast("long"))
+            F.col("passes") * F.col("size") + overlap(F.col("first"), F.col("first") + F.col("rest"))
+            + overlap(F.lit(0), F.col("first") + F.col("rest") - F.col("shard_size"))).cast("long"))
     )
 
 
-def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The rows of `docs` as the mix holds them: a row for each whole time a document is taken, and
-    one with its first words for the rest; documents of which nothing is taken go. All columns stay."""
-    shares = mix(docs, **options).where("taken > 0").select(
-        F.col("doc_id").alias("__id"), F.col("size").alias("__size"), F.col("taken").alias("__taken"))
-    # Repeated rows of one document share what is taken of it: one decision for each (id, size).
-    shares = shares.groupBy("__id", "__size").agg(F.max("__taken").alias("__taken"))
-    whole, rest = F.floor(F.col("__taken") / F.col("__size")), F.col("__taken") % F.col("__size")
-    wanted = F.array_repeat(F.col("__size"), whole.cast("int"))
+def mixed(docs: DataFrame, weights=WEIGHTS, share=SHARE, ceiling=CEILING, block=BLOCK, shard=SHARD,
+          rows=SHARD_ROWS) -> DataFrame:
+    """The rows of `docs` as the mix holds them: a row for each whole time a row is taken, and one with
+    its first words for the rest; rows of which nothing is taken go. All columns stay. Each row is
+    taken by itself, also without an id or beside others of its id. The texts move once, to their shards."""
+    whole, rest = F.floor(F.col("taken") / F.col("size")), F.col("taken") % F.col("size")
+    wanted = F.array_repeat(F.col("size"), whole.cast("int"))
     wanted = F.when(rest > 0, F.concat(wanted, F.array(rest))).otherwise(wanted)
-    joined = docs.withColumn("__n", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")).join(
-        shares, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__n") == F.col("__size")))
-    rows = joined.withColumn("__words", F.explode(wanted))
-    return rows.withColumn("text", F.when(
-        F.col("__words") < F.col("__size"), _first_words("text", "__words")).otherwise(F.col("text"))
-    ).select(*docs.columns)
+    sizes = sized(docs, F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
+    held = _mix(sizes, weights, share, ceiling, block, shard, rows).where("taken > 0").select(
+        "row", "size", F.explode(wanted).alias("words"))
+    part = held.where(F.col("words") < F.col("size")).withColumn("row", F.col("row").withField(
+        "text", _first_words("row.text", "words")))
+    return held.where(F.col("words") == F.col("size")).unionByName(part).select("row.*")
 
 
 @F.pandas_udf(StringType())

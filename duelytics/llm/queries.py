@@ -94,9 +94,10 @@ QUERIES: dict[str, Query] = {
 # The same rows by DuckDB. The mix is dealt quotient by quotient instead of by a divisor.
 OP2 = f"""
 WITH sizes AS (
-    SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size
+    SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
+        md5('mix|' || coalesce(doc_id::VARCHAR, '\\N') || '|' || coalesce(text, '\\N')) AS tag
     FROM documents
-), summed AS (SELECT source, sum(size)::BIGINT AS source_size FROM sizes GROUP BY source),
+), summed AS (SELECT source, sum(size)::BIGINT AS source_size, count(*) AS rows FROM sizes GROUP BY source),
 weighed AS (
     SELECT *, row_number() OVER (ORDER BY source IS NULL, encode(source)) AS place,
         [5.0::DOUBLE, 2.0, 1.0][(row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1) % 3 + 1] AS weight
@@ -117,11 +118,10 @@ weighed AS (
     SELECT t.source, t.place, t.source_size, t.target, (
         SELECT count(*) FROM ranked r WHERE r.place = t.place
             AND r.at <= (SELECT floor(1.5::DOUBLE * sum(source_size) / {mixing.BLOCK} + 0.5) FROM targets)) AS quota,
-        greatest(1, ceil(t.source_size / {mixing.SHARD}))::BIGINT AS shards
+        greatest(1, ceil(t.source_size / {mixing.SHARD}), ceil(t.rows / {mixing.SHARD_ROWS}))::BIGINT AS shards
     FROM targets t
 ), dealt AS (
-    SELECT s.doc_id, s.size, q.*,
-        ('0x' || substr(md5('mix|shard|' || coalesce(s.doc_id::VARCHAR, '\\N')), 1, 8))::BIGINT % q.shards AS shard
+    SELECT s.doc_id, s.size, s.tag, q.*, ('0x' || substr(s.tag, 1, 8))::BIGINT % q.shards AS shard
     FROM sizes s JOIN quotas q ON s.source IS NOT DISTINCT FROM q.source
 ), shard_sizes AS (
     SELECT place, shard, sum(size)::BIGINT AS shard_size, max(quota) AS quota FROM dealt GROUP BY place, shard
@@ -135,18 +135,20 @@ weighed AS (
 ), laid AS (
     SELECT d.doc_id, d.size, d.source, d.source_size, d.target, d.shard, q.shard_size, q.quota,
         greatest(1, ceil(q.shard_size / {mixing.BLOCK}))::BIGINT AS blocks,
-        sum(d.size) OVER (PARTITION BY d.place, d.shard ORDER BY
-            ('0x' || substr(md5('mix|order|' || coalesce(d.doc_id::VARCHAR, '\\N')), 1, 8))::BIGINT,
+        sum(d.size) OVER (PARTITION BY d.place, d.shard ORDER BY ('0x' || substr(d.tag, 9, 15))::BIGINT,
             d.doc_id::VARCHAR, d.size ROWS UNBOUNDED PRECEDING)::BIGINT AS stop
     FROM dealt d JOIN shard_quotas q ON d.place = q.place AND d.shard = q.shard
-), placed AS (
-    SELECT *, stop - size AS start, least(quota, 2 * blocks) // blocks AS passes, least(quota, 2 * blocks) % blocks AS rest,
-        ('0x' || substr(md5('mix|first|' || coalesce(source, '\\N') || '|' || shard), 1, 8))::BIGINT % blocks AS first
+), asked AS (
+    SELECT *, stop - size AS start, least(quota * {mixing.BLOCK}, 2 * shard_size)::BIGINT AS words,
+        {mixing.BLOCK} * (('0x' || substr(md5('mix|first|' || coalesce(source, '\\N') || '|' || shard), 1, 8))::BIGINT
+            % blocks) AS first
     FROM laid
+), placed AS (
+    SELECT *, words // greatest(1, shard_size) AS passes, words % greatest(1, shard_size) AS rest FROM asked
 )
 SELECT doc_id, size, source_size, target, (passes * size
-    + greatest(0, least(stop, (first + rest) * {mixing.BLOCK}) - greatest(start, first * {mixing.BLOCK}))
-    + greatest(0, least(stop, (first + rest - blocks) * {mixing.BLOCK}) - greatest(start, 0)))::BIGINT AS taken
+    + greatest(0, least(stop, first + rest) - greatest(start, first))
+    + greatest(0, least(stop, first + rest - shard_size) - greatest(start, 0)))::BIGINT AS taken
 FROM placed
 """
 

@@ -91,15 +91,43 @@ def test_shards_share_a_source(spark, rows):
         assert abs(sum(r.taken for r in own) - own[0].target) <= 8 * (2 + own[0].source_size / 400)
 
 
-def test_mixed_texts_hold_the_words_taken(spark, rows):
-    docs = documents(spark, [r for r in rows if r[0] != 7], clashing=True)
-    taken = {r.doc_id: r.taken for r in mixing.mix(docs).collect()}
+def held_and_taken(docs):
+    """Words by doc_id, from the mixed texts and from the takings."""
+    held, taken = {}, {}
     mixed = mixing.mixed(docs)
     assert mixed.columns == docs.columns
-    held = {}
     for r in mixed.collect():
         held[r.doc_id] = held.get(r.doc_id, 0) + size_of(r.text)
-    assert held == {i: n for i, n in taken.items() if n}
+    for r in mixing.mix(docs).collect():
+        if r.taken:
+            taken[r.doc_id] = taken.get(r.doc_id, 0) + r.taken
+    return held, taken
+
+
+def test_mixed_texts_hold_the_words_taken(spark, rows):
+    held, taken = held_and_taken(documents(spark, rows, clashing=True))
+    assert held == taken
+
+
+def test_rows_without_or_with_the_same_id_are_taken_one_by_one(spark):
+    rng = random.Random(8)
+    rows = [(None, " ".join(words(rng, 40)), "a") for _ in range(300)] + [(5, " ".join(words(rng, 40)), "b")] * 20
+    rows += [(6, " ".join(words(rng, 40)), "b") for _ in range(20)] + [(None, f"{k} " * 9, "c") for k in range(2000)]
+    docs = documents(spark, rows)
+    held, taken = held_and_taken(docs)
+    assert held == taken
+    found = mixing.mix(docs).collect()
+    for name in {r.target for r in found}:
+        own = [r for r in found if r.target == name]
+        assert abs(sum(r.taken for r in own) - name) <= 2 * mixing.BLOCK
+
+
+def test_a_source_of_empty_texts_is_cut_by_rows(spark):
+    docs = documents(spark, [(None, None, "a") for _ in range(50)] + [(k, "", "a") for k in range(400)] + [(999, "w " * 60, "b")])
+    sizes = mixing.sized(docs)
+    assert sizes.select("deal").distinct().count() > 300
+    found = mixing.mix(docs, rows=50)
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted(map(tuple, mixing.mix(docs.repartition(3), rows=50).collect()), key=repr)
 
 
 def test_nothing_to_mix(spark):
