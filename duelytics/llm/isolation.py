@@ -198,8 +198,8 @@ def fit(labelled: dict[str, np.ndarray], quality: np.ndarray, clean_loss: float
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = LABELLED) -> DataFrame:
-    """doc_id, text, quality of at most `rows` labelled documents, chosen by a seeded order of their
-    ids, whichever of them `docs` still holds. The bound makes the broadcast safe."""
+    """doc_id, text, quality of the rows of at most `rows` labelled documents, chosen by a seeded order of
+    their ids, whichever of them `docs` still holds. The bound makes the broadcast safe."""
     chosen = (
         labels.where("doc_id IS NOT NULL AND quality IS NOT NULL")
         .groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.max("quality").alias("__quality"))
@@ -210,12 +210,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = LABELLED) ->
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = LABELLED) -> Forest | None:
-    """Statistics of a bounded sample come to the driver: a few numbers for each of `rows` rows."""
+    """Statistics of a bounded sample come to the driver: a few numbers for each of `rows` ids. Of rows that
+    share a labelled id, the one with the least statistics counts."""
     sample = labelled_sample(docs, labels, rows)
-    known = sample.select("doc_id", "quality").distinct()
+    known = sample.select(F.col("doc_id").alias("known"), "quality").distinct()
+    least = statistics(sample).groupBy("doc_id").agg(F.min(F.struct(*COUNTS, *_SHAPES)).alias("least"))
     counted = (
-        statistics(sample).dropDuplicates(["doc_id"]).join(known, "doc_id")
-        .orderBy("doc_id").limit(rows).toPandas()
+        least.join(known, F.col("doc_id") == F.col("known")).select("doc_id", "quality", "least.*")
+        .orderBy("doc_id").toPandas()
     )
     counts = {c: counted[c].to_numpy(np.int64) for c in COUNTS + _SHAPES}
     return fit(counts, counted["quality"].to_numpy(int))
@@ -232,7 +234,8 @@ def rule_verdicts(docs: DataFrame, labels: DataFrame, rows: int = LABELLED) -> D
     """doc_id, the counts, base_failed, kept and the mean path length for every row of `docs`.
 
     Null and empty texts have no words and fail the base rules. Equal rows get equal verdicts, an
-    empty table gives no rows. Without labels only the base rules decide (path_length is null).
+    empty table gives no rows. Without labels only the base rules decide (path_length is null). Labels
+    that repeat an id count with their larger quality. Other columns are not looked at.
     """
     forest = train(docs, labels, rows)
     context = docs.sparkSession.sparkContext

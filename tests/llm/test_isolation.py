@@ -83,6 +83,13 @@ def test_the_sample_is_bounded_and_the_same_each_time(spark, rows):
     assert once == sorted(r.doc_id for r in isolation.labelled_sample(docs.repartition(5), known, 50).collect())
 
 
+def test_repeated_ids_give_the_same_forest_each_time(spark, rows):
+    rng = random.Random(9)
+    docs = documents(spark, rows + [(i, prose(rng, rng.randint(60, 300))) for i, _ in rows])
+    known = labels(spark, [(i, int(i < 1000), 0) for i, _ in rows])
+    assert len({isolation.train(docs.repartition(n), known).threshold for n in (1, 3, 8)}) == 1
+
+
 def test_every_row_is_judged_by_its_own_text(spark, rows):
     known = labels(spark, [(i, int(i < 1000), 0) for i, _ in rows if i % 2 == 0])
     junk = "### $$$ " * 80
