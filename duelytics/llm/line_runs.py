@@ -179,20 +179,14 @@ def dedup(docs: DataFrame, **options) -> DataFrame:
 
 
 def without_shared_lines(docs: DataFrame, **options) -> DataFrame:
-    """`docs` with the remaining lines as text; other columns stay. A null text stays null."""
+    """`docs` with the remaining lines as text; other columns stay. A null text stays null; a text that loses
+    all its lines is empty. Rows with the same doc_id count as one document, rows without one too; no rows
+    give no rows. Only texts that lose a line are split, in the JVM."""
     lost = dropped_lines(docs.select("doc_id", "text"), **options)
 
-    @F.pandas_udf("string")
-    def rest(texts, places):
-        import pandas as pd
+    def rest(lines):  # bound once for all lines of a text
+        kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__places"))
+        return F.array_join(F.transform(kept, lambda at: F.get(lines, at)), "\n")
 
-        out = []
-        for text, gone in zip(texts, places):
-            if text is not None and gone is not None:
-                gone = set(gone)
-                text = "\n".join(line for at, line in enumerate(text.split("\n")) if at not in gone)
-            out.append(text)
-        return pd.Series(out, dtype=object)
-
-    return _with_lost(docs, lost).withColumn("text", F.when(
-        F.col("__places").isNull(), F.col("text")).otherwise(rest("text", "__places"))).select(*docs.columns)
+    return _with_lost(docs, lost).withColumn("text", F.when(F.col("__places").isNull(), F.col("text")).otherwise(
+        F.get(F.transform(F.array(F.split("text", "\n", -1)), rest), F.lit(0)))).select(*docs.columns)
