@@ -1,16 +1,23 @@
 """Finding many names or keywords in long texts in one pass over each text.
 
-One `contains` or regular expression per name reads every text once per name.  Here one
-automaton over all of them reads it once, whatever their number.  The lists are short (a top-k
-or a dictionary) and travel with the task; Spark partitions the texts and adds up the results.
+One `contains` or regular expression per name reads every text once per name.  Keywords are whole words,
+so a text is cut into words once and all lists look at the words in hashed sets.  Names may begin and
+end inside words; one automaton over all of them reads a text once.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import re
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+"
+
+
+def is_word(char: str) -> bool:
+    return char.isalnum() or char == "_"
+
 
 def names_in_texts(docs: DataFrame, lists: Mapping[str, Sequence[str]]) -> DataFrame:
     """Distinct (model, kind, name) such that a text of the model contains the name.
@@ -51,72 +58,86 @@ def names_in_texts(docs: DataFrame, lists: Mapping[str, Sequence[str]]) -> DataF
     return docs.select("model", "text").mapInArrow(match, schema).distinct()
 
 
+def token_runs(text: str) -> list[str]:
+    """A text as runs of word characters and of others, in turn."""
+    return re.findall(r"\w+|\W+", text)
+
+
+def _among(words: Iterable[str]) -> str:
+    """A list of constants in SQL."""
+    escaped = (word.replace("\\", "\\\\").replace("'", "\\'") for word in sorted(words))
+    return "(" + ", ".join(f"'{word}'" for word in escaped) + ")"
+
+
+def _starts(keywords: Iterable[str]) -> str:
+    """Where a keyword may start in `text`: the number of the token, how many there are from it on, and the
+    strings of the first 1, 2, … tokens, as long as some keyword of this length begins with the token."""
+    by_length: dict[int, set[str]] = {}
+    for keyword in keywords:
+        runs = token_runs(keyword)
+        by_length.setdefault(len(runs), set()).add(runs[0])
+    runs = ["'run1', get(tokens, i)"] + [
+        f"'run{n}', if(get(tokens, i) IN {_among(by_length[n])}, array_join(slice(tokens, i + 1, {n}), ''), NULL)"
+        for n in sorted(by_length) if n > 1
+    ]
+    # An array of one element binds the tokens to a name, so that a text is cut once.
+    return f"""get(transform(array(regexp_extract_all(text, r'{TOKEN}', 0)), tokens -> transform(
+        filter(transform(tokens, (token, i) -> if(token IN {_among(set().union(*by_length.values()))}, i, NULL)),
+            i -> i IS NOT NULL),
+        i -> named_struct('at', i, 'left', size(tokens) - i, {", ".join(runs)}))), 0)"""
+
+
+def _length_at(by_length: Mapping[int, Sequence[str]]) -> str:
+    """Tokens of the longest keyword that begins at `start`, 0 without one.
+
+    An edge of a keyword that is no word character must touch one.
+    """
+    cases = []
+    for n, keywords in sorted(by_length.items(), reverse=True):
+        edges: dict[tuple[bool, bool], list[str]] = {}
+        for keyword in keywords:
+            edges.setdefault((not is_word(keyword[0]), not is_word(keyword[-1])), []).append(keyword)
+        for (before, after), own in edges.items():
+            touching = " AND start.at > 0" * before + f" AND start.left > {n}" * after
+            cases.append(f"WHEN start.left >= {n} AND start.run{n} IN {_among(own)}{touching} THEN {n}")
+    return f"CASE {' '.join(cases)} ELSE 0 END"
+
+
+def _hits(by_length: Mapping[int, Sequence[str]]) -> str:
+    """Hits of one list in the starts of a text: the leftmost wins, then the longest."""
+    if not by_length:
+        return "0"
+    length = _length_at(by_length)
+    if set(by_length) == {1}:  # words do not overlap
+        return f"size(filter(starts, start -> {length} > 0))"
+    return f"""aggregate(starts, named_struct('free', 0, 'hits', 0), (state, start) -> get(transform(
+        array(if(start.at >= state.free, {length}, 0)), n -> named_struct(
+            'free', if(n > 0, start.at + n, state.free), 'hits', state.hits + if(n > 0, 1, 0))), 0)).hits"""
+
+
 def keyword_hits(docs: DataFrame, categories: Sequence[Sequence[str]]) -> DataFrame:
     """(model, index, hits, texts) for each keyword list: whole-word hits and the number of texts
     with one, zeros included.
 
     Within a list hits do not overlap: the leftmost wins, then the longest.  A word character is
     a letter, a number or an underscore; an edge of a keyword that is one must not touch
-    another.  Each task emits one row per model with its sums.
+    another.  A text is cut once into runs of word characters and of others; the runs that some
+    keyword begins with are the starts, and each list folds over the starts in order.  All of it are
+    expressions of one projection; the shuffle carries a row per model and task.
     """
-    lists = [list(keywords) for keywords in categories]
-
-    def count(batches):
-        import ahocorasick
-        import pyarrow as pa
-
-        owners: dict[str, list[int]] = {}
-        for index, keywords in enumerate(lists):
-            for keyword in set(keywords):
-                owners.setdefault(keyword, []).append(index)
-
-        def is_word(char: str) -> bool:
-            return char.isalnum() or char == "_"
-
-        automaton = ahocorasick.Automaton()
-        for keyword, indexes in owners.items():
-            edges = is_word(keyword[0]), is_word(keyword[-1])
-            automaton.add_word(keyword, (len(keyword), edges, indexes))
-        automaton.make_automaton()
-        size = len(lists)
-        totals: dict[str, list[int]] = {}
-        for batch in batches:
-            for model, value in zip(batch.column("model").to_pylist(), batch.column("text")):
-                sums = totals.setdefault(model, [0] * (2 * size))
-                if not owners or not value.is_valid:
-                    continue
-                text = value.as_py()
-                found = []
-                for last, (length, (first_edge, last_edge), indexes) in automaton.iter(text):
-                    start, end = last + 1 - length, last + 1
-                    before = start > 0 and is_word(text[start - 1])
-                    after = end < len(text) and is_word(text[end])
-                    if before != first_edge and after != last_edge:
-                        found.append((start, -end, indexes))
-                found.sort(key=lambda hit: hit[:2])
-                free = [0] * size
-                for start, end, indexes in found:
-                    for index in indexes:
-                        if start >= free[index]:
-                            sums[index] += 1
-                            sums[size + index] += free[index] == 0
-                            free[index] = -end
-        if totals:
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(list(totals), pa.string()),
-                    pa.array(list(totals.values()), pa.list_(pa.int64())),
-                ],
-                ["model", "sums"],
-            )
-
-    rows = docs.select("model", "text").mapInArrow(count, "model string, sums array<bigint>")
-    n = len(lists)
-    both = F.arrays_zip(
-        F.slice("sums", 1, n).alias("hits"), F.slice("sums", n + 1, n).alias("texts")
-    )
-    return (
-        rows.select("model", F.posexplode(both).alias("index", "sum"))
-        .groupBy("model", "index")
-        .agg(F.sum("sum.hits").alias("hits"), F.sum("sum.texts").alias("texts"))
-    )
+    lengths: list[dict[int, list[str]]] = [{} for _ in categories]
+    for keywords, by_length in zip(categories, lengths):
+        for keyword in {k for k in keywords if k}:
+            by_length.setdefault(len(token_runs(keyword)), []).append(keyword)
+    every = [k for by_length in lengths for keywords in by_length.values() for k in keywords]
+    if not lengths:
+        return docs.selectExpr("model", "0 AS index", "0L AS hits", "0L AS texts").limit(0)
+    rows = docs.selectExpr("model", f"{_starts(every) if every else 'array()'} AS starts")
+    # A null text has no starts.
+    counted = rows.selectExpr("model", *[
+        f"greatest(coalesce({_hits(by_length)}, 0), 0) AS h{i}" for i, by_length in enumerate(lengths)])
+    sums = counted.groupBy("model").agg(*[
+        F.expr(f"{how}) AS {name}{i}") for i in range(len(lengths))
+        for how, name in ((f"sum(h{i}", "hits"), (f"count_if(h{i} > 0", "texts"))])
+    entries = (f"named_struct('index', {i}, 'hits', hits{i}, 'texts', texts{i})" for i in range(len(lengths)))
+    return sums.selectExpr("model", f"inline(array({', '.join(entries)}))")

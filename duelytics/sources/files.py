@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types a
 
 from duelytics import schemas
 from duelytics.operators.cleaning import arena_row_id
+from duelytics.sources.quoted import read_quoted_table
 
 # Columns of the two catalogue files.
 ARTWORK_COLUMNS = ["Auteur", "Domaine", "Periode_de_creation", "Region", "Nom_officiel_musee"]
@@ -64,9 +65,11 @@ def read_text_table(
 ) -> DataFrame:
     """A delimited file or folder, every column as string; damaged fields are kept as they are.
 
-    Files are read in splits.  With quoted line breaks in the fields `multi_line=True` is needed,
-    which reads each file in one task.
+    Files are read in splits, with `multi_line=True` also where fields hold quoted line breaks, which takes
+    further scans.
     """
+    if multi_line:
+        return read_quoted_table(spark, path, separator)
     return (
         spark.read.option("sep", separator)
         .option("header", True)
@@ -74,7 +77,6 @@ def read_text_table(
         .option("mode", "PERMISSIVE")
         .option("quote", '"')
         .option("escape", '"')
-        .option("multiLine", multi_line)
         .option("encoding", "UTF-8")
         .csv(path)
     )
