@@ -67,6 +67,9 @@ CHECK_CATALOGUE = {
     },
 }
 
+#: Second category of the text duels, in turn; two of the three are cultural.
+TOPICS = ["Musées et patrimoine", "Sport", "Théâtre"]
+
 
 def spread_small(df: DataFrame, *keys: str) -> DataFrame:
     """Give every core a part of a table smaller than one split per core, as the given ones are."""
@@ -218,6 +221,7 @@ def text_duels(spark: SparkSession, sf_dir: str) -> DataFrame:
         lines, lambda x: F.concat(F.lit("{'role': 'user', 'content': '"), x, F.lit("'}"))
     )
     listed = F.array_join(quoted, ", ")
+    topic = F.get(F.array(*[F.lit(name) for name in TOPICS]), (F.pmod(key, F.lit(len(TOPICS)))).cast("int"))
     return documents(spark, sf_dir).select(
         key.alias("duel_id"),
         pool_name(key).alias("model_a_name"),
@@ -230,7 +234,7 @@ def text_duels(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.concat(F.lit("["), listed, F.lit("]")))
         .alias("transcript"),
         text.alias("opening_msg"),
-        F.array("source").alias("categories"),
+        F.array("source", topic).alias("categories"),
         F.split(F.lower(text), " ").alias("keywords"),
         F.array("lang").alias("languages"),
         F.col("source").alias("visitor_id"),

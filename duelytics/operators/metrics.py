@@ -414,15 +414,28 @@ def badges(
 def price_per_token(models: DataFrame, prices: DataFrame) -> DataFrame:
     """Completion price of each model from a list (position, id, completion).
 
-    A price row belongs to a family when its lower-cased id contains it.  The containment is an
-    equi-join on the whole name: an id is taken apart into the pieces that are as long as some
-    family name, and no piece that is not a name finds a partner.
+    A price row belongs to a family when its lower-cased id contains it.  Rows are first summed up by
+    id, of which there are few.  The containment is an equi-join on the whole name: an id is taken
+    apart into the pieces that are as long as some family name, and no piece that is not a name finds a
+    partner.
     All versions: mean of the parseable prices, free when they are all zero.  One version: the
     first row whose id holds the version as well.
     """
     wanted = models.withColumns({"name": F.lower("family"), "tag": F.lower("version")})
     lengths = wanted.agg(F.collect_set(F.length("name")).alias("lengths")).scalar()
-    ids = prices.withColumns({"id": F.lower("id"), "lengths": lengths})
+    raw = F.coalesce(F.nullif(F.btrim("completion"), F.lit("")), F.lit("0"))
+    by_id = (
+        prices.select("position", F.lower("id").alias("id"), raw.try_cast("double").alias("value"))
+        .groupBy("id")
+        .agg(
+            F.sum("value").alias("total"),
+            F.count("value").alias("n"),
+            F.count_if(F.col("value") != 0).alias("paid"),
+            F.min_by("value", "position").alias("first"),
+            F.min("position").alias("position"),
+        )
+    )
+    ids = by_id.withColumn("lengths", lengths)
 
     def cut(length: Column) -> Column:
         starts = F.sequence(F.lit(1), F.greatest(F.length("id") - length + 1, F.lit(1)))
@@ -431,17 +444,12 @@ def price_per_token(models: DataFrame, prices: DataFrame) -> DataFrame:
     pieces = F.array_distinct(F.flatten(F.transform("lengths", cut)))
     by_piece = ids.select("*", F.explode(pieces).alias("name")).drop("lengths")
     all_versions = F.col("version") == ALL_VERSIONS
-    raw = F.coalesce(F.nullif(F.btrim("completion"), F.lit("")), F.lit("0"))
-    hits = (
-        by_piece.join(wanted, "name")
-        .filter(all_versions | F.contains("id", "tag"))
-        .withColumn("value", raw.try_cast("double"))
-    )
+    hits = by_piece.join(wanted, "name").filter(all_versions | F.contains("id", "tag"))
     sums = hits.groupBy(*MODEL).agg(
-        F.sum("value").alias("total"),
-        F.count("value").alias("n"),
-        F.count_if(F.col("value") != 0).alias("paid"),
-        F.min_by("value", "position").alias("first"),
+        F.sum("total").alias("total"),
+        F.sum("n").alias("n"),
+        F.sum("paid").alias("paid"),
+        F.min_by("first", "position").alias("first"),
     )
     mean = F.coalesce(round_even(ratio(F.col("total"), F.col("n")), 6), F.lit(0.0))
     return sums.select(

@@ -55,6 +55,11 @@ def read_arena(spark: SparkSession, path: str) -> DataFrame | None:
     return arena_row_id(read_parquet(spark, path)) if path_exists(spark, path) else None
 
 
+def read_duels(spark: SparkSession, path: str) -> DataFrame | None:
+    """The cleaned arena table without ids, for filters, verdicts and tags: a plain scan."""
+    return read_parquet(spark, path) if path_exists(spark, path) else None
+
+
 def read_scores(spark: SparkSession, path: str) -> DataFrame:
     """The stored bias scores; a missing table has no models."""
     return read_or_empty(spark, path, schemas.BIAS_SCORES)

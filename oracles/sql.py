@@ -102,6 +102,7 @@ FROM duels JOIN lineitem ON l_orderkey = duel_id"""
 CTES["text_duels"] = f"""
 SELECT doc_id AS duel_id, {pool('doc_id')} AS model_a_name,
   {pool('doc_id * 7 + n_chars')} AS model_b_name, source, lang, "text",
+  ['Musées et patrimoine', 'Sport', 'Théâtre'][doc_id % 3 + 1] AS topic,
   len(string_split("text", chr(10))) AS conv_turns
 FROM documents"""
 
@@ -790,7 +791,7 @@ def statements() -> dict[str, str]:
         # Corpus
         "cultural_filter": (
             'SELECT duel_id, "text" AS opening_msg FROM text_duels WHERE'
-            f" regexp_matches(source, {text(stem_pattern().replace('iu', 'i'))}) OR"
+            f" regexp_matches(source || ' ' || topic, {text(stem_pattern().replace('iu', 'i'))}) OR"
             f" regexp_matches(lower(\"text\"), {text(stem_pattern().replace('iu', 'i'))})"
         ),
         "conv_text": (
@@ -998,7 +999,7 @@ def needed(statement: str, ctes: dict[str, str]) -> list[str]:
 def bias_job_tables() -> dict[str, str]:
     """All tables, with the cultural duels' documents as the corpus."""
     stems = text(stem_pattern().replace("iu", "i"))
-    cultural = f'(regexp_matches(source, {stems}) OR regexp_matches(lower("text"), {stems}))'
+    cultural = f'(regexp_matches(source || \' \' || topic, {stems}) OR regexp_matches(lower("text"), {stems}))'
     corpus = f"""
 SELECT * FROM (
   SELECT base_model_a AS model, duel_id AS doc_id, lower(replace("text", chr(10), ' ')) AS "text"
