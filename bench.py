@@ -47,6 +47,7 @@ class CleanedTables(registry.Tables):
     votes = property(lambda self: self.stored("vot"))
     react = property(lambda self: self.stored("react"))
     arena = property(lambda self: files.read_arena(self.spark, f"{self.cleaned}/arena.parquet"))
+    arena_path = property(lambda self: f"{self.cleaned}/arena.parquet")
     arena_rows = property(lambda self: files.read_duels(self.spark, f"{self.cleaned}/arena.parquet"))
 
 

@@ -167,15 +167,15 @@ def arena_row_id(arena: DataFrame) -> DataFrame:
     """Consecutive `arena_id` from 0 in file order, for a table as it is read from its files.
 
     A row's place is its file and its index in it, which no retry changes; the shifts are the rows
-    of the files in front.  Files are counted without reading a column, and one pair of numbers for
-    each file (13 MB for 100 TB in files of 128 MB) is broadcast, so no row of the table moves.
+    of the files in front.  Files are counted without reading a column.  The shifts are a pair of numbers
+    for each file, which Spark broadcasts while they are small, so no row of the table moves.
     """
     file = F.xxhash64("_metadata.file_path")
     files = arena.groupBy(F.col("_metadata.file_path").alias("_path")).agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(W.orderBy("_path")) - F.col("_n")
     shifts = files.select(F.xxhash64("_path").alias("_file"), before.alias("_shift"))
     placed = arena.select("*", file.alias("_own"), F.col("_metadata.row_index").alias("_row"))
-    return placed.join(F.broadcast(shifts), F.col("_own") == F.col("_file")).select(
+    return placed.join(shifts, F.col("_own") == F.col("_file")).select(
         *arena.columns, (F.col("_shift") + F.col("_row")).alias("arena_id")
     )
 

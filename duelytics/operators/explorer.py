@@ -142,22 +142,23 @@ def preview(message: Column, length: int = PREVIEW) -> Column:
 def explore_list(filtered: DataFrame, n: int = LISTED) -> DataFrame:
     """The first `n` duels by `arena_id` and, on each row, how many there are in all."""
     total = filtered.agg(F.count("*").alias("n")).scalar()
-    return (
-        filtered.orderBy("arena_id")
-        .limit(n)
-        .select(
-            "arena_id",
-            preview(F.col("opening_msg")).alias("preview"),
-            "base_model_a",
-            "version_a",
-            "base_model_b",
-            "version_b",
-            "conv_turns",
-            F.coalesce("selected_category", F.lit("")).alias("category"),
-            F.coalesce(F.date_format("timestamp", "yyyy-MM-dd"), F.lit("")).alias("day"),
-            verdict().alias("verdict"),
-        )
-        .withColumn("total", total)
+    return listed(filtered.orderBy("arena_id").limit(n).withColumn("total", total))
+
+
+def listed(duels: DataFrame) -> DataFrame:
+    """What a list shows of each duel, from rows with `arena_id` and `total`."""
+    return duels.select(
+        "arena_id",
+        preview(F.col("opening_msg")).alias("preview"),
+        "base_model_a",
+        "version_a",
+        "base_model_b",
+        "version_b",
+        "conv_turns",
+        F.coalesce("selected_category", F.lit("")).alias("category"),
+        F.coalesce(F.date_format("timestamp", "yyyy-MM-dd"), F.lit("")).alias("day"),
+        verdict().alias("verdict"),
+        "total",
     )
 
 

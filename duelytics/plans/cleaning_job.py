@@ -7,6 +7,7 @@ import argparse
 from pyspark.sql import SparkSession
 
 from duelytics.operators import cleaning
+from duelytics.sources.arena import write_offsets
 from duelytics.sources.files import path_exists, read_parquet, write_parquet
 
 
@@ -16,7 +17,8 @@ def run(
     """Clean whichever of reactions, conversations and votes exist under `source`.
 
     Each output is one lazy plan from scan to write.  The vote key stays in the arena table, the
-    conversation key in the bias table; `sources.read_arena` numbers the arena's rows.
+    conversation key in the bias table; `sources.files.read_arena` numbers the arena's
+    rows, and the offsets of its files are stored beside them for `sources.arena`.
     """
 
     jobs = {
@@ -46,6 +48,8 @@ def run(
         for output, build in builds.items():
             write_parquet(build(raw, names), f"{target}/{output}.parquet")
             written.append(output)
+            if output == "arena":
+                write_offsets(spark, f"{target}/{output}.parquet")
     return written
 
 

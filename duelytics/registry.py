@@ -18,7 +18,7 @@ from duelytics.operators import (
 from duelytics.plans import bias_job, cleaning_job
 from duelytics.plans.bias_job import bias_pairs, reference, score
 from duelytics.session import new_folder
-from duelytics.sources import files
+from duelytics.sources import arena, files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -62,13 +62,18 @@ class Tables:
     @property
     def arena(self) -> DataFrame:
         """Written in the order of days and numbered as it is read."""
+        return files.read_arena(self.spark, self.arena_path)
+
+    @cached_property
+    def arena_path(self) -> str:
         day = F.coalesce(F.to_date("timestamp"), F.to_date(F.lit("1970-01-01")))
         cut = F.substring(F.md5(F.col("duel_id").cast("string")), 1, 3)
         path = scratch(self)
         files.write_parquet(
             cleaning.build_arena(self.duels, "duel_id", self.names).orderBy(day, cut, "duel_id"), path
         )
-        return files.read_arena(self.spark, path)
+        arena.write_offsets(self.spark, path)
+        return path
 
     @property
     def arena_rows(self) -> DataFrame:
@@ -534,15 +539,16 @@ def explorer_queries() -> dict[str, Callable[[Tables], DataFrame]]:
         "filter_turns": lambda t: arena_keys(explorer.filter_turns(t.arena_rows, "2-3")),
         "filter_turns_1": lambda t: arena_keys(explorer.filter_turns(t.arena_rows, "1")),
         "filter_turns_4": lambda t: arena_keys(explorer.filter_turns(t.arena_rows, "4+")),
-        "explore_list": lambda t: explorer.explore_list(
-            explorer.explore(t.arena, m1=m1, categories=CATEGORIES, turns="4+")
-        ),
+        "explore_list": lambda t: explorer.listed(arena.first_duels(
+            t.spark, t.arena_path,
+            lambda duels: explorer.explore(duels, m1=m1, categories=CATEGORIES, turns="4+"),
+        )),
         "verdict": lambda t: arena_keys(t.arena_rows)
         .withColumn("verdict", explorer.verdict())
         .select("duel_id", "verdict"),
-        "explore_detail": lambda t: explorer.explore_detail(t.arena, DETAIL_ID).select(
-            "arena_id", "duel_id", "base_model_a", "base_model_b", "opening_msg", "verdict"
-        ),
+        "explore_detail": lambda t: explorer.explore_detail(
+            arena.read_duel(t.spark, t.arena_path, DETAIL_ID), DETAIL_ID
+        ).select("arena_id", "duel_id", "base_model_a", "base_model_b", "opening_msg", "verdict"),
         "parse_transcript": lambda t: transcripts(t).select(
             "duel_id", F.posexplode(parse_transcript(F.col("transcript"))).alias("pos", "m")
         ).select("duel_id", "pos", "m.role", "m.content"),
