@@ -2,16 +2,20 @@
 
 One `contains` or regular expression per name reads every text once per name.  Keywords are whole words,
 so a text is cut into words once and all lists look at the words in hashed sets.  Names may begin and
-end inside words; one automaton over all of them reads a text once.
+end inside words and be any number; they are found by their rarest gram, in a join.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from duelytics.session import stored
+
+GRAM, PIECE, FILTER_BITS = 5, 10_000, 1 << 20
 TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+"
 
 
@@ -19,43 +23,54 @@ def is_word(char: str) -> bool:
     return char.isalnum() or char == "_"
 
 
-def names_in_texts(docs: DataFrame, lists: Mapping[str, Sequence[str]]) -> DataFrame:
-    """Distinct (model, kind, name) such that a text of the model contains the name.
+def gram_index(names: DataFrame, size: int = GRAM) -> DataFrame:
+    """kind, name, gram, offset: each name filed under the one of its grams (strings of `size` characters)
+    that the fewest names have. A shorter name is its own gram."""
+    own = names.select("kind", "name").distinct()
+    grams = own.select("kind", "name", F.expr(
+        f"posexplode(if(length(name) <= {size}, array(name), regexp_extract_all(name, '(?s)(?=(.{{{size}}})).', 1)))"
+        " AS (offset, gram)"))
+    shared = grams.groupBy(F.col("gram").alias("g")).agg(F.count("*").alias("n"))
+    return grams.join(shared, F.col("gram") == F.col("g")).groupBy("kind", "name").agg(
+        F.min(F.struct("n", "gram", "offset")).alias("rarest")).select("kind", "name", "rarest.gram", "rarest.offset")
+
+
+def names_in_texts(docs: DataFrame, names: DataFrame, size: int = GRAM) -> DataFrame:
+    """Distinct (model, kind, name) such that a text of the model contains a name of `names` (kind, name).
 
-    `lists` maps a kind to its names.  Each task emits a triple the first time it meets it, so
-    the shuffle carries at most models × names rows per task.
+    Names are filed under their rarest gram. Texts are cut into overlapping pieces, and of the grams of a
+    piece only those go on that a map of `FILTER_BITS` bits does not rule out, with the few characters
+    around them. They meet the names in a join on the gram, and the characters decide. So nothing but the
+    map, whose size is fixed, travels with the tasks, however many names there are; with so many names that
+    it rules out little, more grams go through the join.
     """
-    wanted = {kind: list(names) for kind, names in lists.items()}
-
-    def match(batches):
-        import ahocorasick
-        import pyarrow as pa
-
-        kinds: dict[str, list[str]] = {}
-        for kind, names in wanted.items():
-            for name in names:
-                kinds.setdefault(name, []).append(kind)
-        automaton = ahocorasick.Automaton()
-        for name in kinds:
-            automaton.add_word(name, name)
-        automaton.make_automaton()
-        seen = set()
-        for batch in batches:
-            found = []
-            for model, text in zip(batch.column("model").to_pylist(), batch.column("text")):
-                if not kinds or not text.is_valid:
-                    continue
-                new = {(model, name) for _, name in automaton.iter(text.as_py())} - seen
-                seen |= new
-                found += [(model, kind, name) for model, name in new for kind in kinds[name]]
-            if found:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(column, pa.string()) for column in zip(*found)],
-                    ["model", "kind", "name"],
-                )
-
-    schema = "model string, kind string, name string"
-    return docs.select("model", "text").mapInArrow(match, schema).distinct()
+    index = stored(gram_index(names, size), "grams")
+    place = f"pmod(xxhash64(gram), {FILTER_BITS})"
+    words = index.selectExpr(f"{place} AS bit").groupBy(F.expr("bit div 64").alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 AS int))")).alias("bits"))
+    bits = [0] * (FILTER_BITS // 64)
+    for row in words.collect():  # at most FILTER_BITS / 64 rows
+        bits[row["word"]] = row["bits"]
+    longest, furthest, sizes = index.agg(
+        F.max(F.length("name")), F.max("offset"), F.collect_set(F.length("gram"))).head()
+    nothing = docs.selectExpr("model", "'' AS kind", "'' AS name").limit(0)
+    out = None
+    for n in sorted(x for x in sizes if x):  # one size, unless there are names shorter than a gram
+        pieces = docs.selectExpr("model", f"""explode(transform(
+            sequence(0, greatest(0, length(text) - 1) div {PIECE}),
+            k -> substring(text, k * {PIECE} + 1, {PIECE + longest + furthest}))) AS piece""")
+        known = F.from_json(F.lit(json.dumps(bits)), "array<bigint>")
+        marked = pieces.withColumn("map", known).selectExpr("model", f"""explode(filter(transform(
+            regexp_extract_all(piece, '(?s)(?=(.{{{n}}})).', 1),
+            (gram, i) -> if((shiftright(map[cast({place} div 64 AS int)], cast({place} % 64 AS int)) & 1L) = 1L,
+                named_struct('gram', gram, 'before', least(i, {furthest}), 'around', substring(
+                    piece, greatest(i - {furthest}, 0) + 1, {furthest + longest})), NULL)),
+            hit -> hit IS NOT NULL)) AS hit""").select("model", "hit.*")
+        met = marked.join(index.where(F.length("gram") == n), "gram").where(
+            "before >= offset AND substring(around, before - offset + 1, length(name)) = name")
+        found = met.select("model", "kind", "name")
+        out = found if out is None else out.unionByName(found)
+    return nothing if out is None else out.distinct()
 
 
 def token_runs(text: str) -> list[str]:

@@ -20,9 +20,7 @@ from duelytics.functions.numeric import round_even
 from duelytics.functions.ranking import most_frequent
 from duelytics.functions.text import clean_text, keyword_pattern
 from duelytics.operators.metrics import ratio
-
-
-MOST_NAMES = 100_000
+from duelytics.session import stored
 
 
 def reference_counts(df: DataFrame, columns: Mapping[str, tuple[str, Dictionary]]) -> DataFrame:
@@ -69,10 +67,7 @@ def top_names(
     df: DataFrame, column: str, min_length: int, k: int = MAX_NAMES, split: str | None = None
 ) -> DataFrame:
     """(name, n): the `k` most frequent names of at least `min_length` characters, in name order
-    on ties.  With `split`, a value holds several names.  The names travel with the tasks that look
-    for them, so `k` is at most `MOST_NAMES`."""
-    if k > MOST_NAMES:
-        raise ValueError(f"at most {MOST_NAMES} names")
+    on ties.  With `split`, a value holds several names."""
     value = clean_text(F.col(column))
     names = df.select(value.alias("v")).filter(F.col("v").isNotNull())
     if split is not None:
@@ -97,21 +92,22 @@ def top_venues(venues: DataFrame, k: int = MAX_NAMES) -> DataFrame:
 def coverages(docs: DataFrame, names: Mapping[str, tuple[DataFrame, float]]) -> DataFrame:
     """(model, kind, matched, coverage): how many names of each list occur in a model's texts.
 
-    `names` maps a kind to a result of `top_names` (at most k rows, read here to travel with the
-    tasks) and its factor.  All lists share one pass over the texts.  Models without a match are
-    kept with 0.
+    `names` maps a kind to a result of `top_names` and its factor.  All lists share one pass over the
+    texts.  Models without a match are kept with 0.
     """
-    listed = {
-        kind: [row["name"] for row in table.select("name").collect()]
-        for kind, (table, _) in names.items()
-    }
+    listed = None
+    for kind, (table, _) in names.items():
+        own = table.select(F.lit(kind).alias("kind"), "name")
+        listed = own if listed is None else listed.unionByName(own)
+    listed = stored(listed, "names")
     found = names_in_texts(docs, listed).groupBy("model", "kind").agg(
         F.count("*").alias("matched")
     )
+    sizes = {row["kind"]: row["count"] for row in listed.groupBy("kind").count().collect()}  # a row a list
     fulls = [
         F.struct(
             F.lit(kind).alias("kind"),
-            F.lit(float(max(len(listed[kind]) * factor, 1))).alias("full"),
+            F.lit(float(max(sizes.get(kind, 0) * factor, 1))).alias("full"),
         )
         for kind, (_, factor) in names.items()
     ]

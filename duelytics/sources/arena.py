@@ -85,4 +85,4 @@ def first_duels(
         rows = part if rows is None else rows.unionByName(part)
     if rows is None:
         rows = keep(table.withColumn("arena_id", F.lit(0).cast("long"))).limit(0)
-    return rows.orderBy("arena_id").limit(n).withColumn("total", F.lit(total))
+    return rows.orderBy("arena_id").limit(n).withColumn("total", F.lit(total).cast("long"))

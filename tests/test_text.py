@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -5,6 +6,7 @@ from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from duelytics.dictionaries import CONVERSATION_SIDE, keyword_set
+from duelytics.functions import matching
 from duelytics.functions.matching import keyword_hits, names_in_texts
 from duelytics.functions.numeric import round_even
 from duelytics.functions.text import (
@@ -60,9 +62,32 @@ def test_keyword_counts_have_zero_rows(spark):
 def test_names_are_substrings(spark, rows):
     docs = spark.createDataFrame(
         [("m", "le durandal"), ("m", "durand"), ("n", "vinci, léonard"), ("n", None)], "model string, text string")
-    out = names_in_texts(docs, {"x": ["durand", "vinci"], "y": ["vinci", "absent"]})
+    out = names_in_texts(docs, listed(spark, {"x": ["durand", "vinci"], "y": ["vinci", "absent"]}))
     assert rows(out, "model", "kind", "name") == [("m", "x", "durand"), ("n", "x", "vinci"), ("n", "y", "vinci")]
-    assert names_in_texts(docs, {"x": []}).count() == 0
+    assert names_in_texts(docs, listed(spark, {"x": []})).count() == 0
+
+
+def listed(spark, lists):
+    return spark.createDataFrame([(k, n) for k, names in lists.items() for n in names], "kind string, name string")
+
+
+def test_names_across_pieces_and_beyond_the_basic_plane(spark, rows, monkeypatch):
+    monkeypatch.setattr(matching, "PIECE", 7)
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("ab𝒜é \n'", k=rng.randint(0, 60))) for _ in range(80)]
+    names = {t[i : i + n] for t in texts for i, n in [(rng.randrange(60), rng.randint(1, 12)) for _ in range(4)]}
+    names = sorted(x for x in names if x) + ["absent name", "a'b'a'b'a'b"]
+    docs = spark.createDataFrame([(str(i % 9), t) for i, t in enumerate(texts)], "model string, text string")
+    expected = {(str(i % 9), "k", n) for i, t in enumerate(texts) for n in names if n in t}
+    assert rows(names_in_texts(docs, listed(spark, {"k": names})), "model", "kind", "name") == sorted(expected, key=repr)
+
+
+def test_more_names_than_the_map_can_tell_apart(spark, rows):
+    docs = spark.createDataFrame([("m", "xx name 00017 and name 149999, name 15000")], "model string, text string")
+    names = spark.range(150_000).selectExpr("'k' AS kind", "format_string('name %05d', id) AS name")
+    expected = {f"name {i:05d}" for i in range(150_000)}
+    text = "xx name 00017 and name 149999, name 15000"
+    assert rows(names_in_texts(docs, names), "name") == sorted(((n,) for n in expected if n in text), key=repr)
 
 
 def test_keyword_set_is_the_union():
