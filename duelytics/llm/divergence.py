@@ -14,7 +14,6 @@ its memory is bounded by these numbers. Entries are counts of at most the terms
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 
 import numpy as np
@@ -23,39 +22,43 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from duelytics.llm.store import stored
 
-TERM = re.compile("[^\x00-\x40\x5b-\x60\x7b-\x7f]+")
-LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
+# Bytes of a text as UTF-8: A-Z in lower case, a-z and everything beyond ASCII as it is, the rest a space.
+TO_TERMS = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256)).lower()
 MIN_DOCS, SMOOTHING, SCALE, SHOWN = 30, 5, 1_000_000_000, 50
 TERMS, SOURCES, COLUMNS = 2048, 16, 1024
-HELD = 200_000  # counts a task adds up before it hands them on
+HELD = 400_000  # counts a task adds up before it hands them on
 
 
-def term_counts(docs: DataFrame) -> DataFrame:
+def term_counts(docs: DataFrame, held: int = HELD) -> DataFrame:
     """lang, source, term, n, docs: occurrences and rows with the term, in parts that add up."""
 
     def work(batches):
-        counts: Counter = Counter()
-        rows: Counter = Counter()
+        counts: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+        distinct = 0
 
         def flushed():
-            keys = list(counts)
-            out = pa.RecordBatch.from_arrays(
-                [pa.array([k[i] for k in keys], pa.string()) for i in range(3)]
-                + [pa.array([c[k] for k in keys], pa.int64()) for c in (counts, rows)],
-                names=["lang", "source", "term", "n", "docs"])
+            for (lang, source), (n, rows) in counts.items():
+                terms = list(n)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.repeat(pa.scalar(lang, pa.string()), len(terms)), pa.repeat(pa.scalar(source, pa.string()), len(terms)),
+                     pa.array(terms, pa.binary()).cast(pa.string()), pa.array(list(n.values()), pa.int64()),
+                     pa.array([rows[t] for t in terms], pa.int64())],
+                    names=["lang", "source", "term", "n", "docs"])
             counts.clear()
-            rows.clear()
-            return out
 
         for batch in batches:
             langs, sources = (batch.column(c).to_pylist() for c in ("lang", "source"))
             for lang, source, text in zip(langs, sources, batch.column("text")):
-                for term, n in Counter(TERM.findall((text.as_py() or "").translate(LOWER))).items():
-                    counts[lang, source, term] += n
-                    rows[lang, source, term] += 1
-                if len(counts) >= HELD:
-                    yield flushed()
-        yield flushed()
+                terms = (text.as_py() or "").encode("utf-8", "replace").translate(TO_TERMS).split()
+                n, rows = counts.setdefault((lang, source), (Counter(), Counter()))
+                distinct -= len(n)
+                n.update(terms)
+                rows.update(set(terms))
+                distinct += len(n)
+                if distinct >= held:
+                    yield from flushed()
+                    distinct = 0
+        yield from flushed()
 
     return docs.mapInArrow(work, "lang string, source string, term string, n long, docs long")
 
@@ -154,9 +157,11 @@ def distances(cells: DataFrame, groups: DataFrame, terms: int, sources: int) ->
         work, "lang string, a long, b long, value long, seen long")
     summed = parts.groupBy("lang", "a", "b").agg(F.sum("value").alias("value"), F.sum("seen").alias("seen"))
     # A pair of different blocks was met once, a pair within a block twice.
-    both = summed.union(summed.where(F.floor(F.col("a") / sources) != F.floor(F.col("b") / sources)).select(
-        "lang", F.col("b").alias("a"), F.col("a").alias("b"), "value", "seen"))
-    return both.where("a <> b")
+    there, back = F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))
+    within = F.floor(F.col("a") / sources) == F.floor(F.col("b") / sources)
+    return summed.where("a <> b").select(
+        "lang", F.explode(F.when(within, F.array(there)).otherwise(F.array(there, back))).alias("pair"), "value", "seen"
+    ).select("lang", "pair.*", "value", "seen")
 
 
 def audit(docs: DataFrame, min_docs: int = MIN_DOCS, shown: int = SHOWN, terms: int = TERMS,

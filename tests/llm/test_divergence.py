@@ -2,7 +2,10 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from duelytics.llm import divergence
 from tests.llm.helpers import words
@@ -57,16 +60,33 @@ def test_as_by_plain_loops(spark, options):
     assert sorted(map(tuple, found.collect())) == sorted(expected(rows, 5, 3))
 
 
-def test_many_levels_in_slices(spark, monkeypatch):
+def test_many_levels(spark):
     rng = random.Random(2)
     rows = [("en", f"s{k}", " ".join(w for w in "abcdefghijklmnop" for _ in range(rng.randint(0, 40))))
             for k in range(9) for _ in range(6)]
-    monkeypatch.setattr(divergence, "COLUMNS", 7)
-    monkeypatch.setattr(divergence, "HELD", 5)
     df = spark.createDataFrame(rows, SCHEMA)
+    counts = divergence.term_counts(df.repartition(1), held=20)
+    assert counts.count() > 9 * 16  # handed on in parts
+    assert {(r.source, r.term): r.n for r in counts.groupBy("source", "term").agg(F.sum("n").alias("n")).collect()} == {
+        (s, w): n for s in {s for _, s, _ in rows} for w, n in Counter(
+            " ".join(t for _, own, t in rows if own == s).split()).items()}
     assert sorted(map(tuple, divergence.audit(df, min_docs=3).collect())) == sorted(expected(rows, 3, 50))
 
 
+def test_slices_of_columns(monkeypatch):
+    rng = random.Random(6)
+    rows = [(k // 4, k, 100 + k, f"t{t}", n, 1000 * n + k) for k in range(8) for t in range(50) for n in [rng.randint(0, 30)] if n]
+    table = pa.table(dict(zip(["side", "number", "zero", "term", "n", "p"], map(list, zip(*rows)))))
+    whole = divergence.joint_values(table)
+    monkeypatch.setattr(divergence, "COLUMNS", 7)
+    cut = divergence.joint_values(table)
+    assert all(np.array_equal(x, y) for x, y in zip(whole, cut))
+    level = {(k, t): p for _, k, _, t, _, p in rows}
+    for a, b, value in zip(*whole[:3]):
+        assert value == sum(abs(level.get((a, f"t{t}"), 100 + a) - level.get((b, f"t{t}"), 100 + b)) for t in range(50)
+                            if any((k, f"t{t}") in level for k in range(8)))
+
+
 def test_large_counts_stay_exact(spark):
     df = spark.createDataFrame([(3_000_000_000_000_000, 7_000_000_000_000_001, 123_456)], "n long, total long, kept long")
     value = df.select(divergence.share(df.n, df.total, df.kept)).head()[0]
