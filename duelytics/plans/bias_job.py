@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from duelytics.constants import ARTIST_FACTOR, MAX_DOCS, VENUE_FACTOR
 from duelytics.dictionaries import CATALOGUE_SIDE, CONVERSATION_SIDE, DictionarySet, keyword_set
 from duelytics.operators import bias, catalogue, corpus, tfidf
-from duelytics.session import stored
+from duelytics.session import stored, temporary
 from duelytics.sources.files import read_artworks, read_parquet, read_venues, write_parquet
 
 
@@ -96,9 +96,10 @@ def run(
     for keyword counts, for names, for terms and three times for the models alone.  Each catalogue
     is read twice: for its distributions and for its most frequent names.
     """
-    docs = stored(prepare_docs(read_parquet(spark, bias_conv), doc_id, max_docs), "docs")
-    tables = read_artworks(spark, artworks, multi_line), read_venues(spark, venues, multi_line)
-    write_parquet(bias.encode_scores(score(docs, *tables, *dictionaries)), output)
+    with temporary(spark):
+        docs = stored(prepare_docs(read_parquet(spark, bias_conv), doc_id, max_docs), "docs")
+        tables = read_artworks(spark, artworks, multi_line), read_venues(spark, venues, multi_line)
+        write_parquet(bias.encode_scores(score(docs, *tables, *dictionaries)), output)
 
 
 if __name__ == "__main__":

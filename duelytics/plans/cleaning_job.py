@@ -7,8 +7,10 @@ import argparse
 from pyspark.sql import SparkSession
 
 from duelytics.operators import cleaning
+from duelytics.session import temporary
 from duelytics.sources.arena import write_offsets
-from duelytics.sources.files import path_exists, read_parquet, write_parquet
+from duelytics.sources.files import path_exists, read_parquet
+from duelytics.sources.publish import publishing
 
 
 def run(
@@ -16,7 +18,8 @@ def run(
 ) -> list[str]:
     """Clean whichever of reactions, conversations and votes exist under `source`.
 
-    Each output is one lazy plan from scan to write.  The vote key stays in the arena table, the
+    Each output is one lazy plan from scan to write; all of them take their places together at the end, so
+    the folder never holds tables of two runs.  The vote key stays in the arena table, the
     conversation key in the bias table; `sources.files.read_arena` numbers the arena's
     rows, and the offsets of its files are stored beside them for `sources.arena`.
     """
@@ -39,17 +42,18 @@ def run(
         ),
     }
     written = []
-    for table, (columns, builds) in jobs.items():
-        path = f"{source}/{table}.parquet"
-        if not path_exists(spark, path):
-            continue
-        raw = read_parquet(spark, path)
-        names = cleaning.name_table(raw, columns)
-        for output, build in builds.items():
-            write_parquet(build(raw, names), f"{target}/{output}.parquet")
-            written.append(output)
-            if output == "arena":
-                write_offsets(spark, f"{target}/{output}.parquet")
+    with temporary(spark), publishing(spark, target) as job:
+        for table, (columns, builds) in jobs.items():
+            path = f"{source}/{table}.parquet"
+            if not path_exists(spark, path):
+                continue
+            raw = read_parquet(spark, path)
+            names = cleaning.name_table(raw, columns)
+            for output, build in builds.items():
+                staged = job.write(build(raw, names), f"{output}.parquet")
+                written.append(output)
+                if output == "arena":
+                    write_offsets(spark, staged)
     return written
 
 

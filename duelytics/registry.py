@@ -13,7 +13,7 @@ from duelytics.dictionaries import CONVERSATION_SIDE, keyword_set
 from duelytics.functions.naming import family_of, family_stem, version_of
 from duelytics.functions.text import clean_text, keyword_pattern, parse_transcript
 from duelytics.operators import (
-    bias, catalogue, cleaning, corpus, explorer, metrics, tfidf, trends,
+    audience, bias, catalogue, cleaning, corpus, explorer, metrics, tfidf, trends,
 )
 from duelytics.plans import bias_job, cleaning_job
 from duelytics.plans.bias_job import bias_pairs, reference, score
@@ -165,6 +165,18 @@ def prices(t: Tables) -> DataFrame:
     return metrics.price_per_token(metrics.model_versions(t.conv), t.raw("prices"))
 
 
+def sketched(t: Tables) -> DataFrame:
+    """The exact audience, and whether the estimate from stored monthly sketches is as close as stated."""
+    path = scratch(t)
+    files.write_parquet(audience.sketches(t.conv), path)
+    near = audience.estimated(files.read_parquet(t.spark, path))
+    off = F.abs(F.col("estimate") - F.col("visitors"))
+    return metrics.audience(t.conv).join(near, metrics.MODEL, "left").select(
+        *metrics.MODEL, "visitors",
+        F.coalesce(off <= F.ceil(audience.MOST_OFF * F.col("visitors")), F.lit(False)).alias("close"),
+    )
+
+
 def stem(t: Tables) -> DataFrame:
     return names(t).withColumn("stem", family_stem(F.col("name")))
 
@@ -341,6 +353,7 @@ def metric_queries() -> dict[str, Callable[[Tables], DataFrame]]:
         "vote_count": lambda t: metrics.conv_count(t.votes),
         "param_size": lambda t: metrics.param_size(t.conv),
         "audience": lambda t: metrics.audience(t.conv),
+        "audience_sketch": sketched,
         "winrate": lambda t: metrics.winrate(t.votes),
         "ranking": lambda t: metrics.ranking(
             metrics.winrate(t.votes), metrics.model_structure(t.conv)

@@ -5,10 +5,16 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_open: ContextVar[list[str] | None] = ContextVar("stored_paths", default=None)
+
+
 def local_session(cores: int = 8, shuffle_partitions: int | None = None) -> SparkSession:
     return (
         SparkSession.builder.master(f"local[{cores}]")
@@ -49,5 +55,22 @@ def stored(df: DataFrame, name: str = "stored") -> DataFrame:
     """The rows written once as Parquet and read back.  Unlike a checkpoint the files tell Spark
     their size, so that it can choose how to join them."""
     path = new_folder(df.sparkSession, name)
+    if (paths := _open.get()) is not None:
+        paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Tables that `stored` writes inside go at the end, also after an error.  For jobs that have written their
+    results by then; a table that is returned unread must not be stored inside."""
+    before = _open.set([])
+    try:
+        yield
+    finally:
+        paths = _open.get()
+        _open.reset(before)
+        for path in paths:
+            location = spark._jvm.org.apache.hadoop.fs.Path(path)
+            location.getFileSystem(spark._jsc.hadoopConfiguration()).delete(location, True)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types a
 
 from duelytics import schemas
 from duelytics.operators.cleaning import arena_row_id
+from duelytics.sources.publish import publish
 from duelytics.sources.quoted import read_quoted_table
 
 # Columns of the two catalogue files.
@@ -128,7 +129,8 @@ def write_prices(prices: DataFrame, path: str, rows: int = PRICES_PER_FILE) -> N
 
 
 def write_parquet(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").parquet(path)
+    """Write or replace a table; one that is there stays until the new one is complete."""
+    publish(df, path)
 
 
 def write_text_table(df: DataFrame, path: str, separator: str) -> None:

@@ -743,6 +743,7 @@ def statements() -> dict[str, str]:
         ),
         "param_size": "SELECT * FROM param_size",
         "audience": metric("visitors"),
+        "audience_sketch": f"SELECT *, true AS close FROM ({metric('visitors')})",
         "winrate": "SELECT * FROM winrate",
         "ranking": (
             "SELECT *, (n - position + 1)::double / n AS progress FROM (SELECT family, winrate,"
