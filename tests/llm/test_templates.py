@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,7 +84,7 @@ def test_template_of_a_host_without_article_elements(spark):
 def test_fixed_lines_and_slot_are_deduced(spark):
     rows = spark.createDataFrame([("g", k, soup(k)) for k in range(6)], "group string, page long, html string")
     found = templates.deduced(rows).head()
-    assert found.different == 6 and found.slot.endswith("div.stuff")
+    assert found.different == 6 and found.slot is None and found.chrome is None
     paths = {"My Site": "top", "All rights reserved": "low", "Most read": "side/p"}
     assert set(found.wording) == {
         templates.line_token(templates.Line(f"/html/body/div.{path}", False, False, text)) for text, path in paths.items()}
@@ -129,7 +131,7 @@ def test_all_slots_of_all_layouts_are_main_text(spark):
         assert got[k] == (f"Title {k}\nlead {k}\nmany more words of section {k}\nand more {k}\nsecond part {k}\nsource {k}")
     for k in range(9):
         assert got[100 + k] == f"entry {k}\ncell {k}\nwords of cell {k}"
-    assert got[300] == "Short\ntext\nlink"
+    assert got[300] == "Short\ntext"     # the same on small hosts
 
 
 def test_articles_do_not_stand_for_the_template(spark):
@@ -145,3 +147,105 @@ def test_articles_do_not_stand_for_the_template(spark):
         for k in range(n):
             assert got[100 * n + k] == f"Title {k}\nText {k} of its own\nsource {k}"
     assert all(got[k] == "one text" for k in range(4))
+
+
+KEPT = ["share-prices", "header-story", "related-work", "banner", "notice-of-meeting", "comment-analysis"]
+
+
+@pytest.mark.parametrize("name", KEPT)
+def test_names_alone_take_no_text_out_of_an_article(name):
+    html = f'<article><div class="{name}"><p>Paragraph of the article.</p></div><p>End.</p></article>'
+    assert main_text(html) == "Paragraph of the article.\nEnd."
+    assert main_text(html.replace("article>", "section>")) == "Paragraph of the article.\nEnd."
+
+
+def test_a_listed_name_counts_where_the_pages_agree(spark):
+    def page(k, notice):
+        return (f'<body><div class=content><h1>Title {k}</h1><div class="banner"><p>{notice}</p></div><p>Text {k} of its own</p>'
+                f'<div class="related"><a>other {k}</a></div></div></body>')
+
+    # Three notices in turn, too rare for the wording; on the other host what stands there is of the page.
+    rows = [(k, "http://turns.example/", page(k, f"notice {k % 3}")) for k in range(30)]
+    rows += [(100 + k, "http://own.example/", page(k, f"summary of page {k}")) for k in range(30)]
+    got = {r.page_id: r.text for r in templates.extract(pages(spark, rows)).collect()}
+    for k in range(30):
+        assert got[k] == f"Title {k}\nText {k} of its own"
+        assert got[100 + k] == f"Title {k}\nsummary of page {k}\nText {k} of its own"
+
+
+def test_lines_of_links_by_one_rule_at_every_host_size(spark):
+    def page(k):
+        return (f"<body><div class=words><p>words {k}</p></div><div class=zz><ul><li><a>link {k}</a></ul></div>"
+                f"<div class=mixed>{f'note {k}' if k % 2 else ''} <p><a>source {k}</a></p></div></body>")
+
+    rows = [(100 * n + k, f"http://host{n}.example/", page(2 * k + 1)) for n in (1, 2, 3, 12) for k in range(n)]
+    rows += [(9000 + k, "http://host20.example/", page(k)) for k in range(20)]
+    got = {r.page_id: r.text for r in templates.extract(pages(spark, rows), least=3).collect()}
+    for n in (1, 2, 3, 12):
+        for k in range(n):
+            assert "link" not in got[100 * n + k] and got[100 * n + k].endswith(f"note {2 * k + 1}\nsource {2 * k + 1}")
+    # A slot of the host stays one on its pages with links alone.
+    assert got[9000] == "words 0\nsource 0"
+
+
+def brute_force(pages_of, least):
+    """wording and chrome of one group from plain occurrence vectors over its different pages."""
+    shapes = {html: templates.outline(read(html)) for html in pages_of if html}
+    found = {html: templates.page_tokens(shape) for html, shape in shapes.items()}
+    found = {html: t for html, t in found.items() if t}
+    wording = set()
+    for layout in {shapes[h].layout for h in found}:
+        held = [h for h in found if shapes[h].layout == layout]
+        support = {}
+        for kind, token in {t for h in held for t in found[h]}:
+            if kind in ("element", "line"):
+                support[kind, token] = sum((kind, token) in found[h] for h in held)
+        fixed = {t for t, n in support.items() if n >= least and n >= templates.SHARE * len(held)}
+        wording |= {token for kind, token in fixed if kind == "line" and ("element", token.split("\n")[0]) in fixed}
+    doubted = {}
+    for tokens in found.values():
+        for (kind, token), (n, words) in tokens.items():
+            if kind == "doubted":
+                doubted.setdefault(token, []).append(words)
+    paths = {}
+    for token, words in doubted.items():
+        count = paths.setdefault(token.split("\n")[0], [0, 0])
+        if any(words):
+            count[0] += len(words)
+            count[1] += len(words) if len(words) >= least else 0
+    return wording, {path for path, (n, again) in paths.items() if 2 * again > n or not n}
+
+
+def test_deduction_against_brute_force(spark):
+    rng = random.Random(7)
+
+    def page():
+        parts = []
+        for name in ("top", "banner", "content", "sidebar", "low"):
+            if rng.random() < 0.93:
+                texts = [rng.choice(["fixed", "fixed", f"turn {rng.randrange(3)}", f"own {rng.random()}"]) for _ in range(2)]
+                texts[0] = "fixed" if name in ("top", "low") else texts[0]
+                parts.append(f"<div class={name}>" + "".join(f"<p>{t}</p>" for t in texts) + "<a>more</a></div>")
+        article = "<article><p>text</p></article>" if rng.random() < 0.5 else ""
+        return f"<body>{''.join(parts)}{article}</body>" if parts else ""
+
+    groups = {f"g{n}": [page() for _ in range(n)] * 2 + ["", None] for n in (1, 3, 5, 40)}
+    rows = [(g, hash(html), html) for g, htmls in groups.items() for html in htmls]
+    df = spark.createDataFrame(rows, "group string, page long, html string").repartition(5)
+    got = {r.group: r for r in templates.deduced(df).collect()}
+    for g, htmls in groups.items():
+        wording, chrome = brute_force(htmls, templates.LEAST_PAGES)
+        assert set(got[g].wording or ()) == wording
+        assert set((got[g].chrome or "").split("\n")) - {""} == chrome
+    assert any(got[g].wording for g in got) and any(got[g].chrome for g in got)
+
+
+def test_elements_beside_an_article_go_where_their_lines_recur(spark):
+    def page(k):
+        return (f"<body><div class=zz>Turn {k % 3} of it</div><div class=caption><h1>Title {k}</h1></div>"
+                f"<article><p>Text {k}</p><div class=zz>Turn {k % 3} of it</div></article></body>")
+
+    rows = [(k, "http://turns.example/", page(k)) for k in range(30)]
+    for listed in (True, False):
+        got = {r.page_id: r.text for r in templates.extract(pages(spark, rows), listed=listed).collect()}
+        assert all(got[k] == f"Title {k}\nText {k}\nTurn {k % 3} of it" for k in range(30))
