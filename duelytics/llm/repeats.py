@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from duelytics.llm.run_index import LIMIT, earliest
-from duelytics.llm.store import discard, new_folder, stored
+from duelytics.llm.store import discard, new_folder, remove, stored
 from duelytics.llm.words import mix
 
 LENGTH, GRAM = 100, 24
@@ -329,16 +329,23 @@ def dedup(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
                        F.octet_length("text").cast("long").alias("n_bytes"),
                        F.when(F.octet_length("text") < LENGTH, F.sha2("text", 256)).alias("short"))
     firsts = stored(keys.groupBy("t1", "t2").agg(F.min("doc").alias("first"), F.count("*").alias("rows")), "texts")
+    # Rows that repeat an id and its text become one here and take its result at the end.
+    repeated = stored(keys.groupBy("doc", "t1", "t2").agg(F.count("*").alias("n")).where("n > 1").select(
+        F.col("doc").alias("of"), F.col("t1").alias("by")).distinct(), "repeated")
+    known = (F.col("doc") == F.col("of")) & (F.col("t1") == F.col("by"))
     # Distinct texts, saved once by document: three joins with what is found out about them follow.
     name, buckets = f"texts_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
     distinct = rows.join(
         firsts.select(F.col("first").alias("f"), F.col("t1").alias("h")).distinct(),
         (F.col("doc") == F.col("f")) & (F.col("t1") == F.col("h")), "left_semi")
+    distinct = distinct.join(repeated, known, "left_anti").unionByName(
+        distinct.join(repeated, known, "left_semi").dropDuplicates(["doc", "t1"]))
+    folder = new_folder(spark, "texts")
     (distinct.write.bucketBy(buckets, "doc", "t1").sortBy("doc", "t1").option("compression", "zstd")
-     .option("path", new_folder(spark, "texts")).saveAsTable(name))
+     .option("path", folder).saveAsTable(name))
     texts = spark.table(name)
-    spans = stored(removed_spans(texts.select("doc", "t1", "text"), crowd), "spans")
-    spans = spans.groupBy(F.col("doc").alias("d"), F.col("t1").alias("t")).agg(
+    marked = stored(removed_spans(texts.select("doc", "t1", "text"), crowd), "spans")
+    spans = marked.groupBy(F.col("doc").alias("d"), F.col("t1").alias("t")).agg(
         F.collect_set(F.struct("low", "high")).alias("spans"))
 
     def kept(batches):
@@ -355,16 +362,22 @@ def dedup(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
             columns = list(zip(*out)) if out else [[]] * 4
             types = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, types))],
-                names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
-    own = texts.join(spans, (F.col("doc") == F.col("d")) & (F.col("t1") == F.col("t")), "left").select(
-        "doc_id", "text", "spans").mapInArrow(
-        kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+                [*(batch.column(c) for c in ("doc", "t1", "doc_id")), *(pa.array(c, t) for c, t in zip(columns, types))],
+                names=["doc", "t1", *result])
+
+    result = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    own = stored(texts.join(spans, (F.col("doc") == F.col("d")) & (F.col("t1") == F.col("t")), "left").select(
+        "doc", "t1", "doc_id", "text", "spans").mapInArrow(
+        kept, "doc long, t1 long, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"), "kept")
+    spark.sql(f"DROP TABLE {name}")
+    remove(spark, folder)
+    discard(marked)
+    lone = own.join(repeated, known, "left_anti").select(*result)
+    many = own.join(repeated, known, "left_semi").drop("doc_id").join(keys.select("doc_id", "doc", "t1"), ["doc", "t1"]).select(*result)
     # Later copies of a text: all of it stands earlier, or nothing when it is too short.
     whole = F.col("n_bytes") >= LENGTH
     copies = keys.join(firsts.where("rows > 1"), ["t1", "t2"]).where("doc <> first").select(
         "doc_id", "n_bytes", F.when(whole, F.col("n_bytes")).otherwise(F.lit(0).cast("long")).alias("n_removed"),
         F.when(whole, F.lit(1)).otherwise(F.lit(0)).cast("long").alias("n_spans"),
         F.coalesce("short", F.sha2(F.lit(""), 256)).alias("kept_sha256"))
-    return own.unionByName(copies)
+    return lone.unionByName(many).unionByName(copies)

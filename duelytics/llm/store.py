@@ -21,7 +21,8 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder made by `new_folder`."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
@@ -42,4 +43,4 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Delete stored tables that nothing reads any more."""
     for df in tables:
-        _delete(df.sparkSession, df._stored_at)
+        remove(df.sparkSession, df._stored_at)

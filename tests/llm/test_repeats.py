@@ -123,6 +123,17 @@ def test_repeated_rows_and_no_rows(spark, rows):
     assert repeats.dedup(documents(spark, [])).count() == 0
 
 
+def test_a_row_repeated_some_thousand_times_is_one_text(spark):
+    rng = random.Random(3)
+    passage, other = prose(rng, 60), prose(rng, 30)
+    rows = [(5, f"{other} {passage}")] * 3000 + [(None, f"{passage} x")] * 7 + [(6, f"{passage} {other}"), (8, f"{other} {passage}")]
+    rows += [(9, "short")] * 20 + [(5, "other text of one id")]
+    before = {t.name for t in spark.catalog.listTables()}
+    got = repeats.dedup(documents(spark, rows).repartition(7)).collect()
+    assert sorted(map(tuple, got), key=repr) == expected(rows)
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
 def test_long_text_goes_in_segments(spark):
     rng = random.Random(2)
     text = prose(rng, 60_000)
