@@ -308,7 +308,7 @@ def cleaning_queries() -> dict[str, Callable[[Tables], DataFrame]]:
             "duel_id", "chosen_model_name", "chosen_base_model", "chosen_version"
         ),
         "reaction_side": lambda t: t.raw("reactions")
-        .transform(cleaning.normalize_models)
+        .transform(cleaning.normalize_models, t.names)
         .transform(cleaning.reaction_side)
         .select("id", "msg_rank", "model_pos", "model", "version"),
         "prune_reactions": lambda t: cleaning.prune_reactions(t.raw("reactions")),

@@ -1,4 +1,4 @@
-from duelytics import schemas
+from duelytics import registry, schemas
 from duelytics.constants import ARENA_COLUMNS
 from duelytics.operators import cleaning
 from duelytics.plans import cleaning_job
@@ -103,3 +103,17 @@ def test_job_writes_what_exists(spark, tmp_path):
     assert set(ARENA_COLUMNS) <= set(arena.columns)
     assert files.read_arena(spark, f"{target}/arena.parquet").first().arena_id == 0
     assert files.read_arena(spark, f"{target}/none.parquet") is None
+
+
+def test_reactions_normalize_each_name_once(spark, rows, monkeypatch):
+    """The query looks names up; before, some sixty regular expressions ran on every reaction."""
+    data = [(1, 1, "gpt-4o-mini", "claude-3-5-sonnet-v2", "a", 2), (1, 2, "gpt-4o-mini", "claude-3-5-sonnet-v2", "b", 2),
+            (2, 1, None, "gpt-4o-mini", "b", 1), (3, 1, "gpt-4o-mini", "12", "a", 1), (4, 1, "gpt-4o-mini", "phi-4", None, 1),
+            (5, 1, "phi-4", "phi-4", "a", 0), (1, 1, "gpt-4o-mini", "claude-3-5-sonnet-v2", "a", 2)]
+    reactions = spark.createDataFrame(
+        data, "id long, msg_rank long, model_a_name string, model_b_name string, model_pos string, conv_turns long")
+    monkeypatch.setattr(registry.Tables, "raw", lambda self, name: {"reactions": reactions, "duel_names": reactions}[name])
+    out = registry.queries()["reaction_side"](spark, "")
+    assert "regexp_replace" not in out._jdf.queryExecution().optimizedPlan().toString()
+    expected = reactions.transform(cleaning.normalize_models).transform(cleaning.reaction_side)
+    assert rows(out) == rows(expected.select(*out.columns)) and out.count() >= 4
