@@ -14,6 +14,7 @@ from duelytics.constants import (
     TOP_DISCRIMINANTS,
 )
 from duelytics.functions.ranking import most_frequent
+from duelytics.functions.terms import BUCKETS, bucket_totals, counts_in_buckets, spaced
 from duelytics.functions.text import WORD
 from duelytics.session import stored
 
@@ -43,6 +44,39 @@ def term_counts(docs: DataFrame) -> DataFrame:
     )
 
 
+#: Buckets looked at first, for each term of the vocabulary; few terms may occur in a middling number of models.
+TRIED = 16
+
+
+def frequent_term_counts(
+    docs: DataFrame,
+    max_features: int = TFIDF_MAX_FEATURES,
+    min_df: int = TFIDF_MIN_DF,
+    max_df: float = TFIDF_MAX_DF,
+) -> DataFrame:
+    """(model, term, tf), stored: the rows of `term_counts` for every term that the vocabulary may hold.
+
+    Terms whose bucket stays under a cut are not counted.  As soon as `max_features` terms that reach the
+    cut fit the limits on models, no other term is among the most frequent ones.  Otherwise the cut is set
+    lower, at last to 1, with which every term is counted.  The texts are cut at what is no word once and stored.
+    """
+    texts = stored(spaced(docs), "texts")
+    totals = stored(bucket_totals(texts), "buckets")
+    models = docs.agg(F.count_distinct("model")).first()[0]
+    wanted = TRIED * max_features
+    while True:
+        cut = 1
+        if wanted < BUCKETS:
+            cut = most_frequent(totals, "total", "bucket", wanted).agg(F.min("total")).first()[0] or 1
+        counts = stored(counts_in_buckets(texts, totals.filter(F.col("total") >= cut)), "terms")
+        terms = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
+        fit = (F.col("df") >= min_df) & (F.col("df") <= max_df * models)
+        found = terms.filter(fit & (F.col("total") >= cut)).count()
+        if cut == 1 or found >= max_features:
+            return counts
+        wanted = min(BUCKETS, wanted * max(8, 2 * max_features // found) if found else BUCKETS)
+
+
 def tfidf_vocabulary(
     docs: DataFrame,
     counts: DataFrame | None = None,
@@ -52,7 +86,8 @@ def tfidf_vocabulary(
 ) -> DataFrame:
     """(term, df, total, models): the most frequent terms that occur in neither too few nor too
     many models; `models` is the number of models."""
-    counts = term_counts(docs) if counts is None else counts
+    if counts is None:
+        counts = frequent_term_counts(docs, max_features, min_df, max_df)
     models = docs.agg(F.count_distinct("model").alias("n")).scalar()
     terms = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
     kept = terms.filter((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df) * models))
@@ -64,7 +99,7 @@ def tfidf_weights(docs: DataFrame, **limits) -> DataFrame:
 
     The vocabulary is capped at `max_features`, so it can be broadcast.
     """
-    counts = term_counts(docs)
+    counts = frequent_term_counts(docs, **limits)
     vocabulary = tfidf_vocabulary(docs, counts, **limits)
     smooth = F.log((F.col("models") + 1).cast("double") / (F.col("df") + 1)) + 1.0
     raw = counts.join(F.broadcast(vocabulary), "term").withColumn("raw", F.col("tf") * smooth)

@@ -1,4 +1,5 @@
 import math
+import random
 import re
 from collections import Counter
 
@@ -210,3 +211,31 @@ def test_whole_job(spark, tmp_path):
     assert rows["gpt"].periods["Moyen Âge"].ia == 100.0 and rows["gpt"].periods["Moyen Âge"].ref == 50.0
     assert rows["gpt"].regions["Île-de-France"].ia == 66.7
     assert rows["gpt"].types["Musées"].ref == 50.0
+
+
+def test_rare_terms_are_not_counted(spark):
+    """Words that occur once are as many as there are words; they and their pairs take no row of the counts."""
+    rng = random.Random(5)
+    texts = [(f"m{i % 7 if i % 3 else 0}", " ".join(
+        [rng.choice(["le musée", "é à", "du 5 soir", "_x9 l'art", "ÉTÉ\nété", f"mot{rng.randrange(40)}"]) for _ in range(30)]
+        + [f"seul{i}n{k}" for k in range(60)])) for i in range(120)] + [("m1", None), ("m2", ""), (None, "le musée")]
+    docs = spark.createDataFrame(texts, "model string, text string").repartition(5)
+    limits = {"max_features": 10, "min_df": 2, "max_df": 0.95}
+    every, few = tfidf.term_counts(docs), tfidf.frequent_term_counts(docs, **limits)
+    assert few.count() < every.count() / 4
+    assert few.exceptAll(every).count() == 0
+    order = [F.desc("total"), "term"]
+    expected = tfidf.tfidf_vocabulary(docs, every, **limits).orderBy(*order).collect()
+    assert len(expected) == 10 and tfidf.tfidf_vocabulary(docs, **limits).orderBy(*order).collect() == expected
+
+
+def test_all_terms_are_counted_when_few_fit(spark):
+    docs = spark.createDataFrame(DOCS + [("e", "a bb 7 ccc  dd"), (None, "bb")], "model string, text string")
+    every = tfidf.term_counts(docs).collect()
+    assert sorted(tfidf.frequent_term_counts(docs, max_features=1, min_df=99).collect(), key=repr) == sorted(every, key=repr)
+
+
+def test_keywords_inside_words_do_not_count(spark):
+    df = spark.createDataFrame([("Lande",), ("la  lande",), ("l'art",), (None,), ("c++x",)], "v string")
+    out = catalogue.reference_counts(df, {"v": ("d", {"x": ["la"], "y": ["art", "land"], "z": ["++", "zz"]})})
+    assert {r.category: r.hits for r in out.collect()} == {"x": 1, "y": 1, "z": 1}
