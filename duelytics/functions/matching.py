@@ -7,15 +7,16 @@ end inside words and be any number; they are found by their rarest gram, in a jo
 
 from __future__ import annotations
 
-import json
 import re
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from duelytics.session import stored
 
-GRAM, PIECE, FILTER_BITS = 5, 10_000, 1 << 20
+GRAM, PIECE, FILTER_BITS, HELD = 8, 1 << 17, 1 << 20, 20_000
 TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+"
 
 
@@ -24,53 +25,96 @@ def is_word(char: str) -> bool:
 
 
 def gram_index(names: DataFrame, size: int = GRAM) -> DataFrame:
-    """kind, name, gram, offset: each name filed under the one of its grams (strings of `size` characters)
+    """kind, name, gram, offset: each name filed under the one of its grams (strings of `size` bytes)
     that the fewest names have. A shorter name is its own gram."""
-    own = names.select("kind", "name").distinct()
-    grams = own.select("kind", "name", F.expr(
-        f"posexplode(if(length(name) <= {size}, array(name), regexp_extract_all(name, '(?s)(?=(.{{{size}}})).', 1)))"
-        " AS (offset, gram)"))
+    own = names.select("kind", "name").distinct().where("name <> ''")
+    grams = own.selectExpr("kind", "name", f"""posexplode(transform(
+        sequence(1, greatest(1, octet_length(name) - {size - 1})), i -> substring(cast(name AS binary), i, {size})))
+        AS (offset, gram)""")
     shared = grams.groupBy(F.col("gram").alias("g")).agg(F.count("*").alias("n"))
     return grams.join(shared, F.col("gram") == F.col("g")).groupBy("kind", "name").agg(
         F.min(F.struct("n", "gram", "offset")).alias("rarest")).select("kind", "name", "rarest.gram", "rarest.offset")
 
 
+def _places(grams: np.ndarray) -> np.ndarray:
+    """Places in the map of grams, which are numbers of up to eight bytes."""
+    return (grams * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - FILTER_BITS.bit_length() + 1)).astype(np.int64)
+
+
+def _gram_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        grams = [int.from_bytes(gram, "little") for gram in batch.column("gram").to_pylist()]
+        place = _places(np.array(grams, np.uint64)).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(place)], [*batch.schema.names, "place"])
+
+
+def _grams_at(data: np.ndarray, size: int) -> np.ndarray:
+    """The `size` bytes from each byte on as one number; behind the last come zeros."""
+    grams = np.concatenate([data, np.zeros(7, np.uint8)]).astype(np.uint64)
+    for n in (1, 2, 4):
+        grams = grams[:-n] | grams[n:] << np.uint64(8 * n)
+    return grams if size == 8 else grams & np.uint64((1 << 8 * size) - 1)
+
+
 def names_in_texts(docs: DataFrame, names: DataFrame, size: int = GRAM) -> DataFrame:
     """Distinct (model, kind, name) such that a text of the model contains a name of `names` (kind, name).
 
-    Names are filed under their rarest gram. Texts are cut into overlapping pieces, and of the grams of a
-    piece only those go on that a map of `FILTER_BITS` bits does not rule out, with the few characters
-    around them. They meet the names in a join on the gram, and the characters decide. So nothing but the
-    map, whose size is fixed, travels with the tasks, however many names there are; with so many names that
-    it rules out little, more grams go through the join.
+    Names are filed under their rarest gram, at most eight bytes. Texts are looked at as bytes, and of their
+    grams only those go on that a map of `FILTER_BITS` bits does not rule out, with as many bytes around them
+    as names in this part of the map need. They meet the names in a join on the gram, and the bytes decide. So
+    nothing but the map and its reaches, whose sizes are fixed, travel with the tasks, however many names there
+    are; with so many names that it rules out little, more grams go through the join.
     """
-    index = stored(gram_index(names, size), "grams")
-    place = f"pmod(xxhash64(gram), {FILTER_BITS})"
-    words = index.selectExpr(f"{place} AS bit").groupBy(F.expr("bit div 64").alias("word")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 AS int))")).alias("bits"))
-    bits = [0] * (FILTER_BITS // 64)
+    index = stored(gram_index(names, size).mapInArrow(
+        _gram_places, "kind string, name string, gram binary, offset int, place int"), "grams")
+    words = index.groupBy(F.expr("place div 64").alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, place % 64)")).alias("bits"),
+        F.max("offset").alias("before"), F.max(F.expr("octet_length(name) - offset")).alias("behind"))
+    bits, reach = np.zeros(FILTER_BITS // 64, "<i8"), np.zeros((2, FILTER_BITS // 64), np.int32)
     for row in words.collect():  # at most FILTER_BITS / 64 rows
-        bits[row["word"]] = row["bits"]
-    longest, furthest, sizes = index.agg(
-        F.max(F.length("name")), F.max("offset"), F.collect_set(F.length("gram"))).head()
-    nothing = docs.selectExpr("model", "'' AS kind", "'' AS name").limit(0)
-    out = None
-    for n in sorted(x for x in sizes if x):  # one size, unless there are names shorter than a gram
-        pieces = docs.selectExpr("model", f"""explode(transform(
-            sequence(0, greatest(0, length(text) - 1) div {PIECE}),
-            k -> substring(text, k * {PIECE} + 1, {PIECE + longest + furthest}))) AS piece""")
-        known = F.from_json(F.lit(json.dumps(bits)), "array<bigint>")
-        marked = pieces.withColumn("map", known).selectExpr("model", f"""explode(filter(transform(
-            regexp_extract_all(piece, '(?s)(?=(.{{{n}}})).', 1),
-            (gram, i) -> if((shiftright(map[cast({place} div 64 AS int)], cast({place} % 64 AS int)) & 1L) = 1L,
-                named_struct('gram', gram, 'before', least(i, {furthest}), 'around', substring(
-                    piece, greatest(i - {furthest}, 0) + 1, {furthest + longest})), NULL)),
-            hit -> hit IS NOT NULL)) AS hit""").select("model", "hit.*")
-        met = marked.join(index.where(F.length("gram") == n), "gram").where(
-            "before >= offset AND substring(around, before - offset + 1, length(name)) = name")
-        found = met.select("model", "kind", "name")
-        out = found if out is None else out.unionByName(found)
-    return nothing if out is None else out.distinct()
+        bits[row["word"]], reach[:, row["word"]] = row["bits"], (row["before"], row["behind"])
+    sizes = sorted(index.agg(F.collect_set(F.octet_length("gram"))).first()[0])
+    known, step = bits.tobytes(), PIECE
+
+    def work(batches):
+        listed = np.unpackbits(np.frombuffer(known, np.uint8), bitorder="little").astype(bool)
+        for batch in batches:
+            texts = batch.column("text")
+            _, borders, content = texts.buffers()
+            borders = np.frombuffer(borders, np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+            content = memoryview(content)[: borders[-1]] if content else b""
+            data = np.frombuffer(content, np.uint8)
+            models = batch.column("model").to_pylist()
+            hits = set()
+            for low in range(int(borders[0]), len(data), step):
+                for n in sizes:
+                    places = _places(_grams_at(data[low : low + step + n - 1], n)[:step])
+                    at = np.flatnonzero(listed[places])
+                    before, behind = reach[:, places[at] // 64].astype(np.int64)
+                    at += low
+                    text = np.searchsorted(borders, at, "right") - 1
+                    inside = at + n <= borders[text + 1]
+                    start = np.maximum(at - before, borders[text])
+                    end = np.minimum(at + behind, borders[text + 1])
+                    hits.update(
+                        (models[t], bytes(content[i : i + n]), i - a, bytes(content[a:b]))
+                        for t, i, a, b in zip(*(x[inside].tolist() for x in (text, at, start, end))))
+                if len(hits) >= HELD:
+                    yield handed_on(hits)
+                    hits.clear()
+            if hits:
+                yield handed_on(hits)
+
+    def handed_on(hits):
+        kinds = (pa.string(), pa.binary(), pa.int32(), pa.binary())
+        columns = [pa.array(column, kind) for column, kind in zip(zip(*hits), kinds)]
+        return pa.RecordBatch.from_arrays(columns, ["model", "gram", "before", "around"])
+
+    texts = docs.select("model", F.col("text").cast("binary").alias("text")).where("text IS NOT NULL")
+    marked = texts.mapInArrow(work, "model string, gram binary, before int, around binary")
+    return marked.join(index, "gram").where(
+        "before >= offset AND substring(around, before - offset + 1, octet_length(name)) = cast(name AS binary)"
+    ).select("model", "kind", "name").distinct()
 
 
 def token_runs(text: str) -> list[str]:

@@ -160,3 +160,12 @@ def test_round_even(spark):
     got = [r[0] for r in df.select(round_even(F.col("x"), 0)).collect()]
     assert got == [2.0, 4.0, -2.0, 0.0, 0.0, 1e9] and str(got[3]) == "0.0"
     assert spark.range(1).select(round_even(F.lit(0.125), 2)).first()[0] == round(0.125, 2)
+
+
+def test_name_search_hands_on_little(spark, tmp_path):
+    """A long name elsewhere in the list must not widen what goes with every gram of a text."""
+    docs = spark.range(50).selectExpr("'m' AS model", "concat('x', id, repeat(' vieux louvre du soir', 200)) AS text")
+    found = names_in_texts(docs, listed(spark, {"k": ["vieux louvre", "long name " * 500]}))
+    plan = found._jdf.queryExecution().analyzed().toString()
+    assert "MapInArrow" in plan and "regexp_extract_all" not in plan
+    assert [(r["name"], r.kind, r.model) for r in found.collect()] == [("vieux louvre", "k", "m")]
