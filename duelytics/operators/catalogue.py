@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from duelytics.constants import (
     ARTIST_FACTOR,
@@ -37,7 +38,7 @@ def reference_counts(df: DataFrame, columns: Mapping[str, tuple[str, Dictionary]
     ]
     counts = texts.agg(
         *[
-            F.count_if(F.rlike(column, F.lit(keyword_pattern(keywords)))).alias(f"c{i}")
+            F.count_if(mentions_any(column, keywords)).alias(f"c{i}")
             for i, (column, *_, keywords) in enumerate(cells)
         ]
     )
@@ -53,6 +54,13 @@ def reference_counts(df: DataFrame, columns: Mapping[str, tuple[str, Dictionary]
     return counts.select(F.inline(F.array(*rows)))
 
 
+def mentions_any(column: str, keywords: Sequence[str]) -> Column:
+    """Whether a text holds one of the keywords as whole words.  The pattern, which looks at what stands in front of
+    each character, is tried only on texts that have one as a plain substring, which is far cheaper to see."""
+    within = reduce(lambda a, b: a | b, [F.contains(F.col(column), F.lit(k)) for k in keywords])
+    return within & F.rlike(column, F.lit(keyword_pattern(keywords)))
+
+
 def distribution(counts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Hits → percent of all hits of the dictionary, one decimal; all zero when there are none.
 
