@@ -177,33 +177,42 @@ def forest(x: np.ndarray, x_label: np.ndarray, y: np.ndarray, y_label: np.ndarra
     return np.concatenate(a or none), np.concatenate(b or none)
 
 
-def _compared(visits: DataFrame, distance: int, crowd: int) -> DataFrame:
-    """a, b: edges between the labels of fingerprints that meet at an anchor."""
-    visits = stored(visits, "visits")
-    held = visits.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
-    met = visits.join(held.select(F.col("anchor").alias("at"), F.ceil(F.col("n") / crowd).alias("blocks")),
-                      F.col("anchor") == F.col("at")).withColumn("block", F.pmod(F.xxhash64("print"), "blocks"))
+def _dealt(visits: DataFrame, crowd: int) -> DataFrame:
+    """anchor, low, high, second, print, label: what meets in a task.
+
+    A visit stands once, whether its anchor has others or not, so that rows grow with the fingerprints; only at
+    anchors of more than `crowd` it stands once for every block. Those anchors are at most a `crowd`-th of the visits.
+    """
+    crowded = visits.groupBy(F.col("anchor").alias("at")).agg(F.ceil(F.count("*") / crowd).alias("n")).where("n > 1")
+    met = visits.join(F.broadcast(crowded), F.col("anchor") == F.col("at"), "left").withColumn(
+        "blocks", F.coalesce("n", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("print"), "blocks"))
     # A block meets itself and every other one; the first of a pair of blocks has the smaller number.
     pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda other: F.struct(
         F.least(F.col("block"), other).alias("low"), F.greatest(F.col("block"), other).alias("high")))
-    dealt = met.select("anchor", "print", "label", "block", F.explode(pairs).alias("q")).select(
+    return met.select("anchor", "print", "label", "block", F.explode(pairs).alias("q")).select(
         "anchor", "q.low", "q.high", (F.col("block") != F.col("q.low")).alias("second"), "print", "label")
 
+
+def _compared(visits: DataFrame, distance: int, crowd: int) -> DataFrame:
+    """a, b: edges between the labels of fingerprints that meet at an anchor."""
+    dealt = _dealt(stored(visits, "visits"), crowd)
+
     def work(batches):
         rest = [np.zeros(0, np.int64) for _ in range(6)]
 
         def linked(rows):
             anchor, low, high, second, own, label = rows
             cuts = np.flatnonzero((np.diff(anchor) != 0) | (np.diff(low) != 0) | (np.diff(high) != 0)) + 1
+            starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(own)]])
+            apart = np.logical_or.reduceat(label != np.repeat(label[starts], ends - starts), starts)
             found = []
-            for i, j in zip([0, *cuts], [*cuts, len(own)]):
-                if j - i > 1 and (label[i:j] != label[i]).any():
-                    k = i + np.searchsorted(second[i:j], 1)
-                    one = slice(i, k)
-                    other = one if low[i] == high[i] else slice(k, j)
-                    found.append(forest(own[one].view(_U), label[one], own[other].view(_U), label[other], distance))
-            ends = [np.concatenate(side) for side in zip(*found)] if found else [np.zeros(0, np.int64)] * 2
-            return pa.RecordBatch.from_arrays([pa.array(e) for e in ends], names=["a", "b"])
+            for i, j in zip(starts[apart].tolist(), ends[apart].tolist()):
+                k = i + np.searchsorted(second[i:j], 1)
+                one = slice(i, k)
+                other = one if low[i] == high[i] else slice(k, j)
+                found.append(forest(own[one].view(_U), label[one], own[other].view(_U), label[other], distance))
+            edges = [np.concatenate(side) for side in zip(*found)] if found else [np.zeros(0, np.int64)] * 2
+            return pa.RecordBatch.from_arrays([pa.array(e) for e in edges], names=["a", "b"])
 
         for batch in batches:
             columns = [c.cast(pa.int8()) if c.type == pa.bool_() else c for c in batch.columns]

@@ -79,6 +79,15 @@ def test_links_connect_as_all_pairs(spark):
     assert len(edges) < 4 * len(prints)  # no list of all pairs
 
 
+def test_rows_grow_with_the_fingerprints(spark):
+    rng = random.Random(5)
+    lone = spark.createDataFrame([(i, rng.getrandbits(62), i) for i in range(200)], "anchor int, print long, label long")
+    met = spark.createDataFrame([(i // 20, rng.getrandbits(62), i) for i in range(200)], lone.schema)
+    for visits in (lone, met):
+        assert anchors._dealt(visits, 20).count() == 200
+    assert anchors._dealt(met, 5).count() == 800  # four blocks
+
+
 def texts(rng):
     rows = []
     for i in range(120):
