@@ -17,7 +17,7 @@ from duelytics.operators import (
 )
 from duelytics.plans import bias_job, cleaning_job
 from duelytics.plans.bias_job import bias_pairs, reference, score
-from duelytics.session import new_folder
+from duelytics.session import new_folder, stored
 from duelytics.sources import arena, files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -84,12 +84,13 @@ class Tables:
     def corpus(self) -> DataFrame:
         return self.raw("corpus")
 
-    @property
+    @cached_property
     def pairs(self) -> DataFrame:
-        return bias_pairs(
+        """A few hundred rows from all texts and catalogues; reports and measures use them more than once."""
+        return stored(bias_pairs(
             self.corpus, self.raw("artworks"), self.raw("venues"),
             CHECK_DICTIONARIES, CHECK_CATALOGUE,
-        )
+        ))
 
     @property
     def artists(self) -> DataFrame:
