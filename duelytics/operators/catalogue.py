@@ -19,7 +19,7 @@ from duelytics.dictionaries import Dictionary
 from duelytics.functions.matching import names_in_texts
 from duelytics.functions.numeric import round_even
 from duelytics.functions.ranking import most_frequent
-from duelytics.functions.text import clean_text, keyword_pattern
+from duelytics.functions.text import clean_text, keyword_pattern, quote
 from duelytics.operators.metrics import ratio
 from duelytics.session import stored
 
@@ -55,10 +55,12 @@ def reference_counts(df: DataFrame, columns: Mapping[str, tuple[str, Dictionary]
 
 
 def mentions_any(column: str, keywords: Sequence[str]) -> Column:
-    """Whether a text holds one of the keywords as whole words.  The pattern, which looks at what stands in front of
-    each character, is tried only on texts that have one as a plain substring, which is far cheaper to see."""
+    """Whether a text holds one of the keywords as whole words.  The pattern looks at what stands in front of a
+    character only where it begins a keyword, and is tried only on texts that have one as a plain substring, which is
+    far cheaper to see."""
     within = reduce(lambda a, b: a | b, [F.contains(F.col(column), F.lit(k)) for k in keywords])
-    return within & F.rlike(column, F.lit(keyword_pattern(keywords)))
+    begins = "".join(quote(c) for c in sorted({k[0] for k in keywords}))
+    return within & F.rlike(column, F.lit(f"(?=[{begins}])(?:{keyword_pattern(keywords)})"))
 
 
 def distribution(counts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

@@ -6,8 +6,9 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from duelytics import schemas
+from duelytics import registry, schemas
 from duelytics.dictionaries import PERIODS_REF
+from duelytics.functions.text import keyword_pattern
 from duelytics.operators import bias, catalogue, tfidf
 from duelytics.plans import bias_job
 
@@ -74,6 +75,21 @@ def test_top_terms(docs):
         assert got[model][1] == sorted(known - set(used))
 
 
+def test_shares_are_counted_once(spark):
+    tables = registry.Tables(spark, "/root/testdata/sf0.001")
+    assert tables.pairs is tables.pairs
+    plan = tables.measures._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan and "RLIKE" not in plan  # texts and catalogues are not read for them again
+
+
+def test_edges_of_catalogue_keywords(spark):
+    texts = ["a-b", "xa-b", "[c", "x[c", "été", "pété", "d e", "d  e", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for keywords in (["a-b"], ["[c", "^", "]x"], ["été", "d e"], ["-b", "a-"]):
+        plain = df.select(F.rlike("t", F.lit(keyword_pattern(keywords)))).collect()
+        assert df.select(catalogue.mentions_any("t", keywords)).collect() == plain
+
+
 def test_reference_counts(spark):
     texts = ["Fin du 19e siècle, art nouveau", "20E SIÈCLE", None, "  ", "19e siècle", "romans"]
     df = spark.createDataFrame([(t,) for t in texts], "Periode_de_creation string")
