@@ -14,7 +14,7 @@ from duelytics.constants import (
     TOP_DISCRIMINANTS,
 )
 from duelytics.functions.ranking import most_frequent
-from duelytics.functions.terms import BUCKETS, bucket_totals, counts_in_buckets, spaced
+from duelytics.functions.terms import BUCKETS, counts_in_buckets, fitting_buckets, spaced
 from duelytics.functions.text import WORD
 from duelytics.session import stored
 
@@ -44,10 +44,6 @@ def term_counts(docs: DataFrame) -> DataFrame:
     )
 
 
-#: Buckets looked at first, for each term of the vocabulary; few terms may occur in a middling number of models.
-TRIED = 16
-
-
 def frequent_term_counts(
     docs: DataFrame,
     max_features: int = TFIDF_MAX_FEATURES,
@@ -56,25 +52,24 @@ def frequent_term_counts(
 ) -> DataFrame:
     """(model, term, tf), stored: the rows of `term_counts` for every term that the vocabulary may hold.
 
-    Terms whose bucket stays under a cut are not counted.  As soon as `max_features` terms that reach the
-    cut fit the limits on models, no other term is among the most frequent ones.  Otherwise the cut is set
-    lower, at last to 1, with which every term is counted.  The texts are cut at what is no word once and stored.
+    The hashes of all terms tell which fit the limits on models and reach the total of the `max_features`-th of those;
+    only terms that share a bucket with one of them are counted as strings.  If fewer terms fit, every term is
+    counted.  The texts are cut at what is no word once and stored.
     """
     texts = stored(spaced(docs), "texts")
-    totals = stored(bucket_totals(texts), "buckets")
     models = docs.agg(F.count_distinct("model")).first()[0]
-    wanted = TRIED * max_features
-    while True:
-        cut = 1
-        if wanted < BUCKETS:
-            cut = most_frequent(totals, "total", "bucket", wanted).agg(F.min("total")).first()[0] or 1
-        counts = stored(counts_in_buckets(texts, totals.filter(F.col("total") >= cut)), "terms")
+    fitting = stored(fitting_buckets(texts, max_features, min_df, max_df * models), "buckets")
+    cut = None
+    if fitting.count() >= max_features:
+        cut = most_frequent(fitting, "total", "bucket", max_features).agg(F.min("total")).first()[0]
+    if cut is not None:
+        counts = stored(counts_in_buckets(texts, fitting.filter(F.col("total") >= cut)), "terms")
         terms = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
         fit = (F.col("df") >= min_df) & (F.col("df") <= max_df * models)
-        found = terms.filter(fit & (F.col("total") >= cut)).count()
-        if cut == 1 or found >= max_features:
+        if terms.filter(fit & (F.col("total") >= cut)).count() >= max_features:
             return counts
-        wanted = min(BUCKETS, wanted * max(8, 2 * max_features // found) if found else BUCKETS)
+    every = docs.sparkSession.range(BUCKETS).select(F.col("id").alias("bucket"))
+    return stored(counts_in_buckets(texts, every), "terms")
 
 
 def tfidf_vocabulary(

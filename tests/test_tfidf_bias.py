@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from duelytics import registry, schemas
 from duelytics.dictionaries import PERIODS_REF
+from duelytics.functions import terms
 from duelytics.functions.text import keyword_pattern
 from duelytics.operators import bias, catalogue, tfidf
 from duelytics.plans import bias_job
@@ -245,6 +246,39 @@ def test_rare_terms_are_not_counted(spark):
     assert len(expected) == 10 and tfidf.tfidf_vocabulary(docs, **limits).orderBy(*order).collect() == expected
 
 
+def test_terms_of_all_models_do_not_widen_the_count(spark, monkeypatch):
+    """The most frequent terms are in all models; what the vocabulary takes is rarer and still counted in one pass."""
+    rng = random.Random(6)
+    texts = [(f"m{i % 8}", " ".join(
+        [f"tous{k}" for k in range(300)] + [f"né{(i % 8) // 2}é{k % 4}" for k in range(12)]
+        + [f"seul{rng.randrange(10**9)}" for _ in range(100)])) for i in range(64)] + [("m1", None), (None, "né0é1")]
+    docs = spark.createDataFrame(texts, "model string, text string").repartition(3)
+    limits = {"max_features": 6, "min_df": 2, "max_df": 0.85}
+    calls, plain = [], tfidf.counts_in_buckets
+    monkeypatch.setattr(tfidf, "counts_in_buckets", lambda *args: calls.append(1) or plain(*args))
+    every, few = tfidf.term_counts(docs), tfidf.frequent_term_counts(docs, **limits)
+    assert len(calls) == 1 and few.count() < 100 and few.exceptAll(every).count() == 0
+    order = [F.desc("total"), "term"]
+    expected = tfidf.tfidf_vocabulary(docs, every, **limits).orderBy(*order).collect()
+    assert len(expected) == 6 and tfidf.tfidf_vocabulary(docs, few, **limits).orderBy(*order).collect() == expected
+
+
+def test_hashes_count_as_terms_do(spark, monkeypatch):
+    """Counts, models and limits by hash are those of the strings, also if a task hands on its hashes often."""
+    rng = random.Random(7)
+    texts = [(rng.choice(["a", "b", "c", "d", None]), " ".join(f"é{rng.randrange(k)}" for k in range(1, 60))) for _ in range(80)]
+    texts += [("a", ""), ("b", None), ("c", "x y"), ("d", "seul"), ("nothing", ", x"), ("e", "")]
+    docs = spark.createDataFrame(texts, "model string, text string").repartition(4)
+    monkeypatch.setattr(terms, "HASHES", 500)
+    every = tfidf.term_counts(docs).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
+    expected = sorted(r.total for r in every.filter("df BETWEEN 2 AND 4").collect())
+    got = terms.fitting_buckets(terms.spaced(docs), 10**6, 2, 4.0)
+    assert sorted(r.total for r in got.collect()) == expected and len(expected) > 100
+    top = sorted((r.total for r in terms.fitting_buckets(terms.spaced(docs), 5, 2, 4.0).collect()), reverse=True)
+    assert top[:5] == expected[::-1][:5]
+    assert terms.fitting_buckets(terms.spaced(docs.limit(0)), 5, 2, 4.0).count() == 0
+
+
 def test_all_terms_are_counted_when_few_fit(spark):
     docs = spark.createDataFrame(DOCS + [("e", "a bb 7 ccc  dd"), (None, "bb")], "model string, text string")
     every = tfidf.term_counts(docs).collect()
