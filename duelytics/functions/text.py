@@ -28,6 +28,18 @@ def quote(literal: str) -> str:
     return re.sub(r"([^\w\s])", r"\\\1", literal)
 
 
+def boundaries(keyword: str, letters: str = "") -> tuple[str, str]:
+    """What must stand in front of a keyword, also seen from behind its `letters`, and what behind it."""
+    is_word = [re.match(r"\w", c) for c in (keyword[0], keyword[-1])]
+    return f"(?<{'!' if is_word[0] else '='}{WORD}{letters})", f"(?{'!' if is_word[1] else '='}{WORD})"
+
+
+def found_keyword_pattern(keyword: str) -> str:
+    """One whole keyword: its letters are looked for first, which is fast, and what is around them then."""
+    before, after = boundaries(keyword, quote(keyword))
+    return quote(keyword) + before + after
+
+
 def keyword_pattern(keywords: Iterable[str]) -> str:
     """One pattern for a category: whole keywords, longest first.
 
@@ -35,17 +47,11 @@ def keyword_pattern(keywords: Iterable[str]) -> str:
     every Java version.
     """
 
-    def bounded(keyword: str) -> str:
-        is_word = [re.match(r"\w", c) for c in (keyword[0], keyword[-1])]
-        before = f"(?<!{WORD})" if is_word[0] else f"(?<={WORD})"
-        after = f"(?!{WORD})" if is_word[1] else f"(?={WORD})"
-        return before + quote(keyword) + after
-
     ordered = sorted(keywords, key=len, reverse=True)
     plain = all(re.fullmatch(r"\w(.*\w)?", k, re.DOTALL) for k in ordered)
     if plain:
         return f"(?<!{WORD})(?:" + "|".join(quote(k) for k in ordered) + f")(?!{WORD})"
-    return "|".join(bounded(k) for k in ordered)
+    return "|".join(before + quote(k) + after for k in ordered for before, after in [boundaries(k)])
 
 
 def stem_pattern(stems: Sequence[str] = CULTURAL_STEMS) -> str:

@@ -19,7 +19,7 @@ from duelytics.dictionaries import Dictionary
 from duelytics.functions.matching import names_in_texts
 from duelytics.functions.numeric import round_even
 from duelytics.functions.ranking import most_frequent
-from duelytics.functions.text import clean_text, keyword_pattern, quote
+from duelytics.functions.text import clean_text, found_keyword_pattern
 from duelytics.operators.metrics import ratio
 from duelytics.session import stored
 
@@ -55,12 +55,13 @@ def reference_counts(df: DataFrame, columns: Mapping[str, tuple[str, Dictionary]
 
 
 def mentions_any(column: str, keywords: Sequence[str]) -> Column:
-    """Whether a text holds one of the keywords as whole words.  The pattern looks at what stands in front of a
-    character only where it begins a keyword, and is tried only on texts that have one as a plain substring, which is
+    """Whether a text holds one of the keywords as whole words.  Each has its own pattern that looks for its letters and,
+    where they stand, at what is around them; it is tried only on texts that have them as a plain substring, which is
     far cheaper to see."""
-    within = reduce(lambda a, b: a | b, [F.contains(F.col(column), F.lit(k)) for k in keywords])
-    begins = "".join(quote(c) for c in sorted({k[0] for k in keywords}))
-    return within & F.rlike(column, F.lit(f"(?=[{begins}])(?:{keyword_pattern(keywords)})"))
+    return reduce(
+        lambda a, b: a | b,
+        [F.contains(F.col(column), F.lit(k)) & F.rlike(column, F.lit(found_keyword_pattern(k))) for k in keywords],
+    )
 
 
 def distribution(counts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -78,8 +79,8 @@ def top_names(
 ) -> DataFrame:
     """(name, n): the `k` most frequent names of at least `min_length` characters, in name order
     on ties.  With `split`, a value holds several names."""
-    value = clean_text(F.col(column))
-    names = df.select(value.alias("v")).filter(F.col("v").isNotNull())
+    is_text = F.btrim(column, F.lit(WHITESPACE)) != ""  # where `clean_text` gives one, without its lower case
+    names = df.filter(is_text).select(clean_text(F.col(column)).alias("v"))
     if split is not None:
         names = names.select(F.explode(F.split("v", split)).alias("v"))
     counts = (

@@ -94,7 +94,8 @@ def run(
 
     The transcripts are read once (twice with a sample) and their documents stored; these are read
     for keyword counts, for names, for terms and three times for the models alone.  Each catalogue
-    is read twice: for its distributions and for its most frequent names.
+    is read twice: for its distributions and for its most frequent names; with `multi_line` its records
+    are cut once and stored, and this is what is read.
     """
     with temporary(spark):
         docs = stored(prepare_docs(read_parquet(spark, bias_conv), doc_id, max_docs), "docs")

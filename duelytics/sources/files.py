@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from duelytics import schemas
@@ -67,16 +69,16 @@ def read_scores(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_text_table(
-    spark: SparkSession, path: str, separator: str, multi_line: bool = False
+    spark: SparkSession, path: str, separator: str, columns: Sequence[str], multi_line: bool = False
 ) -> DataFrame:
-    """A delimited file or folder, every column as string; damaged fields are kept as they are.
+    """Columns of a delimited file or folder as strings; damaged fields are kept as they are.
 
     Files are read in splits, with `multi_line=True` also where fields hold quoted line breaks, which takes
-    further scans.
+    a further scan and stores the columns.
     """
     if multi_line:
-        return read_quoted_table(spark, path, separator)
-    return (
+        return read_quoted_table(spark, path, separator, columns)
+    table = (
         spark.read.option("sep", separator)
         .option("header", True)
         .option("inferSchema", False)
@@ -86,15 +88,15 @@ def read_text_table(
         .option("encoding", "UTF-8")
         .csv(path)
     )
+    return table.select(*[F.col(f"`{c}`") for c in columns])
 
 
 def read_artworks(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    return read_text_table(spark, path, "|", multi_line).select(*ARTWORK_COLUMNS)
+    return read_text_table(spark, path, "|", ARTWORK_COLUMNS, multi_line)
 
 
 def read_venues(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    table = read_text_table(spark, path, ";", multi_line)
-    return table.select(*[F.col(f"`{c}`") for c in VENUE_COLUMNS]).withColumnsRenamed(VENUE_RENAMES)
+    return read_text_table(spark, path, ";", VENUE_COLUMNS, multi_line).withColumnsRenamed(VENUE_RENAMES)
 
 
 def read_prices(spark: SparkSession, path: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import csv
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -86,3 +87,28 @@ def test_the_catalogue_readers_use_it(spark, small_splits, tmp_path):
     files.write_text_table(table.coalesce(1), str(tmp_path / "art"), "|")
     read = files.read_artworks(spark, str(tmp_path / "art"), multi_line=True)
     assert sorted(map(tuple, read.collect())) == sorted(map(tuple, table.collect()))
+
+
+def test_the_files_are_left_when_the_table_is_there(spark, small_splits, tmp_path, rows):
+    """However often the rows are used, the files are cut into records once; columns are chosen by name."""
+    expected = random_rows(4, 300)
+    write(tmp_path / "t.csv", expected)
+    got = quoted.read_quoted_table(spark, str(tmp_path / "t.csv"), "|", ["t.hree", "one"])
+    assert not any(str(tmp_path) in path for path in got.inputFiles())
+    assert got.columns == ["t.hree", "one"]
+    assert sorted(map(tuple, got.collect())) == sorted((r[2], r[0]) for r in expected[1:])
+
+
+@pytest.mark.parametrize("separator", ["|", ";", "||", "\t"])
+def test_quotes_of_many_lines_at_once_as_of_each_alone(separator):
+    rng = random.Random(separator)
+    for _ in range(300):
+        pieces = ["a", "é", '"', '"', '""', separator, separator[0], "\r", ""]
+        lines = ["".join(rng.choices(pieces, k=rng.randint(0, 8))).encode() for _ in range(rng.randint(1, 12))]
+        column = pa.array([b'x"', *lines, b'"']).slice(1, len(lines))
+        for state, got in zip((False, True), quoted.open_behind(column, separator.encode(), False, True)):
+            expected, inside = [], state
+            for line in lines:
+                expected.append(inside := quoted.open_after(line, inside, separator.encode()))
+            assert got.tolist() == expected
+    assert quoted.open_behind(pa.array([None, b"a", None], pa.binary()), b"|", True)[0].tolist() == [True] * 3

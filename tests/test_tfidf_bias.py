@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from duelytics import registry, schemas
 from duelytics.dictionaries import PERIODS_REF
-from duelytics.functions import terms
+from duelytics.functions import terms, text
 from duelytics.functions.text import keyword_pattern
 from duelytics.operators import bias, catalogue, tfidf
 from duelytics.plans import bias_job
@@ -289,3 +289,23 @@ def test_keywords_inside_words_do_not_count(spark):
     df = spark.createDataFrame([("Lande",), ("la  lande",), ("l'art",), (None,), ("c++x",)], "v string")
     out = catalogue.reference_counts(df, {"v": ("d", {"x": ["la"], "y": ["art", "land"], "z": ["++", "zz"]})})
     assert {r.category: r.hits for r in out.collect()} == {"x": 1, "y": 1, "z": 1}
+
+
+def test_a_keyword_is_found_by_its_letters_first(spark):
+    """The letters lead the pattern, so that a text is not tried at every character; the texts are those of the list."""
+    assert text.found_keyword_pattern("d'art").startswith(r"d\'art") and text.found_keyword_pattern("++").startswith(r"\+\+")
+    rng = random.Random(8)
+    keywords = ["la", "l'art", "art la", "++", "é", "a+", "_x"]
+    texts = [("".join(rng.choices([*keywords, "x", "७", " ", "\n", "-", "'"], k=rng.randint(0, 6))),) for _ in range(600)]
+    df = spark.createDataFrame(texts + [(None,), ("xla la",), ("lala-la",)], "v string")
+    lists = [[k] for k in keywords] + [keywords[:3], keywords]
+    got = df.agg(*[F.count_if(catalogue.mentions_any("v", k)).alias(f"c{i}") for i, k in enumerate(lists)]).first()
+    expected = df.agg(*[F.count_if(F.rlike("v", F.lit(text.keyword_pattern(k)))).alias(f"c{i}") for i, k in enumerate(lists)]).first()
+    assert got == expected and 0 < min(got) and max(got[:7]) < 400
+
+
+def test_names_of_blank_and_spaced_cells(spark):
+    cells = [(None,), ("",), (" \t\u3000",), ("  Claude MONET ; RODIN auguste",), ("claude monet/x",), ("Élan Vital,,",), (" İstanbul ",)]
+    df = spark.createDataFrame(cells, "Auteur string")
+    got = {r.name: r.n for r in catalogue.top_artists(df).collect()}
+    assert got == {"claude monet": 2, "rodin auguste": 1, "élan vital": 1, "i̇stanbul": 1}
